@@ -32,8 +32,12 @@ def encode_rows(df: DataFrame, columns=None, json_columns=(), keep=()) -> DataFr
     return df.select(*keep, record_column(df, columns, json_columns).alias("record"))
 
 
+def strip(value: Column) -> Column:
+    return F.trim(value, F.lit(" \t\r\n\f\u000b"))
+
+
 def not_blank(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, r"^\s+", "")) != ""
+    return strip(value) != ""
 
 
 def checked_json(value: Column) -> Column:
@@ -46,7 +50,7 @@ def checked_json(value: Column) -> Column:
 
 def decode_lines(lines: DataFrame, schema: T.StructType | None = None, column: str = "value"):
     """Blank lines dropped, the rest parsed; a malformed line fails the job."""
-    value = F.trim(F.col(column))
+    value = strip(F.col(column))
     rows = lines.filter(not_blank(F.col(column)))
     if schema is None:
         return rows.withColumn(column, F.parse_json(value))
