@@ -199,11 +199,6 @@ def schema_diff(
     )
 
 
-def observed_schema(records: DataFrame, column: str = "record") -> str:
-    """Schema text of JSON records as the data shows it, merged over all rows in Spark."""
-    return records.agg(F.schema_of_variant_agg(F.parse_json(F.col(column)))).first()[0]
-
-
 class SchemaPaused(ValueError):
     """A schema change whose policy is to stop."""
 

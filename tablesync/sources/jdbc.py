@@ -140,7 +140,7 @@ def load_jdbc(
     # One write per stream: a database table is one sink.
     streams = [r[0] for r in todo.select("stream_name").distinct().collect()]
     for stream in streams:
-        name = chunks.limit(1).select(raw_ident(F.lit(stream), prefix)).first()[0]
+        name = spark.range(1).select(raw_ident(stream, prefix)).first()[0]
         part = rows.filter(F.col("stream_name") == stream).drop("stream_name")
         part.write.format("jdbc").options(**options(quoted(f"{schema}.{name}"))).mode("append").save()
     done = record_applied(todo, rows, load_id)
