@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +80,13 @@ def raw_name_collisions(streams: DataFrame, column: str = "stream_name", **names
     )
 
 
-def check_raw_names(streams: DataFrame, column: str = "stream_name", **names) -> None:
-    clash = raw_name_collisions(streams, column, **names).limit(1).collect()
-    if clash:
-        raise ValueError(f"several streams map to raw table {clash[0]['table_name']}")
+def check_raw_idents(streams, prefix: str = DEFAULT_RAW_PREFIX) -> None:
+    """Refuse a set of stream names of which two would share a raw table."""
+    taken: dict[str, str] = {}
+    for stream in sorted(streams):
+        ident = prefix + re.sub("[^A-Za-z0-9]+", "_", stream).lower().strip("_")
+        if taken.setdefault(ident, stream) != stream:
+            raise ValueError(f"streams {taken[ident]} and {stream} map to the same raw table {ident}")
 
 
 def normalize_tables(names) -> list[str]:

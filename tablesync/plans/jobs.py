@@ -66,7 +66,7 @@ class Staged:
     manifest: DataFrame
     progress: DataFrame
     ledger: DataFrame
-    attempt: str
+    run: str
 
 
 def run_tables(spark: SparkSession, work, names, parallelism: int) -> list:
@@ -112,9 +112,9 @@ def _capture_table(df: DataFrame, capture: Capture, start, key):
 
 def snapshot_to_staging(
     spark: SparkSession, tables: dict[str, DataFrame], staging: Staging, capture: Capture,
-    ledger: DataFrame, resume: bool = True, attempt: str | None = None,
+    ledger: DataFrame, resume: bool = True, run: str | None = None,
 ) -> Staged:
-    """Capture what the ledger leaves to do and stage it as one committed attempt.
+    """Capture what the ledger leaves to do and stage it as one committed run.
 
     Nothing is written to the ledger: the caller saves ``Staged.ledger`` once the chunks are
     loaded, so that a failed load is captured again.
@@ -129,7 +129,8 @@ def snapshot_to_staging(
         r["table_name"]: r
         for r in pending_tables(requested, ledger, staging.pipeline, capture.mode, resume).collect()
     }
-    attempt = attempt or new_id()
+    run = run or new_id()
+    attempts = {n: f"{run}-{i:05d}" for i, n in enumerate(names)}
     base = ledger if resume else ledger.limit(0)
 
     def stage(name):
@@ -146,28 +147,30 @@ def snapshot_to_staging(
                 keep=[F.lit(name).alias("stream_name"), SEQUENCE, INDEX],
             )
             write_chunks(
-                encoded, staging, attempt, INDEX, capture.batch_size if unchunked else None
+                encoded, staging, attempts[name], INDEX, capture.batch_size if unchunked else None
             )
         cursor = capture.cursor if capture.mode == INCREMENTAL else None
         progress = table_progress(
             chunked, name, first, cursor, key if capture.mode == FULL else (), not cut, unchunked
         ).collect()
         numbered.release()
-        return progress[0], (name, first) if unchunked and not numbered.total else None
+        empty = (attempts[name], name, first) if unchunked and not numbered.total else None
+        return progress[0], empty
 
     done = run_tables(spark, stage, [n for n in names if n in starts], capture.parallelism)
     progress = spark.createDataFrame([p for p, _ in done], PROGRESS)
     if not done:
-        return Staged(spark.createDataFrame([], MANIFEST), progress, base, attempt)
-    empty = dict(e for _, e in done if e)
+        return Staged(spark.createDataFrame([], MANIFEST), progress, base, run)
+    empty = [e for _, e in done if e]
     prints = {n: schema_fingerprint(frames[n].schema) for n in starts}
-    if any(p["rows_emitted"] for p, _ in done) or empty:
-        found = chunk_manifest(spark, staging, attempt, prints, empty)
-        manifest = commit_manifest(found, staging, attempt)
+    written = [attempts[p["table_name"]] for p, _ in done if p["rows_emitted"]]
+    if written or empty:
+        found = chunk_manifest(spark, staging, written, prints, empty)
+        manifest = commit_manifest(found, staging, run)
     else:
         manifest = spark.createDataFrame([], MANIFEST)
     new_ledger = apply_progress(fold_checkpoint(base, manifest), progress, staging.pipeline)
-    return Staged(manifest, progress, new_ledger, attempt)
+    return Staged(manifest, progress, new_ledger, run)
 
 
 def load_staging(
@@ -179,8 +182,7 @@ def load_staging(
     """
     reports = []
     own = read_manifest(spark, staging, all_attempts=False)
-    if own.take(1):
-        check_manifest_bucket(own, staging.bucket)
+    if check_manifest_bucket(own, staging.bucket):
         reports.append(target.load(own, lambda c: read_chunks(spark, staging, c), replace))
     foreign = adopt_foreign_chunks(spark, staging)
     if foreign is not None and foreign.take(1):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesync.functions.names import check_raw_names, raw_ident
+from tablesync.functions.names import check_raw_idents, raw_ident
 from tablesync.model import APPLIED, DEFAULT_RAW_PREFIX, DEFAULT_RAW_SCHEMA
 from tablesync.operators.load import (
     chunk_states, check_conflicts, load_report, raw_envelope, record_applied,
@@ -123,16 +123,21 @@ class RawStore:
         """
         spark = chunks.sparkSession
         known = self.applied(spark)
-        streams = chunks.select("stream_name").unionByName(known.select("stream_name"))
-        check_raw_names(streams, schema=self.schema, prefix=self.prefix)
         states = chunk_states(chunks, known)
-        tally = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
-        if tally.get("conflict"):
+        seen = states.select("stream_name", "state").unionByName(
+            known.select("stream_name", F.lit("known").alias("state"))
+        )
+        # A few rows per table.
+        tally = seen.groupBy("stream_name", "state").count().collect()
+        check_raw_idents({r["stream_name"] for r in tally}, self.prefix)
+        count = lambda s: sum(r["count"] for r in tally if r["state"] == s)
+        conflicts = count("conflict")
+        if conflicts:
             check_conflicts(states, replace)
         todo = states.filter("state <> 'applied'").drop("state")
         load_id = load_id or new_id()
-        if tally.get("new") or tally.get("conflict"):
-            applied = self.append(read(todo), todo, tally.get("conflict", 0), load_id)
+        if count("new") or conflicts:
+            applied = self.append(read(todo), todo, conflicts, load_id)
         else:
             applied = spark.createDataFrame([], APPLIED)
         skipped = chunks.join(

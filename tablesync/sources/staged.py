@@ -4,10 +4,11 @@ Layout of a staging area (``file:``, ``hdfs:`` and ``s3a:`` alike)::
 
     <root>/<bucket>[/<prefix>]/pipelines/<pipeline>/attempt=<A>/
         stream_name=<S>/partition_key=<K>/sequence=<N>/part-*.txt.gz
-    <root>/<bucket>[/<prefix>]/manifests/<pipeline>/attempt=<A>/part-*.parquet
+    <root>/<bucket>[/<prefix>]/manifests/<pipeline>/run=<R>/part-*.parquet
 
-Every write goes to a fresh ``attempt`` folder and counts only once its manifest is there, so a
-job that dies half-way leaves files nobody reads. Chunks staged by other tools under
+Every table of every run is written to a fresh ``attempt`` folder (two jobs may not share an
+output folder) and counts only once the run's manifest is there, so a job that dies half-way
+leaves files nobody reads. Chunks staged by other tools under
 ``pipelines/<P>/streams/<S>/partitions/<K>/chunks/<20 digits>.jsonl.gz`` can be read too.
 """
 
@@ -156,19 +157,16 @@ EMPTY_HASH = "0-0-0"
 
 
 def chunk_manifest(
-    spark: SparkSession, staging: Staging, attempt: str, fingerprints=None,
-    empty_chunks: dict[str, int] | None = None,
+    spark: SparkSession, staging: Staging, attempts: list[str], fingerprints=None,
+    empty_chunks=(),
 ) -> DataFrame:
-    """Manifest rows of one attempt, counted from the files that were really written.
+    """Manifest rows of a run's attempts, counted from the files that were really written.
 
-    ``fingerprints`` maps streams to schema fingerprints; ``empty_chunks`` maps streams that
-    staged one empty chunk to its sequence.
+    ``fingerprints`` maps streams to schema fingerprints; ``empty_chunks`` lists the
+    ``(attempt, stream, sequence)`` of tables that staged one empty chunk.
     """
-    found = summarize_lines(_lines(spark, staging, [attempt]), *CHUNK_COLUMNS)
-    empty = [
-        (attempt, s, DEFAULT_PARTITION, n, 0, 0, EMPTY_HASH, 0, 0)
-        for s, n in (empty_chunks or {}).items()
-    ]
+    found = summarize_lines(_lines(spark, staging, attempts), *CHUNK_COLUMNS)
+    empty = [(a, s, DEFAULT_PARTITION, n, 0, 0, EMPTY_HASH, 0, 0) for a, s, n in empty_chunks]
     if empty:
         found = found.unionByName(
             spark.createDataFrame(
@@ -201,31 +199,36 @@ def describe_chunks(chunks: DataFrame, staging: Staging, fingerprint=None) -> Da
     )
 
 
-def commit_manifest(manifest: DataFrame, staging: Staging, attempt: str) -> DataFrame:
-    """Store an attempt's manifest, which makes its chunks visible, and return it stored."""
-    rows = manifest.drop("attempt")
-    rows.write.mode("overwrite").parquet(f"{staging.manifests}/attempt={attempt}")
-    return read_manifest(manifest.sparkSession, staging).filter(F.col("attempt") == attempt)
+def commit_manifest(manifest: DataFrame, staging: Staging, run: str) -> DataFrame:
+    """Store a run's manifest, which makes its chunks visible, and return it stored."""
+    path = f"{staging.manifests}/run={run}"
+    manifest.write.mode("overwrite").parquet(path)
+    return manifest.sparkSession.read.schema(MANIFEST).parquet(path)
 
 
 def read_manifest(spark: SparkSession, staging: Staging, all_attempts: bool = True) -> DataFrame:
     """Committed chunks; a key staged again counts once, as its newest attempt, unless
     ``all_attempts``."""
-    rows = read_or_none(spark, staging.manifests, MANIFEST)
-    if rows is None:
+    stored = read_or_none(spark, staging.manifests, MANIFEST)
+    if stored is None:
         return spark.createDataFrame([], MANIFEST)
+    rows = select_as(stored, MANIFEST)
     if all_attempts:
         return rows
     newest = W.partitionBy("object_key").orderBy(F.desc("attempt"))
     return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
-def check_manifest_bucket(manifest: DataFrame, bucket: str) -> DataFrame:
-    """Refuse chunks that belong to another bucket."""
-    foreign = manifest.filter(~F.col("bucket").eqNullSafe(F.lit(bucket))).select("bucket").take(1)
-    if foreign:
-        raise ValueError(f"chunk bucket mismatch: expected {bucket}, got {foreign[0]['bucket']}")
-    return manifest
+def check_manifest_bucket(manifest: DataFrame, bucket: str) -> int:
+    """Refuse chunks that belong to another bucket; returns the number of chunks."""
+    foreign = ~F.col("bucket").eqNullSafe(F.lit(bucket))
+    row = manifest.agg(
+        F.count("*").alias("n"), F.count_if(foreign).alias("foreign"),
+        F.max(F.when(foreign, F.col("bucket"))).alias("bucket"),
+    ).first()
+    if row["foreign"]:
+        raise ValueError(f"chunk bucket mismatch: expected {bucket}, got {row['bucket']}")
+    return row["n"]
 
 
 # ---------------------------------------------------------------- reading
@@ -260,12 +263,16 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
     Attempts that are wanted whole are read by folder. Only when some of an attempt's chunks
     are wanted does a semi-join pick them.
     """
-    wanted = chunks.groupBy("attempt").agg(
-        F.count("*").alias("n"), F.max("file_count").alias("files")
+    sides = read_manifest(spark, staging).select("attempt", F.lit(0).alias("n"), F.lit(0).alias("files"))
+    sides = sides.unionByName(
+        chunks.select("attempt", F.lit(1).alias("n"), F.col("file_count").alias("files"))
+    )
+    # One row per staged table of a run.
+    attempts = (
+        sides.groupBy("attempt")
+        .agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("total"), F.max("files").alias("files"))
+        .filter("n > 0").collect()
     )
-    stored = read_manifest(spark, staging).groupBy("attempt").agg(F.count("*").alias("total"))
-    # One row per staging run.
-    attempts = wanted.join(stored, "attempt").collect()
     parts = []
     for partly in (False, True):
         group = [a for a in attempts if (a["n"] < a["total"]) == partly]

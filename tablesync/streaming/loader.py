@@ -17,7 +17,7 @@ def read_stream_staged(
     reader = spark.readStream.schema(MANIFEST)
     if max_attempts_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", max_attempts_per_batch)
-    return reader.parquet(staging.manifests)
+    return reader.parquet(f"{staging.manifests}/run=*")
 
 
 def stream_load(
