@@ -61,8 +61,8 @@ def stages(spark: SparkSession, sf: str) -> dict[str, float]:
           lambda: snapshot_to_staging(spark, {LINEITEM: lineitem}, area, by_key, empty))
     timed("load_lineitem", lambda: load_staging(spark, area, store).count())
     timed("reload_nothing_new", lambda: load_staging(spark, area, store).count())
-    timed("capture_stage_lineitem_scan_order", lambda: snapshot_to_staging(
-        spark, {LINEITEM: lineitem}, staging("scan"), Capture(chunk_size=50_000), empty))
+    timed("capture_stage_lineitem_file_order", lambda: snapshot_to_staging(
+        spark, {LINEITEM: f"{sf}/lineitem.parquet"}, staging("files"), Capture(chunk_size=50_000), empty))
     cursor = Capture(INCREMENTAL, 50_000, cursor="l_shipdate")
     delta = staging("delta")
     early = lineitem.filter("l_shipdate <= timestamp_ntz '2000-01-01'")

@@ -12,12 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.codec import record_column
-from tablesync.session import read_or_none, scratch_path
+from tablesync.session import broadcast_if_small, read_or_none, scratch_path
 
 INDEX, SEQUENCE = "_row_index", "sequence"
 _ID, _TIE, _POS = "_row_id", "_tie", "_scan_pos"
@@ -31,10 +32,12 @@ class Numbered:
 
     df: DataFrame
     total: int
-    path: str
+    path: str | None = None
 
     def release(self) -> None:
-        """Delete the scratch copy once nothing reads it any more."""
+        """Delete the scratch copy, if there is one, once nothing reads it any more."""
+        if self.path is None:
+            return
         spark = self.df.sparkSession
         jvm = spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -98,6 +101,31 @@ def number_rows(df: DataFrame, order_by=(), unique: bool = False) -> Numbered:
     return Numbered(numbered, ends[-1] if ends else 0, path)
 
 
+def number_files(spark: SparkSession, path: str) -> Numbered:
+    """Number the rows of a parquet folder by file name and position in the file.
+
+    The reader knows each row's position, so nothing is sorted, shuffled or copied: the row
+    counts, which the footers hold, give every file its offset. The files must stay as they are
+    until the rows are written.
+    """
+    table = spark.read.parquet(path)
+    columns = [F.col(f"`{c}`") for c in table.columns]
+    rows = table.select(
+        *columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos")
+    )
+    # One row per file.
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n")).withColumn(
+        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    )
+    total = files.agg(F.sum("_n")).first()[0] or 0
+    offsets = broadcast_if_small(files.select("_file", "_offset"))
+    numbered = rows.join(offsets, "_file").select(
+        *columns, (F.col("_pos") + F.col("_offset")).alias(INDEX)
+    )
+    return Numbered(numbered, total)
+
+
 def assign_sequence(numbered: DataFrame, chunk_size: int | None, start_sequence: int = 0):
     """Chunk number of every numbered row; without a size all rows share the first number."""
     if chunk_size is None:

@@ -9,13 +9,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.functions.codec import encode_rows
 from tablesync.functions.names import normalize_tables
 from tablesync.model import FULL, INCREMENTAL, MANIFEST, MODES, NONE, PROGRESS
 from tablesync.operators.checkpoint import (
     apply_progress, fold_checkpoint, pending_tables, table_progress,
 )
-from tablesync.operators.chunking import INDEX, SEQUENCE, assign_sequence, check_chunk_size, number_rows
+from tablesync.operators.chunking import INDEX, assign_sequence, check_chunk_size, number_files, number_rows
 from tablesync.operators.schema import schema_fingerprint
 from tablesync.session import new_id
 from tablesync.sources.capture import (
@@ -111,17 +110,22 @@ def _capture_table(df: DataFrame, capture: Capture, start, key):
 
 
 def snapshot_to_staging(
-    spark: SparkSession, tables: dict[str, DataFrame], staging: Staging, capture: Capture,
+    spark: SparkSession, tables: dict[str, DataFrame | str], staging: Staging, capture: Capture,
     ledger: DataFrame, resume: bool = True, run: str | None = None,
 ) -> Staged:
     """Capture what the ledger leaves to do and stage it as one committed run.
 
+    A table is a DataFrame or the path of a parquet folder. A whole folder without a declared key
+    is numbered by file position, which saves the sort and the scratch copy that other captures
+    need.
+
     Nothing is written to the ledger: the caller saves ``Staged.ledger`` once the chunks are
     loaded, so that a failed load is captured again.
     """
     names = normalize_tables(tables)
     capture.check(names)
-    frames = {normalize_tables([n])[0]: df for n, df in tables.items()}
+    given = {normalize_tables([n])[0]: df for n, df in tables.items()}
+    frames = {n: spark.read.parquet(t) if isinstance(t, str) else t for n, t in given.items()}
     keys = {normalize_tables([n])[0]: k for n, k in capture.keys.items()}
     requested = spark.createDataFrame([(n,) for n in names], "table_name string")
     # One row per table.
@@ -137,17 +141,17 @@ def snapshot_to_staging(
         start, key = starts[name], keys.get(name, [])
         df = frames[name]
         rows, order, cut = _capture_table(df, capture, start, key)
-        numbered = number_rows(rows, order, unique=bool(key))
+        if isinstance(given[name], str) and rows is df and not order:
+            numbered = number_files(spark, given[name])
+        else:
+            numbered = number_rows(rows, order, unique=bool(key))
         first = start["start_sequence"]
         chunked = assign_sequence(numbered.df, capture.chunk_size, first)
         unchunked = capture.chunk_size is None
         if numbered.total:
-            encoded = encode_rows(
-                chunked, df.columns, capture.json_columns,
-                keep=[F.lit(name).alias("stream_name"), SEQUENCE, INDEX],
-            )
             write_chunks(
-                encoded, staging, attempts[name], INDEX, capture.batch_size if unchunked else None
+                chunked.withColumn("stream_name", F.lit(name)), staging, df.columns, attempts[name],
+                INDEX, capture.batch_size if unchunked else None, capture.json_columns,
             )
         cursor = capture.cursor if capture.mode == INCREMENTAL else None
         progress = table_progress(
@@ -200,7 +204,7 @@ def load_staging(
 
 
 def replicate(
-    spark: SparkSession, tables: dict[str, DataFrame], staging: Staging, target: RawStore,
+    spark: SparkSession, tables: dict[str, DataFrame | str], staging: Staging, target: RawStore,
     capture: Capture, ledger_root: str, resume: bool = True, replace: bool = False,
 ) -> DataFrame:
     """Capture, stage, load, then save the ledger; returns the load report.

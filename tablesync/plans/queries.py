@@ -34,7 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-CHUNK = 1000
+CHUNK = 5000
 ORDERS, LINEITEM, EVENTS = "public.orders", "public.lineitem", "public.events"
 
 
@@ -86,6 +86,13 @@ def snapshot_unchunked(spark, sf):
     return project_typed(read_staged(spark, staging), customer.schema, "value")
 
 
+@register("SELECT * FROM lineitem")
+def snapshot_files(spark, sf):
+    """A parquet table without a key, numbered by file position."""
+    staging, _ = _stage(spark, {LINEITEM: f"{sf}/lineitem.parquet"}, chunk_size=CHUNK)
+    return project_typed(read_staged(spark, staging), table(spark, sf, "lineitem").schema, "value")
+
+
 LINE_ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
@@ -95,7 +102,7 @@ LINE_ORDER = [
 @register(f"""
 SELECT sequence, count(*) AS row_count, min(l_orderkey) AS first_order, max(l_orderkey) AS last_order
 FROM (SELECT l_orderkey,
-             (row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) - 1) // 1000 AS sequence
+             (row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) - 1) // 5000 AS sequence
       FROM lineitem)
 GROUP BY sequence""")
 def snapshot_chunks(spark, sf):
@@ -110,7 +117,7 @@ def snapshot_chunks(spark, sf):
 SELECT 'daily/pipelines/shop/streams/public.orders/partitions/default/chunks/'
        || lpad(CAST(sequence AS VARCHAR), 20, '0') || '.jsonl.gz' AS object_key,
        count(*) AS row_count
-FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 5 AS sequence FROM orders)
+FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 + 5 AS sequence FROM orders)
 GROUP BY sequence""")
 def chunk_keys(spark, sf):
     chunked = capture_chunked(table(spark, sf, "orders"), ["o_orderkey"], CHUNK, 5, unique=True)
@@ -129,9 +136,9 @@ def clean_names(spark, sf):
 
 
 @register("""
-SELECT (rn - 1) // 1000 AS _sequence, (rn - 1) % 1000 + 1 AS _row_number, o_orderkey,
+SELECT (rn - 1) // 5000 AS _sequence, (rn - 1) % 5000 + 1 AS _row_number, o_orderkey,
        'daily/pipelines/shop/streams/public.orders/partitions/default/chunks/'
-       || lpad(CAST((rn - 1) // 1000 AS VARCHAR), 20, '0') || '.jsonl.gz' AS _object_key
+       || lpad(CAST((rn - 1) // 5000 AS VARCHAR), 20, '0') || '.jsonl.gz' AS _object_key
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)""")
 def raw_envelope(spark, sf):
     orders, staging = _orders_staged(spark, sf)
@@ -216,14 +223,14 @@ def multi_table_capture(spark, sf):
 
 
 @register("""
-SELECT 'public.orders' AS table_name, (count(*) + 999) // 1000 + 3 AS next_sequence, true AS finished,
+SELECT 'public.orders' AS table_name, (count(*) + 4999) // 5000 + 3 AS next_sequence, true AS finished,
        count(*) AS rows_emitted, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS max_cursor_value
 FROM orders
 UNION ALL
-SELECT 'public.lineitem', (count(*) + 999) // 1000 + 3, true, count(*),
+SELECT 'public.lineitem', (count(*) + 4999) // 5000 + 3, true, count(*),
        strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') FROM lineitem
 UNION ALL
-SELECT 'public.events', (count(*) + 999) // 1000 + 3, true, count(*), CAST(max(event_id) AS VARCHAR)
+SELECT 'public.events', (count(*) + 4999) // 5000 + 3, true, count(*), CAST(max(event_id) AS VARCHAR)
 FROM events""")
 def table_progress(spark, sf):
     out = None
@@ -242,9 +249,9 @@ def table_progress(spark, sf):
 
 @register("""
 WITH chunks AS (
-  SELECT 'public.orders' AS table_name, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS seq FROM orders
+  SELECT 'public.orders' AS table_name, (row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 AS seq FROM orders
   UNION ALL
-  SELECT 'public.lineitem', (row_number() OVER () - 1) // 1000 FROM lineitem)
+  SELECT 'public.lineitem', (row_number() OVER () - 1) // 5000 FROM lineitem)
 SELECT 'shop' AS pipeline_name, table_name, max(seq) + 1 AS next_sequence, count(*) AS rows_staged,
        'pipelines/shop/streams/' || table_name || '/partitions/default/chunks/'
        || lpad(CAST(max(seq) AS VARCHAR), 20, '0') || '.jsonl.gz' AS last_chunk_key,
@@ -357,7 +364,7 @@ _TWO_RUNS = """
 WITH runs AS (
   SELECT o_orderdate > TIMESTAMP '1998-01-01' AS late,
          (row_number() OVER (PARTITION BY o_orderdate > TIMESTAMP '1998-01-01'
-                             ORDER BY o_orderdate, o_orderkey) - 1) // 1000 AS n FROM orders),
+                             ORDER BY o_orderdate, o_orderkey) - 1) // 5000 AS n FROM orders),
 first AS (SELECT max(n) + 1 AS chunks FROM runs WHERE NOT late),
 chunks AS (
   SELECT CASE WHEN late THEN n + (SELECT chunks FROM first) ELSE n END AS sequence, late, count(*) AS rows
@@ -483,7 +490,7 @@ def missing_tables(spark, sf):
 
 @register("""
 SELECT source || '.doc"' || doc_id AS table, 'SELECT * FROM "' || source || '"."doc""' || doc_id || '"' AS sql,
-       CAST(1000 AS BIGINT) AS chunk_size, 'full' AS mode FROM documents""")
+       CAST(5000 AS BIGINT) AS chunk_size, 'full' AS mode FROM documents""")
 def snapshot_plan(spark, sf):
     names = table(spark, sf, "documents").select(
         F.format_string('%s.doc"%d', "source", "doc_id").alias("table_name")
@@ -492,11 +499,11 @@ def snapshot_plan(spark, sf):
 
 
 @register("""
-SELECT (rn - 1) // 1000 AS sequence, count(*) AS row_count,
+SELECT (rn - 1) // 5000 AS sequence, count(*) AS row_count,
        sha256('o_orderkey:bigint:true' || chr(10) || 'o_custkey:bigint:true' || chr(10)
          || 'o_orderstatus:string:true' || chr(10) || 'o_totalprice:double:true' || chr(10)
          || 'o_orderdate:timestamp_ntz:true' || chr(10) || 'o_orderpriority:string:true') AS schema_fingerprint
-FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY (rn - 1) // 1000""")
+FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY (rn - 1) // 5000""")
 def schema_fingerprint(spark, sf):
     """Every staged chunk carries the fingerprint of its table's schema."""
     _, staging = _orders_staged(spark, sf)
@@ -981,14 +988,14 @@ def classify_errors(spark, sf):
 
 
 @register("""
-SELECT 'raw_public_nation' AS raw_table, count(*) AS row_count, (count(*) + 999) // 1000 AS chunks FROM nation
-UNION ALL SELECT 'raw_public_customer', count(*), (count(*) + 999) // 1000 FROM customer
-UNION ALL SELECT 'raw_public_orders', count(*), (count(*) + 999) // 1000 FROM orders
-UNION ALL SELECT 'raw_public_lineitem', count(*), (count(*) + 999) // 1000 FROM lineitem""")
+SELECT 'raw_public_nation' AS raw_table, count(*) AS row_count, (count(*) + 4999) // 5000 AS chunks FROM nation
+UNION ALL SELECT 'raw_public_customer', count(*), (count(*) + 4999) // 5000 FROM customer
+UNION ALL SELECT 'raw_public_orders', count(*), (count(*) + 4999) // 5000 FROM orders
+UNION ALL SELECT 'raw_public_lineitem', count(*), (count(*) + 4999) // 5000 FROM lineitem""")
 def replicate_tables(spark, sf):
     """Four tables replicated twice, two at a time; the second run adds nothing."""
-    keys = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": []}
-    tables = {f"public.{n}": table(spark, sf, n) for n in keys}
+    keys = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": []}  # line items have no key
+    tables = {f"public.{n}": f"{sf}/{n}.parquet" for n in keys}
     options = Capture(
         chunk_size=CHUNK, keys={f"public.{n}": k for n, k in keys.items()}, parallelism=2
     )

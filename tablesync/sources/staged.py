@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesync.functions.codec import checked_json, content_digest, not_blank, strip
+from tablesync.functions.codec import checked_json, content_digest, not_blank, record_column, strip
 from tablesync.functions.names import chunk_key
 from tablesync.model import (
     CONTENT_ENCODING, CONTENT_TYPE, DEFAULT_PARTITION, MANIFEST, select_as,
@@ -69,24 +69,26 @@ class Staging:
 
 
 def write_chunks(
-    encoded: DataFrame, staging: Staging, attempt: str | None = None, order: str = "_row_index",
-    rows_per_file: int | None = None,
+    chunked: DataFrame, staging: Staging, columns, attempt: str | None = None,
+    order: str = "_row_index", rows_per_file: int | None = None, json_columns=(),
 ) -> str:
-    """Write ``(stream_name, sequence, <order>, record)`` as one gzip file per chunk.
+    """Write ``(stream_name, sequence, <order>, <columns>)`` as one gzip file per chunk.
 
-    One shuffle on the chunk number puts a chunk's rows in one task, sorted by ``order``. With
-    ``rows_per_file`` a chunk is instead a row of files in ``order``, written without that
-    shuffle by the tasks that hold the rows: the way to stage a whole table as one chunk.
+    One shuffle on the chunk number puts a chunk's rows in one task, sorted by ``order``; rows
+    travel typed and become JSON only where they are written. With ``rows_per_file`` a chunk is
+    instead a set of files written without that shuffle by the tasks that hold the rows: the way
+    to stage a whole table as one chunk.
     """
     attempt = attempt or new_id()
-    rows = encoded
+    rows = chunked
     if "partition_key" not in rows.columns:
         rows = rows.withColumn("partition_key", F.lit(DEFAULT_PARTITION))
     keys = ["stream_name", "partition_key", "sequence"]
     if rows_per_file is None:
         rows = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    record = record_column(rows, columns, json_columns)
     writer = (
-        rows.select(*keys, F.col("record").alias("value"))
+        rows.select(*keys, record.alias("value"))
         .write.partitionBy(*keys).mode("append").option("compression", CONTENT_ENCODING)
     )
     if rows_per_file is not None:
