@@ -24,7 +24,7 @@ from tablesync.model import APPLIED, DEFAULT_RAW_PREFIX, DEFAULT_RAW_SCHEMA
 from tablesync.operators.load import (
     chunk_states, check_conflicts, load_report, raw_envelope, record_applied,
 )
-from tablesync.session import is_small, new_id, now_ms, read_or_none
+from tablesync.session import new_id, now_ms, read_or_none
 
 _RAW = (
     "_object_key string, _sequence bigint, _row_number bigint, _loaded_at timestamp, "
@@ -48,22 +48,28 @@ class RawStore:
         rows = read_or_none(spark, self._part("commits"), _COMMITS)
         return spark.createDataFrame([], _COMMITS) if rows is None else rows
 
-    def _committed(self, rows: DataFrame) -> DataFrame:
-        """Keep rows of finished loads."""
-        commits = self.commits(rows.sparkSession).select(F.col("load_id").alias("_load_id"))
-        if is_small(commits, LISTED_LOADS):
-            ids = [r[0] for r in commits.distinct().collect()]
-            return rows.filter(F.col("_load_id").isin(ids) if ids else F.lit(False))
-        return rows.join(commits.distinct(), "_load_id", "left_semi")
+    def _committed(self, rows: DataFrame) -> tuple[DataFrame, bool]:
+        """Rows of finished loads, and whether a load ever superseded chunks of another."""
+        commits = self.commits(rows.sparkSession)
+        listed = commits.select("load_id", "replaced").limit(LISTED_LOADS + 1).collect()
+        if len(listed) <= LISTED_LOADS:
+            ids = sorted({r["load_id"] for r in listed})
+            visible = rows.filter(F.col("_load_id").isin(ids) if ids else F.lit(False))
+            return visible, any(r["replaced"] for r in listed)
+        ids = commits.select(F.col("load_id").alias("_load_id")).distinct()
+        replaced = bool(commits.filter("replaced > 0").take(1))
+        return rows.join(ids, "_load_id", "left_semi"), replaced
 
     def applied(self, spark: SparkSession) -> DataFrame:
         """Applied chunks, the newest load of each key."""
         rows = read_or_none(spark, self._part("applied"), APPLIED)
         if rows is None:
             return spark.createDataFrame([], APPLIED)
+        visible, replaced = self._committed(rows)
+        if not replaced:
+            return visible
         newest = W.partitionBy("object_key").orderBy(F.desc("_load_id"))
-        visible = self._committed(rows).withColumn("_n", F.row_number().over(newest))
-        return visible.filter("_n = 1").drop("_n")
+        return visible.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
     def read(self, spark: SparkSession, stream: str | None = None) -> DataFrame:
         """Visible raw rows of one stream, or of all with their ``raw_table``."""
@@ -72,9 +78,8 @@ class RawStore:
             rows = spark.createDataFrame([], _RAW)
         if stream is not None:
             rows = rows.filter(F.col("raw_table") == raw_ident(stream, self.prefix))
-        visible = self._committed(rows)
-        superseded = self.commits(spark).filter("replaced > 0").limit(1).collect()
-        if superseded:
+        visible, replaced = self._committed(rows)
+        if replaced:
             newest = self.applied(spark).select(F.col("object_key").alias("_object_key"), "_load_id")
             visible = visible.join(newest, ["_object_key", "_load_id"], "left_semi")
         return visible
