@@ -121,14 +121,8 @@ def _no_lines(spark) -> DataFrame:
 
 
 def _lines(spark, staging, attempts) -> DataFrame:
-    if not attempts:
-        return _no_lines(spark)
-    try:
-        return _attempt_lines(spark, staging, attempts)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":  # every chunk of the attempt is empty
-            return _no_lines(spark)
-        raise
+    """Lines of the attempts, which all must have files: a missing one is an error."""
+    return _attempt_lines(spark, staging, attempts) if attempts else _no_lines(spark)
 
 
 def summarize_lines(lines: DataFrame, *keys: str) -> DataFrame:
@@ -273,7 +267,7 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
     attempts = (
         sides.groupBy("attempt")
         .agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("total"), F.max("files").alias("files"))
-        .filter("n > 0").collect()
+        .filter("n > 0 and files > 0").collect()  # an empty chunk has no file
     )
     parts = []
     for partly in (False, True):
