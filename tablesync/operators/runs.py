@@ -165,11 +165,11 @@ def list_table_executions(executions: DataFrame, run_id=None) -> DataFrame:
     return executions.orderBy("run_id", "stream_name")
 
 
-# Time segments a pipeline's applies are cut into; only this many bounds reach the driver.
-SEGMENTS = 64
+# Least and most time segments the applies are cut into; their bounds reach the driver.
+SEGMENTS = (64, 1024)
 
 
-def spec_versions(applies: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+def spec_versions(applies: DataFrame, segments: int | None = None) -> DataFrame:
     """Spec history from ``(pipeline_name, applied_at, apply_id, spec_text)``.
 
     A text equal to the active one makes no new version; any other gets the next number, also
@@ -177,6 +177,9 @@ def spec_versions(applies: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     each pipeline's history is cut into time segments: changes are numbered within a segment,
     and the segments, a small table, add up what came before. No pipeline is one task's work.
     """
+    if segments is None:
+        partitions = int(applies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        segments = min(max(partitions, SEGMENTS[0]), SEGMENTS[1])
     hashed = applies.withColumn("content_hash", F.sha2(F.col("spec_text").cast("binary"), 256))
     # Microseconds, so that a bound equals a value of the data.
     at = F.unix_micros(F.col("applied_at").cast("timestamp"))

@@ -104,6 +104,8 @@ def one_file_per_task(spark: SparkSession) -> SparkSession:
     """
     sibling = spark.newSession()
     sibling.conf.set("spark.sql.files.openCostInBytes", str(1 << 60))
+    # Rows come file by file, so a task that writes them out by table needs no sort.
+    sibling.conf.set("spark.sql.maxConcurrentOutputFileWriters", "100")
     return sibling
 
 
@@ -252,6 +254,14 @@ def number_lines(lines: DataFrame, keys, multi_file: bool = False) -> DataFrame:
     )
 
 
+# Compressed bytes one task reads; some ten times as much as text.
+TASK_BYTES = 32 << 20
+
+
+def reading_tasks(spark: SparkSession, compressed_bytes: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-compressed_bytes // TASK_BYTES))
+
+
 def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> DataFrame:
     """Numbered lines of the given manifest rows: ``object_key, stream_name, partition_key,
     sequence, _row_number, value``; every value is checked to be JSON.
@@ -259,14 +269,18 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
     Attempts that are wanted whole are read by folder. Only when some of an attempt's chunks
     are wanted does a semi-join pick them.
     """
-    sides = read_manifest(spark, staging).select("attempt", F.lit(0).alias("n"), F.lit(0).alias("files"))
+    sides = read_manifest(spark, staging).select(
+        "attempt", F.lit(0).alias("n"), F.lit(0).alias("files"), F.lit(0).alias("bytes")
+    )
     sides = sides.unionByName(
-        chunks.select("attempt", F.lit(1).alias("n"), F.col("file_count").alias("files"))
+        chunks.select("attempt", F.lit(1).alias("n"), F.col("file_count").alias("files"),
+                      F.col("bytes_written").alias("bytes"))
     )
     # One row per staged table of a run.
     attempts = (
         sides.groupBy("attempt")
-        .agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("total"), F.max("files").alias("files"))
+        .agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("total"),
+             F.max("files").alias("files"), F.sum("files").alias("all_files"), F.sum("bytes").alias("bytes"))
         .filter("n > 0 and files > 0").collect()  # an empty chunk has no file
     )
     parts = []
@@ -281,7 +295,9 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
             numbered = numbered.join(
                 broadcast_if_small(chunks.select(*CHUNK_COLUMNS)), list(CHUNK_COLUMNS), "left_semi"
             )
-        parts.append(numbered)
+        tasks = reading_tasks(spark, sum(a["bytes"] or 0 for a in group))
+        # Small files share a task, one after the other; nothing is shuffled.
+        parts.append(numbered.coalesce(tasks) if tasks < sum(a["all_files"] for a in group) else numbered)
     if not parts:
         parts = [number_lines(_no_lines(spark), CHUNK_COLUMNS)]
     out = parts[0]
