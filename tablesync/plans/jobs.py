@@ -152,6 +152,7 @@ def snapshot_to_staging(
             write_chunks(
                 chunked.withColumn("stream_name", F.lit(name)), staging, df.columns, attempts[name],
                 INDEX, capture.batch_size if unchunked else None, capture.json_columns,
+                None if unchunked else -(-numbered.total // capture.chunk_size),
             )
         cursor = capture.cursor if capture.mode == INCREMENTAL else None
         progress = table_progress(

@@ -71,6 +71,7 @@ class Staging:
 def write_chunks(
     chunked: DataFrame, staging: Staging, columns, attempt: str | None = None,
     order: str = "_row_index", rows_per_file: int | None = None, json_columns=(),
+    chunk_count: int | None = None,
 ) -> str:
     """Write ``(stream_name, sequence, <order>, <columns>)`` as one gzip file per chunk.
 
@@ -78,6 +79,9 @@ def write_chunks(
     travel typed and become JSON only where they are written. With ``rows_per_file`` a chunk is
     instead a set of files written without that shuffle by the tasks that hold the rows: the way
     to stage a whole table as one chunk.
+
+    ``chunk_count`` is how many chunks there are, if known: few chunks get more partitions than
+    they need, so that hardly two of them meet in one task.
     """
     attempt = attempt or new_id()
     rows = chunked
@@ -85,7 +89,10 @@ def write_chunks(
         rows = rows.withColumn("partition_key", F.lit(DEFAULT_PARTITION))
     keys = ["stream_name", "partition_key", "sequence"]
     if rows_per_file is None:
-        rows = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+        wide = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        few = chunk_count is not None and 4 * chunk_count <= wide
+        rows = rows.repartition(4 * chunk_count, *keys) if few else rows.repartition(*keys)
+        rows = rows.sortWithinPartitions(*keys, order)
     record = record_column(rows, columns, json_columns)
     writer = (
         rows.select(*keys, record.alias("value"))
