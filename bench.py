@@ -55,7 +55,7 @@ def stages(spark: SparkSession, sf: str) -> dict[str, float]:
     def staging(name):
         return Staging(scratch_path(spark, "bench"), name)
 
-    by_key = Capture(chunk_size=50_000, keys={LINEITEM: ["l_orderkey", "l_linenumber"]})
+    by_key = Capture(chunk_size=50_000, keys={LINEITEM: ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]})
     area, store = staging("keyed"), RawStore(scratch_path(spark, "raw"))
     timed("capture_stage_lineitem_ordered",
           lambda: snapshot_to_staging(spark, {LINEITEM: lineitem}, area, by_key, empty))

@@ -86,6 +86,17 @@ def snapshot_unchunked(spark, sf):
     return project_typed(read_staged(spark, staging), customer.schema, "value")
 
 
+@register("SELECT * FROM orders")
+def capped_then_resumed(spark, sf):
+    """A capped run, then one that goes on above its last key with another chunk size."""
+    orders = table(spark, sf, "orders")
+    staging, store = Staging(scratch_path(spark, "staging"), "shop"), RawStore(scratch_path(spark, "raw"))
+    ledgers, keys = scratch_path(spark, "ledger"), {ORDERS: ["o_orderkey"]}
+    for options in (Capture(chunk_size=CHUNK, max_rows=700, keys=keys), Capture(chunk_size=CHUNK // 2, keys=keys)):
+        replicate(spark, {ORDERS: orders}, staging, store, options, ledgers)
+    return project_typed(store.read(spark, ORDERS), orders.schema)
+
+
 @register("SELECT * FROM lineitem")
 def snapshot_files(spark, sf):
     """A parquet table without a key, numbered by file position."""
@@ -729,7 +740,7 @@ def cdc_apply(spark, sf):
 WITH c AS (SELECT event_type AS stream_name, max(event_id) AS last_lsn FROM events GROUP BY 1),
 l AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'click' ELSE o_orderstatus END AS stream_name,
              max(o_orderkey) AS k FROM orders GROUP BY 1)
-SELECT stream_name, last_lsn, CAST(k AS VARCHAR) AS last_snapshot_chunk,
+SELECT stream_name, CAST(last_lsn AS VARCHAR) AS last_lsn, CAST(k AS VARCHAR) AS last_snapshot_chunk,
        CASE WHEN last_lsn IS NOT NULL THEN 'cdc_running' ELSE 'snapshot_complete' END AS phase
 FROM c FULL JOIN l USING (stream_name)""")
 def cdc_progress(spark, sf):
@@ -740,7 +751,8 @@ def cdc_progress(spark, sf):
     ledger = table(spark, sf, "orders").groupBy(stream.alias("table_name")).agg(
         F.max("o_orderkey").cast("string").alias("last_chunk_key"), F.lit(True).alias("completed")
     )
-    return cdc.cdc_progress(changes, ledger)
+    progress = cdc.cdc_progress(changes, ledger)
+    return progress.withColumn("last_lsn", F.col("last_lsn").cast("string"))
 
 
 # ------------------------------------------------------------ streaming
@@ -947,7 +959,8 @@ WITH r AS (SELECT event_id AS id, ts AS started_at, user_id AS rows_processed,
                        ELSE ts + to_milliseconds(CAST(floor(value * 4000) AS BIGINT)) END AS finished_at,
                   CASE WHEN event_type = 'view' THEN NULL ELSE event_id END AS rows_total FROM events),
 d AS (SELECT *, epoch_ms(finished_at) - epoch_ms(started_at) AS duration_ms FROM r)
-SELECT id, started_at, finished_at, rows_processed, rows_total, duration_ms,
+SELECT id, started_at, finished_at, rows_processed, CAST(rows_total AS VARCHAR) AS rows_total,
+       CAST(duration_ms AS VARCHAR) AS duration_ms,
        CASE WHEN duration_ms IS NULL THEN '—' WHEN duration_ms < 1000 THEN duration_ms || 'ms'
             WHEN duration_ms < 60000 THEN CAST(floor(duration_ms / 1000.0 + 0.5) AS BIGINT) || 's'
             ELSE CAST(floor(duration_ms / 60000.0 + 0.5) AS BIGINT) || 'm' END AS duration,
@@ -963,7 +976,9 @@ def run_durations(spark, sf):
         F.col("user_id").alias("rows_processed"),
         F.when(F.col("event_type") != "view", F.col("event_id")).alias("rows_total"),
     )
-    return runs.run_durations(log)
+    return runs.run_durations(log).withColumns(
+        {c: F.col(c).cast("string") for c in ("rows_total", "duration_ms")}
+    )
 
 
 # The error kind each event type stands for.

@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 200_000
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, named by ``spark.checkpoint.dir``."""
+    """The folder every executor sees, named by ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a folder of its own.
+    """
+    global _local_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="tablesync-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        _local_dir = _local_dir or tempfile.mkdtemp(prefix="tablesync-")
+        path = _local_dir
     return path.rstrip("/")
 
 

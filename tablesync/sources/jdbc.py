@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.functions.names import normalize_tables, raw_ident
+from tablesync.functions.names import check_raw_idents, normalize_tables, raw_ident
 from tablesync.model import APPLIED, DEFAULT_RAW_PREFIX, DEFAULT_RAW_SCHEMA, select_as
 from tablesync.operators.load import chunk_states, check_conflicts, load_report, raw_envelope, record_applied
 from tablesync.session import new_id
@@ -136,13 +136,18 @@ def load_jdbc(
     check_conflicts(states, replace)
     todo = states.filter("state <> 'applied'").drop("state")
     load_id = new_id()
-    rows = raw_envelope(read(todo), load_id)
-    # One write per stream: a database table is one sink.
+    # One write per stream, a table each; every stream reads only its own files.
     streams = [r[0] for r in todo.select("stream_name").distinct().collect()]
+    check_raw_idents(streams, prefix)
+    counted = None
     for stream in streams:
         name = spark.range(1).select(raw_ident(stream, prefix)).first()[0]
-        part = rows.filter(F.col("stream_name") == stream).drop("stream_name")
+        rows = raw_envelope(read(todo.filter(F.col("stream_name") == stream)), load_id)
+        part = rows.drop("stream_name")
         part.write.format("jdbc").options(**options(quoted(f"{schema}.{name}"))).mode("append").save()
-    done = record_applied(todo, rows, load_id)
+        counted = part if counted is None else counted.unionByName(part)
+    if counted is None:
+        return load_report(states, spark.createDataFrame([], APPLIED), schema, prefix)
+    done = record_applied(todo, counted, load_id)
     done.coalesce(1).write.format("jdbc").options(**options(applied_table)).mode("append").save()
     return load_report(states, done, schema, prefix)

@@ -40,6 +40,12 @@ class RawStore:
     path: str
     schema: str = DEFAULT_RAW_SCHEMA
     prefix: str = DEFAULT_RAW_PREFIX
+    # Most rows per file; None leaves a task's rows in one file per table.
+    batch_size: int | None = None
+
+    def __post_init__(self):
+        if self.batch_size is not None and self.batch_size <= 0:
+            raise ValueError("write batch size must be greater than zero")
 
     def _part(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{self.schema}/{name}"
@@ -99,9 +105,10 @@ class RawStore:
         rows = raw_envelope(lines, load_id).withColumn(
             "raw_table", raw_ident(F.col("stream_name"), self.prefix)
         )
-        rows.drop("stream_name").write.partitionBy("raw_table", "_load_id").mode("append").parquet(
-            self._part("raw")
-        )
+        writer = rows.drop("stream_name").write.partitionBy("raw_table", "_load_id").mode("append")
+        if self.batch_size is not None:
+            writer = writer.option("maxRecordsPerFile", self.batch_size)
+        writer.parquet(self._part("raw"))
 
     def write_applied(self, chunks: DataFrame, load_id: str) -> DataFrame:
         spark = chunks.sparkSession

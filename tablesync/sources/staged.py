@@ -317,11 +317,16 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
 
 
 def read_staged(spark: SparkSession, staging: Staging, streams=None) -> DataFrame:
-    """Lines of every committed chunk, or of the named streams only."""
-    chunks = read_manifest(spark, staging, all_attempts=False)
-    if streams is not None:
-        chunks = chunks.filter(F.col("stream_name").isin(list(streams)))
-    return read_chunks(spark, staging, chunks)
+    """Lines of every staged chunk, in either layout, or of the named streams only."""
+
+    def wanted(chunks):
+        return chunks if streams is None else chunks.filter(F.col("stream_name").isin(list(streams)))
+
+    lines = read_chunks(spark, staging, wanted(read_manifest(spark, staging, all_attempts=False)))
+    foreign = adopt_foreign_chunks(spark, staging)
+    if foreign is not None:
+        lines = lines.unionByName(read_foreign_chunks(spark, staging, wanted(foreign)))
+    return lines
 
 
 def list_chunks(spark: SparkSession, staging: Staging) -> DataFrame:
@@ -348,23 +353,21 @@ def _foreign_columns(file: Column) -> dict[str, Column]:
     }
 
 
-def _foreign_glob(staging: Staging) -> str:
-    return f"{staging.chunks}/streams/*/partitions/*/chunks"
+def _foreign_files(spark, staging: Staging, file_format: str) -> DataFrame:
+    reader = spark.read.format(file_format).option("pathGlobFilter", "*.jsonl.gz")
+    return reader.option("recursiveFileLookup", True).load(f"{staging.chunks}/streams")
 
 
 def list_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | None:
     """Files of the other layout, from the listing alone; names not ending in ``.jsonl.gz`` are
     ignored and a bad sequence number is an error."""
     try:
-        files = (
-            spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.gz")
-            .load(_foreign_glob(staging)).select("path", "length")
-        )
+        files = _foreign_files(spark, staging, "binaryFile").select("path", "length")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    rows = files.withColumns(_foreign_columns(F.col("path")))
+    rows = files.filter(F.col("path").rlike(_FOREIGN)).withColumns(_foreign_columns(F.col("path")))
     rows = rows.withColumnRenamed("length", "bytes_written").withColumns(
         {"file_count": F.lit(1), "max_file_bytes": F.col("bytes_written")}
     )
@@ -372,11 +375,10 @@ def list_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | No
 
 
 def _foreign_lines(spark, staging) -> DataFrame:
-    files = (
-        spark.read.format("text").option("pathGlobFilter", "*.jsonl.gz").load(_foreign_glob(staging))
-        .withColumns({"_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size")})
+    files = _foreign_files(spark, staging, "text").withColumns(
+        {"_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size")}
     )
-    return files.withColumns(_foreign_columns(F.col("_file")))
+    return files.filter(F.col("_file").rlike(_FOREIGN)).withColumns(_foreign_columns(F.col("_file")))
 
 
 def adopt_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablesync.model import MANIFEST
@@ -14,10 +15,11 @@ def read_stream_staged(
     spark: SparkSession, staging: Staging, max_attempts_per_batch: int | None = None
 ) -> DataFrame:
     """Stream of manifest rows: a chunk arrives when its attempt is committed."""
-    reader = spark.readStream.schema(MANIFEST)
+    layout = T.StructType([*MANIFEST.fields, T.StructField("run", T.StringType())])
+    reader = spark.readStream.schema(layout)
     if max_attempts_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", max_attempts_per_batch)
-    return reader.parquet(f"{staging.manifests}/run=*")
+    return reader.parquet(staging.manifests).drop("run")
 
 
 def stream_load(

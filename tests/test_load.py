@@ -114,3 +114,13 @@ def test_many_loads_use_a_join(spark, area, monkeypatch):
         load(spark, staging, store)
     monkeypatch.setattr(raw_store, "LISTED_LOADS", 1)
     assert store.read(spark).count() == 6 and store.applied(spark).count() == 3
+
+
+def test_batch_size_bounds_the_files(spark, tmp_path):
+    staging = Staging(str(tmp_path / "s"), "shop")
+    store = RawStore(str(tmp_path / "raw"), batch_size=4)
+    stage_rows(spark, staging, spark.range(25), 25, "r1")
+    load(spark, staging, store)
+    assert len(store.read(spark).inputFiles()) == 7 and store.read(spark).count() == 25
+    with pytest.raises(ValueError):
+        RawStore("x", batch_size=0)

@@ -113,6 +113,9 @@ def test_foreign_layout(spark, tmp_path):
     foreign(staging, "public.users", 0, '{"id":1}\n\n  {"id":2}\r\n{"id":3}')
     foreign(staging, "public.empty", 0, "")
     foreign(staging, "public.users", "notes.txt", "ignored")
+    os.makedirs(f"{staging.chunks}/streams/loose")
+    with gzip.open(f"{staging.chunks}/streams/loose/7.jsonl.gz", "wt") as f:
+        f.write("not a chunk")
     listed = staged.list_chunks(spark, staging).collect()
     assert [(r.stream_name, r.sequence) for r in listed] == [
         ("public.empty", 0), ("public.users", 0), ("public.users", 1)
@@ -125,6 +128,7 @@ def test_foreign_layout(spark, tmp_path):
         ("public.empty", 0): 0, ("public.users", 0): 3, ("public.users", 1): 1
     }
     lines = staged.read_foreign_chunks(spark, staging, adopted.filter("sequence = 0")).collect()
+    assert staged.read_staged(spark, staging, ["public.users"]).count() == 4
     assert sorted((r._row_number, r.value) for r in lines) == [(1, '{"id":1}'), (2, '{"id":2}'), (3, '{"id":3}')]
 
 

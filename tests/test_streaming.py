@@ -11,7 +11,7 @@ from tests_helpers import stage_rows
 
 
 def test_stream_loads_each_chunk_once(spark, tmp_path):
-    staging, store = Staging(str(tmp_path / "s"), "shop"), RawStore(str(tmp_path / "raw"))
+    staging, store = Staging(str(tmp_path / "s"), "sh:op +%"), RawStore(str(tmp_path / "raw"))
     progress = str(tmp_path / "progress")
 
     def go():
