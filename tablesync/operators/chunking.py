@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.codec import record_column
-from tablesync.session import broadcast_if_small, read_or_none, scratch_path
+from tablesync.session import broadcast_if_small, local_frame, read_or_none, scratch_path
 
 INDEX, SEQUENCE = "_row_index", "sequence"
 _ID, _TIE, _POS = "_row_id", "_tie", "_scan_pos"
@@ -91,7 +91,7 @@ def number_rows(df: DataFrame, order_by=(), unique: bool = False) -> Numbered:
     counts = sorted(tuple(r) for r in written.groupBy(partition).count().collect())
     ends = list(accumulate(n for _, n in counts))
     offsets = [(p, end - n) for (p, n), end in zip(counts, ends)]
-    offset_df = spark.createDataFrame(offsets, "_partition int, _offset bigint")
+    offset_df = local_frame(spark, offsets, "_partition int, _offset bigint")
     position = F.col(_ID).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     numbered = (
         written.withColumn("_partition", partition.cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablesync.functions.names import is_qualified, normalize_tables, quote_qualified_table
 from tablesync.model import CATALOG, FULL
+from tablesync.session import local_frame
 
 AUTO_APPLY, IGNORE, PAUSE = "auto-apply", "ignore", "pause"
 # Change kinds and resolutions of a schema event.
@@ -29,7 +30,7 @@ def catalog_rows(name: str, schema: T.StructType) -> list[tuple]:
 def catalog_of(spark: SparkSession, schemas: dict[str, T.StructType]) -> DataFrame:
     """Column catalog of known schemas: one row per column, nothing is scanned."""
     rows = [r for name in sorted(schemas) for r in catalog_rows(name, schemas[name])]
-    return spark.createDataFrame(rows, CATALOG)
+    return local_frame(spark, rows, CATALOG)
 
 
 def discover_columns(tables: dict[str, DataFrame], observe_nulls: bool = False) -> DataFrame:
@@ -77,7 +78,7 @@ def declared_keys(spark: SparkSession, keys: dict[str, list[str]]) -> DataFrame:
         for name, columns in sorted(keys.items())
         for i, c in enumerate(columns, 1)
     ]
-    return spark.createDataFrame(rows, "fully_qualified_name string, ordinal int, column_name string")
+    return local_frame(spark, rows, "fully_qualified_name string, ordinal int, column_name string")
 
 
 def verify_key(df: DataFrame, key) -> DataFrame:

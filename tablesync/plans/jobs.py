@@ -16,7 +16,7 @@ from tablesync.operators.checkpoint import (
 )
 from tablesync.operators.chunking import INDEX, assign_sequence, check_chunk_size, number_files, number_rows
 from tablesync.operators.schema import schema_fingerprint
-from tablesync.session import new_id
+from tablesync.session import local_frame, new_id
 from tablesync.sources.capture import (
     after_key, capture_capped, capture_incremental, position_from_text,
 )
@@ -127,7 +127,7 @@ def snapshot_to_staging(
     given = {normalize_tables([n])[0]: df for n, df in tables.items()}
     frames = {n: spark.read.parquet(t) if isinstance(t, str) else t for n, t in given.items()}
     keys = {normalize_tables([n])[0]: k for n, k in capture.keys.items()}
-    requested = spark.createDataFrame([(n,) for n in names], "table_name string")
+    requested = local_frame(spark, [(n,) for n in names], "table_name string")
     # One row per table.
     starts = {
         r["table_name"]: r
@@ -163,9 +163,9 @@ def snapshot_to_staging(
         return progress[0], empty
 
     done = run_tables(spark, stage, [n for n in names if n in starts], capture.parallelism)
-    progress = spark.createDataFrame([p for p, _ in done], PROGRESS)
+    progress = local_frame(spark, [p for p, _ in done], PROGRESS)
     if not done:
-        return Staged(spark.createDataFrame([], MANIFEST), progress, base, run)
+        return Staged(local_frame(spark, [], MANIFEST), progress, base, run)
     empty = [e for _, e in done if e]
     prints = {n: schema_fingerprint(frames[n].schema) for n in starts}
     written = [attempts[p["table_name"]] for p, _ in done if p["rows_emitted"]]
@@ -173,7 +173,7 @@ def snapshot_to_staging(
         found = chunk_manifest(spark, staging, written, prints, empty)
         manifest = commit_manifest(found, staging, run)
     else:
-        manifest = spark.createDataFrame([], MANIFEST)
+        manifest = local_frame(spark, [], MANIFEST)
     new_ledger = apply_progress(fold_checkpoint(base, manifest), progress, staging.pipeline)
     return Staged(manifest, progress, new_ledger, run)
 

@@ -21,7 +21,7 @@ from tablesync.operators import cdc, checkpoint, reconcile, runs, schema, writes
 from tablesync.operators.chunking import INDEX, SEQUENCE, capture_chunked, chunk_row_counts
 from tablesync.operators.load import load_totals
 from tablesync.plans.jobs import Capture, load_staging, replicate, snapshot_to_staging
-from tablesync.session import scratch_path
+from tablesync.session import local_frame, scratch_path
 from tablesync.sources import capture
 from tablesync.sources.keyed_table import KeyedTable
 from tablesync.sources.ledger import load_ledger, save_ledger
@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _stage(spark, tables, pipeline="shop", ledger=None, **options):
     """Stage tables in a fresh area; returns the area and the staged result."""
     staging = Staging(scratch_path(spark, "staging"), pipeline, prefix="/daily/")
-    ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
+    ledger = local_frame(spark, [], LEDGER) if ledger is None else ledger
     return staging, snapshot_to_staging(spark, tables, staging, Capture(**options), ledger)
 
 
@@ -298,7 +298,7 @@ def _customer_ledger(spark, sf) -> DataFrame:
         F.col("o_orderkey").alias(SEQUENCE), F.floor("o_totalprice").cast("bigint").alias("row_count"),
         F.col("o_orderpriority").alias("object_key"),
     )
-    ledger = checkpoint.fold_checkpoint(spark.createDataFrame([], LEDGER), manifest)
+    ledger = checkpoint.fold_checkpoint(local_frame(spark, [], LEDGER), manifest)
     done = customer.filter("c_mktsegment = 'MACHINERY'").select(
         F.lit("shop").alias("pipeline_name"), F.format_string("crm.c%d", F.col("c_custkey")).alias("table_name")
     )
@@ -347,7 +347,7 @@ def cursor_update(spark, sf):
     )
     fold = lambda agg: base.groupBy("pipeline_name", "table_name").agg(
         agg("o_orderdate").cast("string").alias("cursor_value"))
-    ledger = spark.createDataFrame([], LEDGER)
+    ledger = local_frame(spark, [], LEDGER)
     for agg in (F.min, F.max, lambda c: F.max(F.lit(None).cast("timestamp_ntz"))):
         ledger = checkpoint.update_cursor(ledger, fold(agg))
     return ledger.select("table_name", "last_cursor_value")
@@ -364,7 +364,7 @@ def _two_runs(spark, sf):
     store = RawStore(scratch_path(spark, "raw"))
     early = orders.filter("o_orderdate <= timestamp_ntz '1998-01-01'")
     first = snapshot_to_staging(
-        spark, {ORDERS: early}, staging, options, spark.createDataFrame([], LEDGER)
+        spark, {ORDERS: early}, staging, options, local_frame(spark, [], LEDGER)
     )
     load_staging(spark, staging, store)
     snapshot_to_staging(spark, {ORDERS: orders}, staging, options, first.ledger)
@@ -767,7 +767,7 @@ def stream_load_orders(spark, sf):
     progress = scratch_path(spark, "stream")
     options = Capture(INCREMENTAL, CHUNK, cursor="o_orderdate", keys={ORDERS: ["o_orderkey"]})
     early = orders.filter("o_orderdate <= timestamp_ntz '1998-01-01'")
-    ledger = spark.createDataFrame([], LEDGER)
+    ledger = local_frame(spark, [], LEDGER)
     for part in (early, orders):
         ledger = snapshot_to_staging(spark, {ORDERS: part}, staging, options, ledger).ledger
         stream_load(spark, staging, store, progress).awaitTermination()

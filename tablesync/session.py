@@ -6,9 +6,11 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows a DataFrame may have to be broadcast or collected: offsets, file lists, key lists.
 SMALL_ROWS = 200_000
@@ -45,6 +47,17 @@ def now_ms():
     return F.unix_millis(F.current_timestamp())
 
 
+def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A few driver rows as a local relation.
+
+    Spark knows its size, so joins with it need no shuffle, unlike a frame made of Python rows.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = {f.name: pa.array([r[i] for r in rows]) for i, f in enumerate(schema)}
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
 def read_or_none(spark: SparkSession, path: str, schema=None, **options) -> DataFrame | None:
     """A parquet folder, or None when nothing was written there yet."""
     reader = spark.read.options(**options)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablesync.functions.names import check_raw_idents, normalize_tables, raw_ident
 from tablesync.model import APPLIED, DEFAULT_RAW_PREFIX, DEFAULT_RAW_SCHEMA, select_as
 from tablesync.operators.load import chunk_states, check_conflicts, load_report, raw_envelope, record_applied
-from tablesync.session import new_id
+from tablesync.session import local_frame, new_id
 
 
 def quoted(table: str) -> str:
@@ -147,7 +147,7 @@ def load_jdbc(
         part.write.format("jdbc").options(**options(quoted(f"{schema}.{name}"))).mode("append").save()
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
-        return load_report(states, spark.createDataFrame([], APPLIED), schema, prefix)
+        return load_report(states, local_frame(spark, [], APPLIED), schema, prefix)
     done = record_applied(todo, counted, load_id)
     done.coalesce(1).write.format("jdbc").options(**options(applied_table)).mode("append").save()
     return load_report(states, done, schema, prefix)

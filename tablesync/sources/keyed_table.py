@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.operators.writes import latest_by_key, write_merge, write_upsert
-from tablesync.session import new_id, read_or_none
+from tablesync.session import local_frame, new_id, read_or_none
 
 _MAP = "bucket int, data_version string, version bigint"
 
@@ -58,7 +58,7 @@ class KeyedTable:
         ]
         rows = (
             spark.read.schema(self.schema).parquet(*paths) if paths
-            else spark.createDataFrame([], self.schema)
+            else local_frame(spark, [], self.schema)
         )
         return rows if raw or self.deleted is None else rows.filter(~F.col(self.deleted))
 
@@ -82,10 +82,13 @@ class KeyedTable:
             written = [r[0] for r in mine.select("bucket").distinct().collect()]
         mapping = {b: v for b, v in keep.items() if touched is not None and b not in touched}
         mapping.update({b: data_version for b in written})
-        entries = [(b, v) for b, v in sorted(mapping.items())] or [(None, None)]
-        spark.createDataFrame(entries, "bucket int, data_version string").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/versions/version={version + 1}")
+        self._publish(spark, mapping, version + 1)
+
+    def _publish(self, spark: SparkSession, mapping: dict[int, str], version: int) -> None:
+        """Write the bucket map of a version as one file, which makes the version current."""
+        entries = sorted(mapping.items()) or [(None, None)]
+        rows = local_frame(spark, entries, "bucket int, data_version string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/version={version}")
 
     def _touched(self, changes: DataFrame) -> set[int]:
         return {r[0] for r in changes.select(self._bucket().alias("b")).distinct().collect()}

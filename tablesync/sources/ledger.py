@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.model import LEDGER, select_as
-from tablesync.session import read_or_none
+from tablesync.session import local_frame, read_or_none
 
 _STORED = T.StructType([*LEDGER.fields, T.StructField("version", T.LongType())])
 
@@ -30,7 +30,7 @@ def load_ledger(spark: SparkSession, root: str, pipeline: str) -> DataFrame:
     """The newest ledger; empty when none was saved. Blank pipeline names are filled in."""
     rows, _ = _versions(spark, root, pipeline)
     if rows is None:
-        return spark.createDataFrame([], LEDGER)
+        return local_frame(spark, [], LEDGER)
     name = F.when(F.coalesce("pipeline_name", F.lit("")) == "", F.lit(pipeline))
     return select_as(
         rows.withColumn("pipeline_name", name.otherwise(F.col("pipeline_name"))), LEDGER

@@ -24,7 +24,7 @@ from tablesync.model import APPLIED, DEFAULT_RAW_PREFIX, DEFAULT_RAW_SCHEMA
 from tablesync.operators.load import (
     chunk_states, check_conflicts, load_report, raw_envelope, record_applied,
 )
-from tablesync.session import new_id, now_ms, read_or_none
+from tablesync.session import local_frame, new_id, now_ms, read_or_none
 
 _RAW = (
     "_object_key string, _sequence bigint, _row_number bigint, _loaded_at timestamp, "
@@ -52,7 +52,7 @@ class RawStore:
 
     def commits(self, spark: SparkSession) -> DataFrame:
         rows = read_or_none(spark, self._part("commits"), _COMMITS)
-        return spark.createDataFrame([], _COMMITS) if rows is None else rows
+        return local_frame(spark, [], _COMMITS) if rows is None else rows
 
     def _committed(self, rows: DataFrame) -> tuple[DataFrame, bool]:
         """Rows of finished loads, and whether a load ever superseded chunks of another."""
@@ -70,7 +70,7 @@ class RawStore:
         """Applied chunks, the newest load of each key."""
         rows = read_or_none(spark, self._part("applied"), APPLIED)
         if rows is None:
-            return spark.createDataFrame([], APPLIED)
+            return local_frame(spark, [], APPLIED)
         visible, replaced = self._committed(rows)
         if not replaced:
             return visible
@@ -81,7 +81,7 @@ class RawStore:
         """Visible raw rows of one stream, or of all with their ``raw_table``."""
         rows = read_or_none(spark, self._part("raw"), _RAW)
         if rows is None:
-            rows = spark.createDataFrame([], _RAW)
+            rows = local_frame(spark, [], _RAW)
         if stream is not None:
             rows = rows.filter(F.col("raw_table") == raw_ident(stream, self.prefix))
         visible, replaced = self._committed(rows)
@@ -114,7 +114,7 @@ class RawStore:
         spark = chunks.sparkSession
         written = read_or_none(spark, self._part("raw"), _RAW)
         if written is None:
-            written = spark.createDataFrame([], _RAW)
+            written = local_frame(spark, [], _RAW)
         applied = record_applied(chunks, written.filter(F.col("_load_id") == load_id), load_id)
         applied.write.partitionBy("_load_id").mode("append").parquet(self._part("applied"))
         stored = spark.read.schema(APPLIED).parquet(self._part("applied"))
@@ -151,7 +151,7 @@ class RawStore:
         if count("new") or conflicts:
             applied = self.append(read(todo), todo, conflicts, load_id)
         else:
-            applied = spark.createDataFrame([], APPLIED)
+            applied = local_frame(spark, [], APPLIED)
         skipped = chunks.join(
             applied.select("object_key"), "object_key", "left_anti"
         ).withColumn("state", F.lit("applied"))

@@ -26,7 +26,7 @@ from tablesync.functions.names import chunk_key
 from tablesync.model import (
     CONTENT_ENCODING, CONTENT_TYPE, DEFAULT_PARTITION, MANIFEST, select_as,
 )
-from tablesync.session import broadcast_if_small, new_id, now_ms, read_or_none
+from tablesync.session import broadcast_if_small, local_frame, new_id, now_ms, read_or_none
 
 CHUNK_COLUMNS = ("attempt", "stream_name", "partition_key", "sequence")
 _OWN_SCHEMA = (
@@ -126,7 +126,7 @@ def _attempt_lines(spark, staging, attempts) -> DataFrame:
 
 
 def _no_lines(spark) -> DataFrame:
-    return spark.createDataFrame([], _OWN_SCHEMA + ", _file string, _bytes bigint")
+    return local_frame(spark, [], _OWN_SCHEMA + ", _file string, _bytes bigint")
 
 
 def _lines(spark, staging, attempts) -> DataFrame:
@@ -174,8 +174,7 @@ def chunk_manifest(
     empty = [(a, s, DEFAULT_PARTITION, n, 0, 0, EMPTY_HASH, 0, 0) for a, s, n in empty_chunks]
     if empty:
         found = found.unionByName(
-            spark.createDataFrame(
-                empty,
+            local_frame(spark, empty,
                 "attempt string, stream_name string, partition_key string, sequence bigint, "
                 "row_count bigint, bytes_written bigint, content_hash string, "
                 "file_count bigint, max_file_bytes bigint",
@@ -216,7 +215,7 @@ def read_manifest(spark: SparkSession, staging: Staging, all_attempts: bool = Tr
     ``all_attempts``."""
     stored = read_or_none(spark, staging.manifests, MANIFEST)
     if stored is None:
-        return spark.createDataFrame([], MANIFEST)
+        return local_frame(spark, [], MANIFEST)
     rows = select_as(stored, MANIFEST)
     if all_attempts:
         return rows
