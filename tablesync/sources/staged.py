@@ -173,13 +173,12 @@ def chunk_manifest(
     found = summarize_lines(_lines(spark, staging, attempts), *CHUNK_COLUMNS)
     empty = [(a, s, DEFAULT_PARTITION, n, 0, 0, EMPTY_HASH, 0, 0) for a, s, n in empty_chunks]
     if empty:
-        found = found.unionByName(
-            local_frame(spark, empty,
-                "attempt string, stream_name string, partition_key string, sequence bigint, "
-                "row_count bigint, bytes_written bigint, content_hash string, "
-                "file_count bigint, max_file_bytes bigint",
-            )
+        columns = (
+            "attempt string, stream_name string, partition_key string, sequence bigint, "
+            "row_count bigint, bytes_written bigint, content_hash string, file_count bigint, "
+            "max_file_bytes bigint"
         )
+        found = found.unionByName(local_frame(spark, empty, columns))
     prints = fingerprints or {}
     fingerprint = F.lit(None).cast("string")
     if prints:
