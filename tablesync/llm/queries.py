@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import ngram_join, quality_rules
+from tablesync.llm import ngram_join, packing, quality_rules
 from tablesync.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +31,9 @@ def op2_quality_rules(spark, sf):
 def op3_ngram_join(spark, sf):
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return ngram_join.components(documents(spark, sf))
+
+
+@register
+def op4_packing(spark, sf):
+    """Documents packed into sequences of 2048 tokens."""
+    return packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
