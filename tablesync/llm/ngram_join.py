@@ -9,9 +9,9 @@ sketch toggles one bit per shingle, so that the Hamming distance of two sketches
 of the symmetric difference of the sets. The sketch is cut into ``D_k + 1`` parts: differing in at
 most ``D_k`` bits, linked documents agree in a whole part (pigeonhole). Documents are joined on
 (band, part, bits of the part), and the pairs found are verified on the shingles themselves. A part
-has 2**16 bits and is kept as the exclusive or of codes of its set bits. A part without a set bit
-says little; it is replaced by all parts of a second sketch, which by the same argument must agree
-somewhere as well.
+has 2**16 bits and is kept as the exclusive or of codes of its set bits. Parts without a set bit
+say little; a few spare parts make it safe to leave them out, except for a document with more empty
+parts than spare ones.
 
 No pair is written for every two members of a bucket. Sets that are equal are one vertex. A bucket
 becomes a group of vertices named after its smallest member; groups of one name are verified
@@ -27,7 +27,9 @@ its own text and never the smallest id unless all ids of its component are null.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from xxhash import xxh3_64_intdigest
 from tablesync.llm.common import (
     byte_texts, connected_components, mix, sequence_hashes, signed, stored, word_hashes,
 )
+from tablesync.session import broadcast_if_small
 
 PART_BITS = np.uint64(0xFFFF)
 BLOCK = 2048  # members of a bucket compared in one block; larger buckets are pairs of blocks
@@ -66,16 +69,6 @@ def fingerprint(s: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def band_of(n: int, t: Threshold) -> int:
-    """Sizes [bound(k), bound(k + 1)) are band k; each bound is the last one over the threshold."""
-    k, low = 0, 1
-    while True:
-        high = next_bound(low, t)
-        if n < high:
-            return k
-        k, low = k + 1, high
-
-
 def next_bound(low: int, t: Threshold) -> int:
     return max(low + 1, low * t.den // t.num + 1)
 
@@ -97,25 +90,34 @@ def parts(s: np.ndarray, count: int, salt: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=None)
+def layout(band: int, low: int, top: int, t: Threshold) -> tuple[int, int]:
+    """Parts of the sketches of a pair of bands, and how many of them may be empty without notice.
+
+    Sets of at most ``top`` shingles link only if they differ in at most
+    (1 - t) / (1 + t) * 2 * top of them. With ``spare`` parts more than pigeonhole needs, linked
+    documents agree in more than ``spare`` parts: in one with a set bit, if either has at most
+    ``spare`` empty ones.
+    """
+    need = (t.den - t.num) * 2 * top // (t.den + t.num) + 1
+    empty = need * math.exp(-low / need)
+    spare = 0 if empty < 0.02 else math.ceil(empty + 3 * math.sqrt(empty))
+    return need + spare, spare
+
+
 def bucket_keys(s: np.ndarray, t: Threshold, edges: list[int]) -> np.ndarray:
     """Hashed (band, part, bits) keys of a set, in its own band and as the smaller side of the next."""
     n = len(s)
-    own = int(np.searchsorted(edges, n, side="right")) - 1
+    own = bisect_right(edges, n) - 1
     out = []
     for band in (own, own + 1):
-        top = edges[band + 1] - 1  # largest size in the band
-        # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), both at most top
-        differ = (t.den - t.num) * 2 * top // (t.den + t.num)
-        first = parts(s, differ + 1, 2 * band + 1)
-        index = np.arange(differ + 1, dtype=np.uint64)
-        base = mix(np.uint64(band) + np.zeros(1, np.uint64))[0]
-        full = first != 0
-        out.append(mix(mix(index[full] + base) ^ first[full]))
-        empty = index[~full]
-        if len(empty):
-            second = parts(s, differ + 1, 2 * band + 2)
-            inner = mix(mix(index + base + np.uint64(1 << 40)) ^ second)
-            out.append(mix(inner[None, :] + mix(empty + base + np.uint64(1 << 41))[:, None]).ravel())
+        count, spare = layout(band, edges[max(band - 1, 0)], edges[band + 1] - 1, t)
+        bits = parts(s, count, 2 * band + 1)
+        index = np.arange(count, dtype=np.uint64) + np.uint64(band << 40)
+        full = bits != 0
+        if count - np.count_nonzero(full) > spare:
+            full[:] = True
+        out.append(mix(mix(index[full]) ^ bits[full]))
     return signed(np.concatenate(out))
 
 
@@ -265,7 +267,7 @@ def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshol
         "ngram-units",
     )
     wanted = units.select("vertex").distinct().join(holders, "vertex").select("vertex", "doc_id")
-    texts = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).join(wanted, "doc_id")
+    texts = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).join(broadcast_if_small(wanted), "doc_id")
 
     def sets(batches):
         for b in batches:
