@@ -7,9 +7,10 @@ credentials, and packing returns the sequences. No stage is expressed in SQL.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import ngram_join, quality_rules
+from tablesync.llm import decontaminate, ngram_join, packing, quality_rules, secret_scan
 from tablesync.llm.common import documents, stored
 
 
@@ -22,9 +23,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.mask(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("ngram_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secret_scan", without_secrets),
+    ("packing", packed),
 ]
 ORACLE_SQL = None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import ngram_join, packing, quality_rules
+from tablesync.llm import decontaminate, ngram_join, packing, quality_rules, secret_scan
 from tablesync.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,34 @@ def op3_ngram_join(spark, sf):
 def op4_packing(spark, sf):
     """Documents packed into sequences of 2048 tokens."""
     return packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op1_secret_scan(spark, sf):
+    """Secrets of every document, told apart by who holds them."""
+    return secret_scan.scan(documents(spark, sf))
+
+
+@register
+def op9_decontamination(spark, sf):
+    """Documents that contain a benchmark item, with the item and the share of it they hold."""
+    return decontaminate.contained(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+ORACLE["op9_decontamination"] = r"""
+WITH w AS (
+  SELECT doc_id AS id, FALSE AS item, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+  UNION ALL
+  SELECT item_id, TRUE, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
+), s AS (
+  SELECT DISTINCT id, item, unnest(CASE WHEN len(words) >= 5
+    THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (SELECT id, count(*) AS n_item FROM s WHERE item GROUP BY id
+), p AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM s AS d JOIN s AS i ON d.shingle = i.shingle AND NOT d.item AND i.item GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM p JOIN n ON item_id = n.id WHERE 100 * n_shared >= 80 * n_item
+"""

@@ -23,67 +23,141 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import stored, text_column
+from tablesync.session import broadcast_if_small
 
-# Kinds in order, pattern, the group whose length counts, and its least length.
+# Kinds in order, pattern, the group whose length counts, and its least length. Runs
+# that are too short are left out by the pattern where that changes no other match.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 FURTHER = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
     ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
     ("prefixed", r"(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|rk)[_-][A-Za-z0-9_-]{16,}", 0, 19),
-    ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]{0,80}[A-Z])(?=[A-Z0-9+/_-]{0,80}[a-z])(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{32,}", 0, 32),
+    ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]{0,40}[0-9A-Z])(?=[A-Z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{32,}", 0, 32),
 )
 KINDS = BASE + FURTHER
-BLOCK = 128  # lengths added up at a time, so that many matches cost little
-
 
 @dataclass(frozen=True)
 class Ownership:
     example_owners: int = 3  # a value held by so many owners is an example
 
 
-def running(lengths: Column) -> Column:
-    """Sums of all lengths before each, in two levels."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size(lengths) / BLOCK).cast("int") - 1), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
-    )
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
-    def before(_, i):
-        b = F.floor(i / BLOCK).cast("int")
-        inner = F.slice(lengths, b * BLOCK + 1, i - b * BLOCK)
-        return F.when(b > 0, total(F.slice(blocks, F.lit(1), b))).otherwise(F.lit(0).cast("long")) + total(inner)
-
-    return F.transform(lengths, before)
-
-
-def candidates(text: Column, order: int) -> Column:
-    """Matches of one kind as structs (start, order, end, value), empty where there is none."""
-    _, pattern, group, least = KINDS[order]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: F.struct(F.length(g).alias("gap"), F.length(f).alias("size")))
-    starts = running(F.transform(pairs, lambda p: (p["gap"] + p["size"]).cast("long")))
-    rows = F.transform(
-        F.arrays_zip(pairs.alias("pair"), starts.alias("before"), found.alias("value"), counted.alias("part")),
-        lambda z: F.struct(
-            (z["before"] + z["pair"]["gap"]).alias("start"), F.lit(order).alias("kind"),
-            (z["before"] + z["pair"]["gap"] + z["pair"]["size"]).alias("end"), z["part"].alias("value"),
-        ),
-    )
-    kind = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
-    return (
-        F.when(F.exists(counted, lambda v: F.length(v) >= least), F.filter(F.arrays_zip(rows.alias("r"), counted.alias("c")), lambda z: F.length(z["c"]) >= least)["r"].cast(kind))
-        .otherwise(F.array().cast(kind))
-    )
+
+def placed(kind: int) -> Column:
+    """Matches of one kind with their places, from the columns ``found``, ``part`` and ``gaps`` of the kind."""
+    found, part, gaps = (F.col(f"{c}{kind}") for c in ("found", "part", "gaps"))
+    pairs = F.zip_with(gaps, F.arrays_zip(found.alias("f"), part.alias("p")), lambda g, m: F.struct(g.alias("gap"), F.length(m["f"]).alias("size"), m["p"].alias("value")))
+
+    def add(acc, m):
+        start = acc["at"] + m["gap"]
+        row = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["size"]).alias("end"), m["value"].alias("value"))
+        return F.struct((start + m["size"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
+    rows = F.aggregate(F.slice(pairs, F.lit(1), F.size(found)), zero, add, lambda acc: acc["out"])
+    return F.when(F.size(found) > 0, F.filter(rows, lambda r: F.length(r["value"]) >= KINDS[kind][3])).otherwise(F.array().cast(SPANS))
 
 
 def listed(spans: Column) -> Column:
     """Spans as kind:start:end, comma-joined."""
-    name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), spans_kind := F.lit(1))  # noqa: F841
     names = F.array(*[F.lit(k[0]) for k in KINDS])
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, owner, repository, a key of the text, and all candidates in order.
+
+    Matches are stored before they are placed: an expression used twice would search the text twice.
+    """
+    owner = F.coalesce(docs["source"].cast("string"), F.lit(""))
+    texts = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), owner.alias("owner"),
+        F.concat_ws("/", owner, F.coalesce(docs["lang"].cast("string"), F.lit(""))).alias("repository"), text_column(docs).alias("_text"),
+    )
+    matched = texts.select("*", *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(f"found{k}") for k, (_, p, _, _) in enumerate(KINDS)])
+    cut = matched.select(
+        "doc_id", "owner", "repository", F.xxhash64("_text").alias("text_key"), *[f"found{k}" for k in range(len(KINDS))],
+        *[(F.when(F.size(f"found{k}") > 0, F.regexp_extract_all("_text", F.lit(p), F.lit(g))) if g else F.col(f"found{k}")).alias(f"part{k}")
+          for k, (_, p, g, _) in enumerate(KINDS)],
+        *[F.when(F.size(f"found{k}") > 0, F.transform(F.split("_text", p, -1), F.length)).alias(f"gaps{k}") for k, (_, p, _, _) in enumerate(KINDS)],
+    )
+    rows = stored(cut, "secret-matches")
+    found = F.array_sort(F.concat(*[placed(k) for k in range(len(KINDS))]))
+    return rows.select("doc_id", "owner", "repository", "text_key", found.alias("found"))
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """Distinct owners, repositories and rows of each candidate value, by hash.
+
+    Grouping by value and repository first leaves one row per value and repository, so a value that
+    a third of all documents hold is combined before it is shuffled.
+    """
+    each = found.select("owner", "repository", F.explode("found.value").alias("value")).select(
+        F.xxhash64("value").alias("hash"), "owner", "repository"
+    )
+    held = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    held = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_rows"))
+
+
+def judged(found: DataFrame, rule: Ownership) -> DataFrame:
+    """Per text: its findings, and those of them whose value looks live, both in order.
+
+    Texts that are copies of each other have the same candidates and are judged once.
+    """
+    each = found.select("text_key", F.explode("found").alias("s")).distinct().withColumn("hash", F.xxhash64("s.value"))
+    known = each.join(ownership(found), "hash").withColumn("live", F.col("n_owners") < rule.example_owners)
+    finding = known.filter((F.col("s.kind") < len(BASE)) | F.col("live"))
+    return finding.groupBy("text_key").agg(
+        F.array_sort(F.collect_list("s")).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"),
+        F.max("n_owners").alias("most_owners"),
+    )
+
+
+def scan(docs: DataFrame, rule: Ownership = Ownership()) -> DataFrame:
+    """One row per document: base counts and digest, all spans, live-looking and example findings."""
+    found = scanned(docs)
+    spans = judged(found.filter(F.size("found") > 0), rule).withColumnRenamed("text_key", "_key")
+    held = found.filter(F.size("found") > 0)
+    some = held.join(spans, held["text_key"] == spans["_key"], "left")
+    none = found.filter(F.size("found") == 0).select("*", F.lit(None).cast("long").alias("_key"), F.array().cast(SPANS).alias("spans"),
+                                                    F.array().cast(SPANS).alias("live"), F.lit(None).cast("long").alias("most_owners"))
+    both = some.union(none).select("doc_id", F.col("found"), *[F.coalesce(c, F.array().cast(SPANS)).alias(c) for c in ("spans", "live")], "most_owners")
+    base = F.filter("found", lambda s: s["kind"] < len(BASE))
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    return both.select(
+        "doc_id", *[count(k).alias(f"n_{BASE[k][0]}") for k in range(len(BASE))],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        listed(F.col("live")).alias("live_spans"), F.size("live").cast("long").alias("n_live"),
+        (F.size("spans") - F.size("live")).cast("long").alias("n_example"), "most_owners",
+    )
+
+
+def mask(docs: DataFrame, rule: Ownership = Ownership(), mark: str = "[SECRET]") -> DataFrame:
+    """The documents with live-looking values replaced, all columns kept.
+
+    Only texts with a live finding are joined with their spans; overlapping spans become one mark.
+    """
+    key = F.xxhash64(text_column(docs))
+    found = scanned(docs).filter(F.size("found") > 0)
+    live = judged(found, rule).filter(F.size("live") > 0).select(F.col("text_key").alias("_key"), F.col("live").alias("_live"))
+    live = broadcast_if_small(stored(live, "live-spans"), 50_000)
+    joined = docs.join(live, key == live["_key"], "left")
+    step = F.aggregate(
+        F.col("_live"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
+            F.concat(acc["out"], F.substring(docs["text"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"),
+            s["end"].alias("at"),
+        )).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
+    )
+    masked = F.concat(step["out"], F.substring(docs["text"], (step["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+    text = F.when(F.col("_live").isNull(), docs["text"]).otherwise(masked)
+    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
