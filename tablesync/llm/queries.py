@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesync.llm import decontaminate, ngram_join, packing, quality_rules, secret_scan
+from tablesync.llm import (
+    decontaminate, ngram_join, packing, phrase_automata, quality_rules, secret_scan, suffix_dedup,
+)
 from tablesync.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,18 @@ def op1_secret_scan(spark, sf):
     return secret_scan.scan(documents(spark, sf))
 
 
+@register
+def op6_phrase_automata(spark, sf):
+    """Words left after every 35-word window that recurs anywhere is removed."""
+    return phrase_automata.removed(documents(spark, sf))
+
+
+@register
+def op7_suffix_dedup(spark, sf):
+    """Bytes left after every 100-byte string that also starts earlier is removed."""
+    return suffix_dedup.removed(documents(spark, sf))
+
+
 @register
 def op9_decontamination(spark, sf):
     """Documents that contain a benchmark item, with the item and the share of it they hold."""
