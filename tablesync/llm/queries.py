@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.llm import (
-    decontaminate, ngram_join, packing, phrase_automata, quality_rules, secret_scan, suffix_dedup,
+    decontaminate, lm_trie, ngram_join, packing, phrase_automata, quality_rules, secret_scan, suffix_dedup,
 )
 from tablesync.llm.common import documents
 
@@ -59,6 +59,12 @@ def op7_suffix_dedup(spark, sf):
     return suffix_dedup.removed(documents(spark, sf))
 
 
+@register
+def op8_lm_scoring(spark, sf):
+    """log10 probability of every text under a trigram model of the training fold."""
+    return lm_trie.score(documents(spark, sf))
+
+
 @register
 def op9_decontamination(spark, sf):
     """Documents that contain a benchmark item, with the item and the share of it they hold."""
