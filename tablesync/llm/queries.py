@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.llm import (
-    decontaminate, lm_trie, ngram_join, packing, phrase_automata, quality_rules, secret_scan, suffix_dedup,
+    decontaminate, license_scan, lm_trie, ngram_join, packing, phrase_automata, quality_classifier, quality_rules,
+    secret_scan, suffix_dedup,
 )
 from tablesync.llm.common import documents
 
@@ -47,6 +48,12 @@ def op1_secret_scan(spark, sf):
     return secret_scan.scan(documents(spark, sf))
 
 
+@register
+def op5_license_scan(spark, sf):
+    """License mentions of every document, by ordered signatures."""
+    return license_scan.scan(documents(spark, sf))
+
+
 @register
 def op6_phrase_automata(spark, sf):
     """Words left after every 35-word window that recurs anywhere is removed."""
@@ -88,3 +95,9 @@ WITH w AS (
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM p JOIN n ON item_id = n.id WHERE 100 * n_shared >= 80 * n_item
 """
+
+
+@register
+def op10_quality_classifier(spark, sf):
+    """Probabilities that a document is good and toxic, from its words and from its site."""
+    return quality_classifier.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
