@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Microsecond formats: Spark's JSON default is milliseconds and would lose digits.
+# Microsecond formats: Spark's JSON default is milliseconds and would lose digits. Spark refuses
+# strings of 20 million characters unless told otherwise.
 JSON_OPTIONS = {
+    "maxStringLen": str((1 << 31) - 1),
     "ignoreNullFields": "false",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -21,11 +25,20 @@ def record_column(df: DataFrame, columns=None, json_columns=()) -> Column:
     for name in columns:
         if isinstance(df.schema[name].dataType, _INTERVALS):
             raise TypeError(f"column {name} has an interval type, which has no JSON form")
-    fields = [
-        F.parse_json(F.col(f"`{c}`")).alias(c) if c in json_columns else F.col(f"`{c}`")
-        for c in columns
-    ]
-    return F.to_json(F.struct(*fields), JSON_OPTIONS)
+    plain = lambda names: F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), JSON_OPTIONS)
+    if not json_columns:
+        return plain(columns)
+    parts = []
+    for name in columns:
+        if name in json_columns:
+            # A valid document has line breaks only between its tokens.
+            text = F.translate(checked_json(F.col(f"`{name}`")), "\r\n", "  ")
+            label = F.lit(json.dumps(name, ensure_ascii=False) + ":")
+            parts.append(F.concat(label, F.coalesce(text, F.lit("null"))))
+        else:
+            field = plain([name])
+            parts.append(F.substring(field, F.lit(2), F.length(field) - 2))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def encode_rows(df: DataFrame, columns=None, json_columns=(), keep=()) -> DataFrame:
@@ -41,10 +54,15 @@ def not_blank(value: Column) -> Column:
 
 
 def checked_json(value: Column) -> Column:
-    """``value`` itself when it is valid JSON; otherwise the job fails."""
+    """``value`` itself when it is one JSON value of any size and kind; otherwise the job fails.
+
+    Between brackets a line must be a list of exactly one element, which text after the value, a
+    second value or a cut one is not.
+    """
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", JSON_OPTIONS)
+    bad = value.isNotNull() & F.coalesce(F.size(listed) != 1, F.lit(True))
     return F.when(
-        F.try_parse_json(value).isNull(),
-        F.raise_error(F.concat(F.lit("invalid staged JSON line: "), F.left(value, F.lit(200)))),
+        bad, F.raise_error(F.concat(F.lit("invalid staged JSON line: "), F.left(value, F.lit(200)))),
     ).otherwise(value)
 
 
@@ -54,11 +72,15 @@ def decode_lines(lines: DataFrame, schema: T.StructType | None = None, column: s
     rows = lines.filter(not_blank(F.col(column)))
     if schema is None:
         return rows.withColumn(column, F.parse_json(value))
-    return rows.withColumn(column, _from_json(value, schema))
+    return rows.withColumn(column, _from_json(checked_json(value), schema))
 
 
 def _from_json(value: Column, schema: T.StructType) -> Column:
-    return F.from_json(value, schema, {**JSON_OPTIONS, "mode": "FAILFAST"})
+    """Typed value of one JSON line; text after it is an error, as it is for ``checked_json``."""
+    listed = F.from_json(
+        F.concat(F.lit("["), value, F.lit("]")), T.ArrayType(schema), {**JSON_OPTIONS, "mode": "FAILFAST"}
+    )
+    return F.get(listed, F.lit(0))
 
 
 def project_typed(raw: DataFrame, schema: T.StructType, column: str = "_data", keep=()):

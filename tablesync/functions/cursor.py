@@ -11,7 +11,7 @@ _ALLOWED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.Timestam
 
 def check_cursor_type(dtype: T.DataType) -> None:
     if not isinstance(dtype, _ALLOWED):
-        raise TypeError(f"a cursor must be a number, text, date or time, not {dtype.simpleString()}")
+        raise TypeError(f"{dtype.simpleString()} columns have no order to resume by; choose a numeric, text or time column")
 
 
 def cursor_text(value: Column, dtype: T.DataType) -> Column:
@@ -35,6 +35,27 @@ def cursor_literal(text, dtype: T.DataType) -> Column:
     return F.lit(str(text)).cast(dtype)
 
 
+def newer_cursor(new: Column, old: Column, dtype: Column) -> Column:
+    """The greater of two cursors stored as text, compared as ``dtype`` (a column of type names).
+
+    Whole numbers, decimals and microseconds compare as decimals and so keep all their digits;
+    dates, times and text are ordered as they are written. A cursor of an unknown type yields to
+    the new one, as does any to one it cannot be compared with.
+    """
+    exact = "tinyint|smallint|int|bigint|timestamp|decimal.*"
+    number = lambda c, t: c.try_cast(t)
+    greater = (
+        F.when(dtype.isNull(), F.lit(True))
+        .when(dtype.rlike(f"^({exact})$"), F.coalesce(
+            number(new, "decimal(38,18)") >= number(old, "decimal(38,18)"),
+            number(new, "decimal(38,0)") >= number(old, "decimal(38,0)"),
+        ))
+        .when(dtype.rlike("^(float|double)$"), number(new, "double") >= number(old, "double"))
+        .otherwise(new >= old)
+    )
+    return F.when(new.isNull(), old).when(old.isNull(), new).when(F.coalesce(greater, F.lit(True)), new).otherwise(old)
+
+
 def cursor_predicate(column: str, dtype: T.DataType, last, overlap=None) -> Column:
     """``column > last``; with ``overlap`` the window reaches back by that much."""
     bound = cursor_literal(last, dtype)

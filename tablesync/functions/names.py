@@ -95,6 +95,6 @@ def normalize_tables(names) -> list[str]:
     for name in names:
         parts = [p.strip() for p in name.strip().split(".")]
         if len(parts) != 2 or not all(parts):
-            raise ValueError(f"captured table {name.strip()!r} must use schema.table format")
+            raise ValueError(f"{name.strip()!r} is not a schema.table name")
         out.add(".".join(parts))
     return sorted(out)

@@ -22,6 +22,13 @@ SNAPSHOT_PLANNING, SNAPSHOT_RUNNING, SNAPSHOT_COMPLETE = (
 CDC_STARTING, CDC_RUNNING, PAUSED, FAILED = "cdc_starting", "cdc_running", "paused", "failed"
 
 
+def checked_changes(changes: DataFrame) -> DataFrame:
+    """The changes; one with a null or unknown operation fails the job."""
+    known = F.coalesce(F.col("op").isin(INSERT, UPDATE, DELETE), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("unknown change operation "), F.coalesce("op", F.lit("null"))))
+    return changes.withColumn("op", F.when(known, F.col("op")).otherwise(bad.cast("string")))
+
+
 def read_change_log(changes: DataFrame, key, payload: T.StructType | None = None) -> DataFrame:
     """Check a batch or streaming change log, and unpack a JSON ``payload`` column if a schema is
     given. Any source with the columns will do: files, Kafka, a table."""
@@ -29,9 +36,7 @@ def read_change_log(changes: DataFrame, key, payload: T.StructType | None = None
     missing = [c for c in (*CHANGE_COLUMNS, *key) if c not in changes.columns]
     if missing:
         raise ValueError(f"change log lacks columns: {', '.join(missing)}")
-    known = F.col("op").isin(INSERT, UPDATE, DELETE)
-    bad = F.raise_error(F.concat(F.lit("unknown change operation "), F.col("op")))
-    checked = changes.withColumn("op", F.when(known, F.col("op")).otherwise(bad.cast("string")))
+    checked = checked_changes(changes)
     if payload is None:
         return checked
     parsed = F.from_json("payload", payload, {**JSON_OPTIONS, "mode": "FAILFAST"})
@@ -41,6 +46,12 @@ def read_change_log(changes: DataFrame, key, payload: T.StructType | None = None
     )
 
 
+def newer_changes(changes: DataFrame, snapshot_lsn: int | None) -> DataFrame:
+    """Checked changes that the snapshot does not contain yet."""
+    checked = checked_changes(changes)
+    return checked if snapshot_lsn is None else checked.filter(F.col("lsn") > snapshot_lsn)
+
+
 def cdc_latest(changes: DataFrame, key, lsn: str = "lsn") -> DataFrame:
     """The last change of every key by log position."""
     return latest_by_key(changes, key, lsn)
@@ -55,7 +66,7 @@ def cdc_apply(
     delete of an unknown key has no effect.
     """
     key = [key] if isinstance(key, str) else list(key)
-    newer = changes if snapshot_lsn is None else changes.filter(F.col("lsn") > snapshot_lsn)
+    newer = newer_changes(changes, snapshot_lsn)
     latest = cdc_latest(newer, key)
     untouched = snapshot.join(latest.select(*key), key, "left_anti")
     alive = latest.filter(F.col("op") != DELETE)

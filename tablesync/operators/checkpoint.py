@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.functions.cursor import cursor_text
+from tablesync.functions.cursor import cursor_text, newer_cursor
 from tablesync.model import FULL, INCREMENTAL, LEDGER, MODES, NONE, PROGRESS, select_as
 from tablesync.operators.chunking import SEQUENCE
 from tablesync.session import now_ms
@@ -23,33 +23,29 @@ def table_progress(
     ``finished`` is False when a cap cut the table. An unchunked capture always uses up one
     sequence number, also when it was empty.
     """
-    top = F.max(SEQUENCE) + 1
     fallback = F.lit(start_sequence + (1 if unchunked else 0)).cast("bigint")
-    dtype = chunked.schema[cursor].dataType if cursor else None
     row = chunked.agg(
-        F.coalesce(top, fallback).alias("next_sequence"),
-        F.count("*").alias("rows_emitted"),
-        (cursor_text(F.max(cursor), dtype) if cursor else F.lit(None).cast("string"))
-        .alias("max_cursor_value"),
-        (last_position(chunked, key) if key else F.lit(None).cast("string")).alias("last_key"),
+        F.coalesce(F.max(SEQUENCE) + 1, fallback).alias("next_sequence"),
+        *progress_columns(chunked, cursor, key),
     )
     row = row.withColumns(
         {
             "table_name": F.lit(table),
             "finished": F.lit(finished),
-            "cursor_type": F.lit(dtype.simpleString() if cursor else None).cast("string"),
+            "cursor_type": F.lit(chunked.schema[cursor].dataType.simpleString() if cursor else None).cast("string"),
         }
     )
     return select_as(row, PROGRESS)
 
 
-def progress_by_table(rows: DataFrame, cursor: str = "cursor_value") -> DataFrame:
-    """Progress of many tables at once from ``(table_name, sequence, <cursor>)`` rows."""
-    return rows.groupBy("table_name").agg(
-        (F.max(SEQUENCE) + 1).alias("next_sequence"),
+def progress_columns(rows: DataFrame, cursor: str | None = None, key=()) -> list[Column]:
+    """Aggregates of a capture: rows, greatest cursor, last key. They may be observed on a write."""
+    return [
         F.count("*").alias("rows_emitted"),
-        F.max(cursor).alias("max_cursor_value"),
-    )
+        (cursor_text(F.max(cursor), rows.schema[cursor].dataType) if cursor else F.max(F.lit(None).cast("string")))
+        .alias("max_cursor_value"),
+        (last_position(rows, key) if key else F.max(F.lit(None).cast("string"))).alias("last_key"),
+    ]
 
 
 def saturating_add(a: Column, b: Column) -> Column:
@@ -87,7 +83,11 @@ def fold_checkpoint(ledger: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def apply_progress(ledger: DataFrame, progress: DataFrame, pipeline: str) -> DataFrame:
-    """Take over cursors and keys (a null never clears a stored one) and completion."""
+    """Take over cursors and keys (a null never clears a stored one) and completion.
+
+    A cursor never moves back: a capture that reads again what came before, or whose newest rows
+    were deleted at the source, keeps the stored one.
+    """
     new = progress.select(
         F.lit(pipeline).alias("pipeline_name"), "table_name",
         F.col("max_cursor_value").alias("_cursor"), F.col("cursor_type").alias("_type"),
@@ -98,7 +98,10 @@ def apply_progress(ledger: DataFrame, progress: DataFrame, pipeline: str) -> Dat
     return select_as(
         joined.withColumns(
             {
-                "last_cursor_value": F.coalesce("_cursor", "last_cursor_value"),
+                "last_cursor_value": newer_cursor(
+                    F.col("_cursor"), F.col("last_cursor_value"),
+                    F.when(F.col("cursor_type") == F.col("_type"), F.col("_type")),
+                ),
                 "cursor_type": F.when(F.col("_cursor").isNotNull(), F.col("_type")).otherwise(
                     F.col("cursor_type")
                 ),
@@ -118,12 +121,15 @@ def apply_progress(ledger: DataFrame, progress: DataFrame, pipeline: str) -> Dat
 
 
 def update_cursor(ledger: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Overwrite cursors from ``(pipeline_name, table_name, cursor_value)``; nulls change nothing."""
+    """Move cursors up to those of ``(pipeline_name, table_name, cursor_value)``; nulls change nothing.
+
+    A ledger row that does not know its cursor's type takes any new value.
+    """
     joined = ledger.join(cursors, ["pipeline_name", "table_name"], "full")
     return select_as(
         joined.withColumns(
             {
-                "last_cursor_value": F.coalesce("cursor_value", "last_cursor_value"),
+                "last_cursor_value": newer_cursor(F.col("cursor_value"), F.col("last_cursor_value"), F.col("cursor_type")),
                 "next_sequence": F.coalesce("next_sequence", F.lit(0)),
                 "rows_staged": F.coalesce("rows_staged", F.lit(0)),
                 "completed": F.coalesce("completed", F.lit(False)),

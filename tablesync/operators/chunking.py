@@ -138,7 +138,7 @@ def assign_sequence(numbered: DataFrame, chunk_size: int | None, start_sequence:
 
 def check_chunk_size(chunk_size: int) -> None:
     if chunk_size <= 0:
-        raise ValueError("snapshot chunk size must be greater than zero")
+        raise ValueError("a chunk needs at least one row")
 
 
 def capture_chunked(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,7 +126,7 @@ def _merged_stats(present) -> Column:
 
 
 def fold_table_executions(events: DataFrame, order=("ts", "event_id")) -> DataFrame:
-    """Current row of each (run, stream): the last event, completed unless it says otherwise no,
+    """Current row of each (run, stream): the last event, not completed where it does not say so,
     finished at the last event with a final status."""
     carried = [c for c in events.columns if c not in ("run_id", "stream_name", *order)]
     final = F.col("status").isin(*TABLE_FINISHED)
@@ -165,7 +168,7 @@ def list_table_executions(executions: DataFrame, run_id=None) -> DataFrame:
     return executions.orderBy("run_id", "stream_name")
 
 
-# Least and most time segments the applies are cut into; their bounds reach the driver.
+# Least and most time segments the applies are cut into by default; their bounds reach the driver.
 SEGMENTS = (64, 1024)
 
 
@@ -185,9 +188,10 @@ def spec_versions(applies: DataFrame, segments: int | None = None) -> DataFrame:
     at = F.unix_micros(F.col("applied_at").cast("timestamp"))
     shares = [i / segments for i in range(1, segments)]
     bounds = applies.agg(F.percentile_approx(at, shares, 10_000)).first()[0] or []
-    # Sorted literals: the segment of a row is the number of bounds below it.
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    parts = hashed.withColumn("_segment", F.size(F.filter(cuts, lambda b: b < at)))
+    # The segment of a row is found by binary search; microseconds are exact as doubles until 2255.
+    cuts = [-math.inf, *sorted({float(b) for b in bounds} or {0.0}), math.inf]
+    bucketed = Bucketizer(splits=cuts, inputCol="_at", outputCol="_segment").transform(hashed.withColumn("_at", at.cast("double")))
+    parts = bucketed.withColumn("_segment", F.col("_segment").cast("int")).drop("_at")
 
     order = ["applied_at", "apply_id"]
     inside = W.partitionBy("pipeline_name", "_segment").orderBy(*order)
@@ -233,7 +237,7 @@ def drop_pipeline(
 ) -> dict[str, DataFrame]:
     """All metadata tables without one pipeline and what belongs to it.
 
-    A row whose run is already gone goes too: it belongs to no pipeline that is left.
+    Artifacts and executions of runs that no pipeline has stay as they are.
     """
     gone = pipelines.filter(F.col("name") == name).select(F.col("id").alias("pipeline_id"))
     if not gone.limit(1).collect():

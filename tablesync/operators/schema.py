@@ -67,7 +67,7 @@ def discover_tables(spark: SparkSession, names) -> DataFrame:
     names = normalize_tables(names)
     missing = [n for n in names if not spark.catalog.tableExists(n)]
     if missing:
-        raise LookupError(f"table {missing[0]} was not found")
+        raise LookupError(f"no table {missing[0]} in this session")
     return discover_columns({n: spark.table(n) for n in names})
 
 
@@ -109,7 +109,7 @@ def missing_tables(requested: DataFrame, catalog: DataFrame) -> DataFrame:
 def snapshot_plan(tables: DataFrame, chunk_size: int | None = None, mode: str = FULL) -> DataFrame:
     """Planned snapshot statement per table name; nothing is read from the tables."""
     name = F.col("table_name")
-    bad = F.raise_error(F.concat(F.lit("table "), name, F.lit(" must use schema.table format")))
+    bad = F.raise_error(F.concat(name, F.lit(" is not a schema.table name")))
     sql = F.concat(F.lit("SELECT * FROM "), quote_qualified_table(name))
     return tables.select(
         name.alias("table"),

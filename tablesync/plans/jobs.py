@@ -6,16 +6,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.functions.names import normalize_tables
 from tablesync.model import FULL, INCREMENTAL, MANIFEST, MODES, NONE, PROGRESS
 from tablesync.operators.checkpoint import (
-    apply_progress, fold_checkpoint, pending_tables, table_progress,
+    apply_progress, fold_checkpoint, pending_tables, progress_columns, table_progress,
 )
 from tablesync.operators.chunking import INDEX, assign_sequence, check_chunk_size, number_files, number_rows
 from tablesync.operators.schema import schema_fingerprint
+from tablesync.plans.run_log import RunLog
 from tablesync.session import local_frame, new_id
 from tablesync.sources.capture import (
     after_key, capture_capped, capture_incremental, position_from_text,
@@ -105,19 +106,34 @@ def _capture_table(df: DataFrame, capture: Capture, start, key):
         return rows, order, False
     if not cap_by:
         raise ValueError("a capped full capture needs the table's key, to resume above it")
-    rows, cut = capture_capped(rows, cap_by, capture.max_rows)
+    counted = rows
+    if capture.mode == INCREMENTAL and capture.overlap is not None:
+        counted = capture_incremental(df, capture.cursor, last)
+    rows, cut = capture_capped(rows, cap_by, capture.max_rows, counted)
     return rows, order, cut
 
 
+def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -> dict:
+    """Stage rows as one chunk, straight from the scan; what they amount to is observed on the way."""
+    seen = Observation(f"rows-{attempt}")
+    write_chunks(
+        rows.observe(seen, *progress_columns(rows, cursor, key)).withColumns(
+            {"stream_name": F.lit(name), "sequence": F.lit(sequence).cast("bigint")}
+        ),
+        staging, rows.columns, attempt, rows_per_file=capture.batch_size, json_columns=capture.json_columns,
+    )
+    return seen.get
+
+
 def snapshot_to_staging(
     spark: SparkSession, tables: dict[str, DataFrame | str], staging: Staging, capture: Capture,
     ledger: DataFrame, resume: bool = True, run: str | None = None,
 ) -> Staged:
     """Capture what the ledger leaves to do and stage it as one committed run.
 
-    A table is a DataFrame or the path of a parquet folder. A whole folder without a declared key
-    is numbered by file position, which saves the sort and the scratch copy that other captures
-    need.
+    A table is a DataFrame or the path of a parquet folder. Without a chunk size rows are written
+    as the scan yields them. In chunks, a whole folder without a declared key is numbered by file
+    position, which saves the sort and the scratch copy that other captures need.
 
     Nothing is written to the ledger: the caller saves ``Staged.ledger`` once the chunks are
     loaded, so that a failed load is captured again.
@@ -141,26 +157,28 @@ def snapshot_to_staging(
         start, key = starts[name], keys.get(name, [])
         df = frames[name]
         rows, order, cut = _capture_table(df, capture, start, key)
+        first = start["start_sequence"]
+        cursor = capture.cursor if capture.mode == INCREMENTAL else None
+        last_by = key if capture.mode == FULL else ()
+        if capture.chunk_size is None:
+            seen = _stage_whole(rows, name, first, staging, attempts[name], capture, cursor, last_by)
+            kind = df.schema[cursor].dataType.simpleString() if cursor else None
+            progress = (name, first + 1, not cut, seen["rows_emitted"], seen["max_cursor_value"], kind, seen["last_key"])
+            return progress, None if seen["rows_emitted"] else (attempts[name], name, first)
         if isinstance(given[name], str) and rows is df and not order:
             numbered = number_files(spark, given[name])
         else:
             numbered = number_rows(rows, order, unique=bool(key))
-        first = start["start_sequence"]
-        chunked = assign_sequence(numbered.df, capture.chunk_size, first)
-        unchunked = capture.chunk_size is None
-        if numbered.total:
-            write_chunks(
-                chunked.withColumn("stream_name", F.lit(name)), staging, df.columns, attempts[name],
-                INDEX, capture.batch_size if unchunked else None, capture.json_columns,
-                None if unchunked else -(-numbered.total // capture.chunk_size),
-            )
-        cursor = capture.cursor if capture.mode == INCREMENTAL else None
-        progress = table_progress(
-            chunked, name, first, cursor, key if capture.mode == FULL else (), not cut, unchunked
-        ).collect()
-        numbered.release()
-        empty = (attempts[name], name, first) if unchunked and not numbered.total else None
-        return progress[0], empty
+        try:
+            chunked = assign_sequence(numbered.df, capture.chunk_size, first)
+            if numbered.total:
+                write_chunks(
+                    chunked.withColumn("stream_name", F.lit(name)), staging, df.columns, attempts[name],
+                    INDEX, None, capture.json_columns, -(-numbered.total // capture.chunk_size),
+                )
+            return table_progress(chunked, name, first, cursor, last_by, not cut).first(), None
+        finally:
+            numbered.release()
 
     done = run_tables(spark, stage, [n for n in names if n in starts], capture.parallelism)
     progress = local_frame(spark, [p for p, _ in done], PROGRESS)
@@ -168,7 +186,7 @@ def snapshot_to_staging(
         return Staged(local_frame(spark, [], MANIFEST), progress, base, run)
     empty = [e for _, e in done if e]
     prints = {n: schema_fingerprint(frames[n].schema) for n in starts}
-    written = [attempts[p["table_name"]] for p, _ in done if p["rows_emitted"]]
+    written = [attempts[p[0]] for p, _ in done if p[3]]
     if written or empty:
         found = chunk_manifest(spark, staging, written, prints, empty)
         manifest = commit_manifest(found, staging, run)
@@ -196,7 +214,7 @@ def load_staging(
         )
     if not reports:
         raise LookupError(
-            f"no staged chunks found for pipeline {staging.pipeline} under {staging.base}"
+            f"pipeline {staging.pipeline} has staged nothing below {staging.base}"
         )
     out = reports[0]
     for r in reports[1:]:
@@ -207,15 +225,35 @@ def load_staging(
 def replicate(
     spark: SparkSession, tables: dict[str, DataFrame | str], staging: Staging, target: RawStore,
     capture: Capture, ledger_root: str, resume: bool = True, replace: bool = False,
+    log: RunLog | None = None,
 ) -> DataFrame:
     """Capture, stage, load, then save the ledger; returns the load report.
 
     The ledger moves last, so a failure anywhere repeats the capture and loses nothing. A run
-    with nothing new succeeds with an empty report.
+    with nothing new succeeds with an empty report. With a ``log`` the run's status, its tables'
+    states and its chunks are recorded as it goes, its failure included.
     """
-    ledger = load_ledger(spark, ledger_root, staging.pipeline)
-    staged = snapshot_to_staging(spark, tables, staging, capture, ledger, resume)
-    report = target.load(staged.manifest, lambda c: read_chunks(spark, staging, c), replace)
-    if capture.mode != NONE:
-        save_ledger(staged.ledger, ledger_root, staging.pipeline)
+    run = new_id()
+
+    def say(status, phase=None, step=None, stats=None):
+        if log is not None:
+            log.status(spark, run, staging.pipeline, status, phase, step, stats)
+
+    say("running", "snapshot", (0, 2))
+    try:
+        ledger = load_ledger(spark, ledger_root, staging.pipeline)
+        staged = snapshot_to_staging(spark, tables, staging, capture, ledger, resume, run)
+        if log is not None:
+            log.artifacts(run, staged.manifest)
+            log.tables(run, staged.manifest, staged.ledger, "staged")
+        say("running", "load", (1, 2))
+        report = target.load(staged.manifest, lambda c: read_chunks(spark, staging, c), replace)
+        if log is not None:
+            log.tables(run, staged.manifest, staged.ledger, "applied")
+        if capture.mode != NONE:
+            save_ledger(staged.ledger, ledger_root, staging.pipeline)
+    except Exception as e:
+        say("failed", stats={"error": f"{type(e).__name__}: {e}"[:2000]})
+        raise
+    say("succeeded", "done", (2, 2))
     return report

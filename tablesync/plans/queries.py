@@ -21,6 +21,7 @@ from tablesync.operators import cdc, checkpoint, reconcile, runs, schema, writes
 from tablesync.operators.chunking import INDEX, SEQUENCE, capture_chunked, chunk_row_counts
 from tablesync.operators.load import load_totals
 from tablesync.plans.jobs import Capture, load_staging, replicate, snapshot_to_staging
+from tablesync.plans.run_log import RunLog
 from tablesync.session import local_frame, scratch_path
 from tablesync.sources import capture
 from tablesync.sources.keyed_table import KeyedTable
@@ -86,6 +87,66 @@ def snapshot_unchunked(spark, sf):
     return project_typed(read_staged(spark, staging), customer.schema, "value")
 
 
+@register("SELECT * FROM lineitem")
+def unchunked_keyed_capture(spark, sf):
+    """A table with a declared key staged as one chunk, straight from the scan."""
+    lineitem = table(spark, sf, "lineitem")
+    keys = {LINEITEM: ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]}
+    staging, staged = _stage(spark, {LINEITEM: lineitem}, keys=keys)
+    store = RawStore(scratch_path(spark, "raw"))
+    load_staging(spark, staging, store)
+    return project_typed(store.read(spark, LINEITEM), lineitem.schema)
+
+
+@register("""
+SELECT lang, length(wide) AS n, md5(wide) AS digest
+FROM (SELECT lang, repeat(text, CAST(ceil(20000001.0 / length(text)) AS BIGINT)) AS wide FROM documents
+      QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id DESC) = 1)""")
+def wide_rows_round_trip(spark, sf):
+    """The longest text of each language, repeated beyond 20 million characters, through staging and load."""
+    longest = table(spark, sf, "documents").groupBy("lang").agg(F.max_by("text", F.struct("n_chars", "doc_id")).alias("text"))
+    wide = longest.select("lang", F.repeat("text", F.ceil(F.lit(20000001) / F.length("text")).cast("int")).alias("wide"))
+    staging, _ = _stage(spark, {"public.wide": wide}, chunk_size=2)
+    store = RawStore(scratch_path(spark, "raw"))
+    load_staging(spark, staging, store)
+    rows = project_typed(store.read(spark, "public.wide"), wide.schema)
+    return rows.select("lang", F.length("wide").cast("long").alias("n"), F.md5("wide").alias("digest"))
+
+
+@register("SELECT * FROM orders")
+def overlap_capped_runs(spark, sf):
+    """Capped incremental runs that each read a month again; folded by key nothing is missing."""
+    orders = table(spark, sf, "orders")
+    staging, store = Staging(scratch_path(spark, "staging"), "shop"), RawStore(scratch_path(spark, "raw"))
+    ledgers = scratch_path(spark, "ledger")
+    options = Capture(INCREMENTAL, CHUNK, orders.count() // 3 + 1, "o_orderdate", "INTERVAL 30 DAY")
+    for _ in range(4):
+        replicate(spark, {ORDERS: orders}, staging, store, options, ledgers)
+    return writes.latest_by_key(project_typed(store.read(spark, ORDERS), orders.schema), "o_orderkey", "o_orderdate")
+
+
+@register(f"""
+WITH t AS (SELECT 'public.customer' AS stream_name, count(*) AS n FROM customer
+           UNION ALL SELECT 'public.orders', count(*) FROM orders)
+SELECT stream_name, 'applied' AS status, n AS "rows", CAST(ceil(n / {CHUNK}.0) AS BIGINT) AS chunks,
+       TRUE AS checkpoint_completed, 'succeeded' AS run_status, CAST(ceil(n / {CHUNK}.0) AS BIGINT) AS artifacts FROM t""")
+def replicate_run_log(spark, sf):
+    """The states a real run recorded, folded by the run reports."""
+    tables = {f"public.{n}": table(spark, sf, n) for n in ("customer", "orders")}
+    log = RunLog(scratch_path(spark, "log"))
+    options = Capture(chunk_size=CHUNK, keys={"public.customer": ["c_custkey"], ORDERS: ["o_orderkey"]})
+    replicate(
+        spark, tables, Staging(scratch_path(spark, "staging"), "shop"), RawStore(scratch_path(spark, "raw")), options,
+        scratch_path(spark, "ledger"), log=log,
+    )
+    status = runs.fold_run_status(log.read(spark, "status")).select("run_id", F.col("status").alias("run_status"))
+    tables_done = runs.fold_table_executions(log.read(spark, "tables"))
+    held = runs.list_artifacts(log.read(spark, "artifacts")).groupBy("stream_name").agg(F.count("*").alias("artifacts"))
+    return tables_done.join(status, "run_id").join(held, "stream_name").select(
+        "stream_name", "status", "rows", "chunks", "checkpoint_completed", "run_status", "artifacts"
+    )
+
+
 @register("SELECT * FROM orders")
 def capped_then_resumed(spark, sf):
     """A capped run, then one that goes on above its last key with another chunk size."""
@@ -634,6 +695,18 @@ def keyed_table_merge(spark, sf):
     return stored.read(spark)
 
 
+@register(_MERGED)
+def keyed_table_rebucketed(spark, sf):
+    """The merge repeated after the stored table was cut into more buckets."""
+    target, updates = _order_target(spark, sf), _order_updates(spark, sf)
+    stored = KeyedTable(scratch_path(spark, "keyed"), ("o_orderkey",), target.schema, 8)
+    stored.replace(target)
+    stored.merge(updates, _UPDATE_ORDER)
+    stored = stored.rebucket(spark, 32)
+    stored.merge(updates, _UPDATE_ORDER)
+    return stored.read(spark)
+
+
 @register("SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'")
 def write_replace(spark, sf):
     """A stored table's contents swapped as one unit."""
@@ -774,6 +847,37 @@ def stream_load_orders(spark, sf):
     return project_typed(store.read(spark, ORDERS), orders.schema)
 
 
+@register("SELECT * FROM orders")
+def stream_load_restaged(spark, sf):
+    """A capture staged twice before one trigger, as after a crash before the ledger was saved."""
+    orders = table(spark, sf, "orders")
+    staging = Staging(scratch_path(spark, "staging"), "shop")
+    store = RawStore(scratch_path(spark, "raw"))
+    options = Capture(chunk_size=CHUNK, keys={ORDERS: ["o_orderkey"]})
+    for _ in range(2):
+        snapshot_to_staging(spark, {ORDERS: orders}, staging, options, local_frame(spark, [], LEDGER))
+    stream_load(spark, staging, store, scratch_path(spark, "stream")).awaitTermination()
+    return project_typed(store.read(spark, ORDERS), orders.schema)
+
+
+_LATE = _CHANGES + """
+SELECT * FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT c_custkey FROM newest WHERE lsn > 100)
+UNION ALL
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM newest WHERE op <> 'D' AND lsn > 100"""
+
+
+@register(_LATE)
+def stream_cdc_late_keys(spark, sf):
+    """A snapshot that lacks many of the changed keys; changes it contains already are left out."""
+    customer, events = table(spark, sf, "customer").filter("c_acctbal >= 0"), table(spark, sf, "events")
+    stored = cdc_table(scratch_path(spark, "cdc"), "c_custkey", customer.schema, 8)
+    changes = _changes(spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet"))
+    progress = scratch_path(spark, "stream")
+    cdc_stream(changes, stored, progress, FULL, customer, 100).awaitTermination()
+    cdc_stream(changes, stored, progress, FULL, customer, 100).awaitTermination()
+    return stored.read(spark).drop("_lsn", "_deleted")
+
+
 @register(_APPLIED)
 def stream_cdc(spark, sf):
     """Customers backfilled, then kept up from the event stream; the second start finds nothing."""

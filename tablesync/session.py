@@ -58,8 +58,20 @@ def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
     return spark.createDataFrame(pa.table(columns), schema)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies at a path or pattern; asked of the file system, so no query fails for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if "*" not in path:
+        return files.exists(place)
+    found = files.globStatus(place)
+    return found is not None and len(found) > 0
+
+
 def read_or_none(spark: SparkSession, path: str, schema=None, **options) -> DataFrame | None:
     """A parquet folder, or None when nothing was written there yet."""
+    if not path_exists(spark, path):
+        return None
     reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)

@@ -6,23 +6,17 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablesync.functions.codec import record_column
 from tablesync.functions.cursor import cursor_literal, cursor_predicate, cursor_text
 from tablesync.functions.names import normalize_tables
-from tablesync.operators.chunking import INDEX, number_rows
+from tablesync.operators.chunking import INDEX, number_rows, row_hash, sort_columns
 
 # Largest cap answered by a top-k scan, whose rows meet in one task. Above it the rows are
 # numbered across the cluster.
 TOP_K_ROWS = 100_000
 
 
-def capture_full(df: DataFrame) -> DataFrame:
-    """Every row of the table, unchunked."""
-    return df
-
-
 def capture_incremental(df: DataFrame, cursor: str, last=None, overlap=None) -> DataFrame:
     """Rows with ``cursor > last``; without ``last`` the whole table, null cursors included.
 
@@ -36,10 +30,10 @@ def capture_incremental(df: DataFrame, cursor: str, last=None, overlap=None) ->
 
 
 def capture_bounded(df: DataFrame, key, max_rows: int) -> DataFrame:
-    """The first ``max_rows`` rows in key order."""
+    """The first ``max_rows`` rows in key order, tied ones by a hash of the row."""
     keys = [key] if isinstance(key, str) else list(key)
     if max_rows <= TOP_K_ROWS:
-        return df.orderBy(*keys).limit(max_rows)
+        return df.orderBy(*sort_columns(keys), row_hash(df)).limit(max_rows)
     return number_rows(df, keys).df.filter(F.col(INDEX) < max_rows).drop(INDEX)
 
 
@@ -87,16 +81,20 @@ def after_key(df: DataFrame, position: dict) -> DataFrame:
     return df.filter((F.col(first) >= lits[0]) & (F.struct(*position) > F.struct(*lits)))
 
 
-def capture_capped(df: DataFrame, columns, max_rows: int) -> tuple[DataFrame, bool]:
+def capture_capped(
+    df: DataFrame, columns, max_rows: int, counted: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
     """About ``max_rows`` rows in key order, plus whether the cap cut the table.
 
     Rows tied with the last key all come along, and rows with a null key always belong to the
-    first capture, so a later run that starts above the last key misses nothing.
+    first capture, so a later run that starts above the last key misses nothing. ``counted`` are
+    the rows the cap counts, when it does not count all: rows read again must not use it up.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     if max_rows <= 0:
         raise ValueError("max_rows must be greater than zero")
-    not_null = df.filter(F.col(columns[0]).isNotNull())
+    counted = df if counted is None else counted
+    not_null = counted.filter(F.col(columns[0]).isNotNull())
     position = key_position(not_null, columns, max_rows)
     if position is None:
         return df, False
@@ -141,7 +139,3 @@ def capture_tables(tables: dict[str, DataFrame], json_columns=()) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def cursor_type_of(df: DataFrame, cursor: str | None) -> T.DataType | None:
-    return None if cursor is None else df.schema[cursor].dataType

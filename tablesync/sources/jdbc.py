@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablesync.functions.names import check_raw_idents, normalize_tables, raw_ident
 from tablesync.model import APPLIED, DEFAULT_RAW_PREFIX, DEFAULT_RAW_SCHEMA, select_as
 from tablesync.operators.load import chunk_states, check_conflicts, load_report, raw_envelope, record_applied
-from tablesync.session import local_frame, new_id
+from tablesync.session import local_frame, new_id, scratch_path
 
 
 def quoted(table: str) -> str:
@@ -118,21 +118,28 @@ def sink_options(url: str, table: str, batch_size: int, properties=None) -> dict
 def load_jdbc(
     chunks: DataFrame, read, url: str, schema: str = DEFAULT_RAW_SCHEMA,
     prefix: str = DEFAULT_RAW_PREFIX, batch_size: int = 100_000, replace: bool = False,
-    properties: dict | None = None, applied: DataFrame | None = None,
+    properties: dict | None = None, applied: DataFrame | None = None, reader=None, writer=None,
 ) -> DataFrame:
     """Load chunks into raw tables of a database, each chunk once.
 
     Raw rows carry the load's id and are appended in parallel batches; the applied rows follow in
     one transaction and make them count. Rows of a load that died have an id that no applied row
     has, so a join with ``_applied_chunks`` on ``(object_key, _load_id)`` never shows them.
-    ``applied`` replaces reading that table, for a first load.
+    ``applied`` replaces reading that table. A first load creates it, empty, before anything reads
+    it. What became of every chunk is fixed before the first row is written, and rows are counted
+    where they arrived. ``reader(table)`` and ``writer(rows, table)`` stand in for the database.
     """
     spark = chunks.sparkSession
     options = lambda table: sink_options(url, table, batch_size, properties)
+    reader = reader or (lambda table: spark.read.format("jdbc").options(**options(table)).load())
+    writer = writer or (lambda rows, table: rows.write.format("jdbc").options(**options(table)).mode("append").save())
     applied_table = f"{quoted(schema + '._applied_chunks')}"
     if applied is None:
-        applied = spark.read.format("jdbc").options(**options(applied_table)).load()
-    states = chunk_states(chunks, select_as(applied, APPLIED))
+        writer(local_frame(spark, [], APPLIED), applied_table)
+        applied = reader(applied_table)
+    path = scratch_path(spark, "chunk-states")  # one row per chunk
+    chunk_states(chunks, select_as(applied, APPLIED)).write.parquet(path)
+    states = spark.read.parquet(path)
     check_conflicts(states, replace)
     todo = states.filter("state <> 'applied'").drop("state")
     load_id = new_id()
@@ -143,11 +150,15 @@ def load_jdbc(
     for stream in streams:
         name = spark.range(1).select(raw_ident(stream, prefix)).first()[0]
         rows = raw_envelope(read(todo.filter(F.col("stream_name") == stream)), load_id)
-        part = rows.drop("stream_name")
-        part.write.format("jdbc").options(**options(quoted(f"{schema}.{name}"))).mode("append").save()
-        counted = part if counted is None else counted.unionByName(part)
+        target = quoted(f"{schema}.{name}")
+        writer(rows.drop("stream_name"), target)
+        # A task that was tried twice may have written rows twice under one load.
+        arrived = reader(target).filter(F.col("_load_id") == load_id).select("_object_key", "_row_number").distinct()
+        counted = arrived if counted is None else counted.unionByName(arrived)
     if counted is None:
         return load_report(states, local_frame(spark, [], APPLIED), schema, prefix)
-    done = record_applied(todo, counted, load_id)
-    done.coalesce(1).write.format("jdbc").options(**options(applied_table)).mode("append").save()
+    path = scratch_path(spark, "applied-chunks")
+    record_applied(todo, counted, load_id).write.parquet(path)
+    done = spark.read.schema(APPLIED).parquet(path)
+    writer(done.coalesce(1), applied_table)
     return load_report(states, done, schema, prefix)

@@ -2,12 +2,14 @@
 
 Rows live in ``data/bucket=<b>/version=<v>`` by the hash of their key. A change rewrites only the
 buckets it touches, under a new version, and then one small file that maps each bucket to its
-version makes the change visible as a whole. A failed change leaves folders nobody reads.
+version makes the change visible as a whole. A failed change leaves folders nobody reads. That file
+holds the number of buckets, too: a table opened with another number is refused, since its keys
+would be looked for in the wrong buckets, and ``rebucket`` rewrites it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from tablesync.operators.writes import latest_by_key, write_merge, write_upsert
 from tablesync.session import local_frame, new_id, read_or_none
 
-_MAP = "bucket int, data_version string, version bigint"
+_MAP = "bucket int, data_version string, buckets int, version bigint"
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,10 @@ class KeyedTable:
         newest = rows.agg(F.max("version")).first()[0]
         if newest is None:
             return {}, 0
-        current = rows.filter(F.col("version") == newest).select("bucket", "data_version").collect()
+        current = rows.filter(F.col("version") == newest).select("bucket", "data_version", "buckets").collect()
+        stored = {r["buckets"] for r in current} - {None, self.buckets}
+        if stored:
+            raise ValueError(f"{self.path} has {stored.pop()} buckets, not {self.buckets}; rebucket() changes that")
         return {r[0]: r[1] for r in current if r[0] is not None}, newest
 
     def read(self, spark: SparkSession, buckets=None, raw: bool = False) -> DataFrame:
@@ -75,19 +80,17 @@ class KeyedTable:
             *self.schema.fields, T.StructField("bucket", T.IntegerType()),
             T.StructField("version", T.StringType()),
         ])
-        stored = read_or_none(spark, f"{self.path}/data", layout)
-        written = []
-        if stored is not None:
-            mine = stored.filter(F.col("version") == data_version)
-            written = [r[0] for r in mine.select("bucket").distinct().collect()]
+        base = f"{self.path}/data"
+        mine = read_or_none(spark, f"{base}/bucket=*/version={data_version}", layout, basePath=base)
+        written = [] if mine is None else [r[0] for r in mine.select("bucket").distinct().collect()]
         mapping = {b: v for b, v in keep.items() if touched is not None and b not in touched}
         mapping.update({b: data_version for b in written})
         self._publish(spark, mapping, version + 1)
 
     def _publish(self, spark: SparkSession, mapping: dict[int, str], version: int) -> None:
         """Write the bucket map of a version as one file, which makes the version current."""
-        entries = sorted(mapping.items()) or [(None, None)]
-        rows = local_frame(spark, entries, "bucket int, data_version string")
+        entries = [(b, v, self.buckets) for b, v in sorted(mapping.items())] or [(None, None, self.buckets)]
+        rows = local_frame(spark, entries, "bucket int, data_version string, buckets int")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/version={version}")
 
     def _touched(self, changes: DataFrame) -> set[int]:
@@ -98,6 +101,13 @@ class KeyedTable:
         keep, version = self._mapping(rows.sparkSession)
         self._write(rows, None, keep, version)
 
+    def rebucket(self, spark: SparkSession, buckets: int) -> KeyedTable:
+        """The table rewritten into another number of buckets, as one unit."""
+        _, version = self._mapping(spark)
+        wider = replace(self, buckets=buckets)
+        wider._write(self.read(spark, raw=True), None, {}, version)
+        return wider
+
     def append(self, rows: DataFrame) -> None:
         self._rewrite(rows, lambda current: current.unionByName(rows.select(*self.schema.names)))
 

@@ -14,9 +14,9 @@ leaves files nobody reads. Chunks staged by other tools under
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from tablesync.functions.names import chunk_key
 from tablesync.model import (
     CONTENT_ENCODING, CONTENT_TYPE, DEFAULT_PARTITION, MANIFEST, select_as,
 )
-from tablesync.session import broadcast_if_small, local_frame, new_id, now_ms, read_or_none
+from tablesync.session import broadcast_if_small, local_frame, new_id, now_ms, path_exists, read_or_none
 
 CHUNK_COLUMNS = ("attempt", "stream_name", "partition_key", "sequence")
 _OWN_SCHEMA = (
@@ -107,9 +107,14 @@ def write_chunks(
 def one_file_per_task(spark: SparkSession) -> SparkSession:
     """A sibling session whose file scans never pack two files into one task.
 
-    Gzip files are not split either, so in such a scan a task is exactly one file.
+    Gzip files are not split either, so in such a scan a task is exactly one file. The caller's
+    settings hold in it as well.
     """
     sibling = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            sibling.conf.set(key, value)
+    sibling.conf.unset("spark.sql.files.maxPartitionNum")  # it would pack files again
     sibling.conf.set("spark.sql.files.openCostInBytes", str(1 << 60))
     # Rows come file by file, so a task that writes them out by table needs no sort.
     sibling.conf.set("spark.sql.maxConcurrentOutputFileWriters", "100")
@@ -230,7 +235,7 @@ def check_manifest_bucket(manifest: DataFrame, bucket: str) -> int:
         F.max(F.when(foreign, F.col("bucket"))).alias("bucket"),
     ).first()
     if row["foreign"]:
-        raise ValueError(f"chunk bucket mismatch: expected {bucket}, got {row['bucket']}")
+        raise ValueError(f"these chunks lie in bucket {row['bucket']}, this area is {bucket}")
     return row["n"]
 
 
@@ -324,7 +329,17 @@ def read_staged(spark: SparkSession, staging: Staging, streams=None) -> DataFram
     foreign = adopt_foreign_chunks(spark, staging)
     if foreign is not None:
         lines = lines.unionByName(read_foreign_chunks(spark, staging, wanted(foreign)))
-    return lines
+    return in_session(spark, lines)
+
+
+def in_session(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The same rows as a frame of the caller's session, whose views and settings then apply."""
+    name = f"staged_{uuid.uuid4().hex}"
+    rows.createGlobalTempView(name)
+    try:
+        return spark.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
 
 
 def list_chunks(spark: SparkSession, staging: Staging) -> DataFrame:
@@ -343,7 +358,7 @@ _FOREIGN = r"/streams/([^/]+)/partitions/([^/]+)/chunks/([^/]*)\.jsonl\.gz$"
 def _foreign_columns(file: Column) -> dict[str, Column]:
     path = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
     digits = F.regexp_extract(path, _FOREIGN, 3)
-    bad = F.raise_error(F.concat(F.lit("invalid staged chunk sequence in file name "), path))
+    bad = F.raise_error(F.concat(F.lit("no chunk number in file name "), path))
     return {
         "stream_name": F.regexp_extract(path, _FOREIGN, 1),
         "partition_key": F.regexp_extract(path, _FOREIGN, 2),
@@ -359,12 +374,9 @@ def _foreign_files(spark, staging: Staging, file_format: str) -> DataFrame:
 def list_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | None:
     """Files of the other layout, from the listing alone; names not ending in ``.jsonl.gz`` are
     ignored and a bad sequence number is an error."""
-    try:
-        files = _foreign_files(spark, staging, "binaryFile").select("path", "length")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not path_exists(spark, f"{staging.chunks}/streams"):
+        return None
+    files = _foreign_files(spark, staging, "binaryFile").select("path", "length")
     rows = files.filter(F.col("path").rlike(_FOREIGN)).withColumns(_foreign_columns(F.col("path")))
     rows = rows.withColumnRenamed("length", "bytes_written").withColumns(
         {"file_count": F.lit(1), "max_file_bytes": F.col("bytes_written")}

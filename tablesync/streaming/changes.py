@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablesync.operators.cdc import DELETE, PAUSED, SNAPSHOT_PLANNING, initial_phase
+from tablesync.operators.cdc import DELETE, PAUSED, SNAPSHOT_PLANNING, initial_phase, newer_changes
 from tablesync.operators.writes import latest_by_key
+from tablesync.session import local_frame, read_or_none
 from tablesync.sources.keyed_table import KeyedTable
 
 LSN, DELETED = "_lsn", "_deleted"
+MARK = "snapshot_lsn bigint"
 
 
 def cdc_table(path: str, key, row_schema: T.StructType, buckets: int = 16, files_per_bucket=1):
@@ -22,16 +24,31 @@ def cdc_table(path: str, key, row_schema: T.StructType, buckets: int = 16, files
     return KeyedTable(path, key, T.StructType(fields), buckets, files_per_bucket, LSN, DELETED)
 
 
-def backfill(table: KeyedTable, snapshot: DataFrame, snapshot_lsn: int) -> None:
-    """Fold a snapshot in at its log position; rows changed since are left alone."""
+def backfill(table: KeyedTable, snapshot: DataFrame, snapshot_lsn: int) -> bool:
+    """Fold a snapshot in at its log position; rows changed since are left alone.
+
+    A mark beside the table says so, and a snapshot with a mark is not folded in again.
+    """
+    spark = snapshot.sparkSession
+    if snapshot_lsn in backfilled(spark, table):
+        return False
     table.keep_latest(
         snapshot.withColumns({LSN: F.lit(snapshot_lsn).cast("bigint"), DELETED: F.lit(False)})
     )
+    mark = local_frame(spark, [(snapshot_lsn,)], MARK)
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{table.path}/backfills/position={snapshot_lsn}")
+    return True
+
+
+def backfilled(spark: SparkSession, table: KeyedTable) -> list[int]:
+    """Log positions of the snapshots folded in, in order."""
+    marks = read_or_none(spark, f"{table.path}/backfills", MARK)
+    return [] if marks is None else sorted(r[0] for r in marks.select("snapshot_lsn").collect())
 
 
-def apply_changes(table: KeyedTable, changes: DataFrame) -> None:
-    """Fold one batch of change records into the buckets it touches."""
-    rows = changes.withColumns(
+def apply_changes(table: KeyedTable, changes: DataFrame, snapshot_lsn: int | None = None) -> None:
+    """Fold one batch of change records above the snapshot into the buckets it touches."""
+    rows = newer_changes(changes, snapshot_lsn).withColumns(
         {LSN: F.col("lsn").cast("bigint"), DELETED: F.col("op") == DELETE}
     )
     table.keep_latest(latest_by_key(rows.select(*table.schema.names), list(table.key), LSN))
@@ -52,7 +69,9 @@ def cdc_stream(
         backfill(table, snapshot, snapshot_lsn)
     if changes is None:
         return None
-    writer = changes.writeStream.foreachBatch(lambda batch, _id: apply_changes(table, batch)).option(
+    done = backfilled(changes.sparkSession, table)
+    above = done[-1] if done else None
+    writer = changes.writeStream.foreachBatch(lambda batch, _id: apply_changes(table, batch, above)).option(
         "checkpointLocation", checkpoint
     )
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}

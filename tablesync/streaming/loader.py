@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablesync.model import MANIFEST
+from tablesync.operators.load import ChunkConflict
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import Staging, check_manifest_bucket, read_chunks
 
@@ -22,6 +24,20 @@ def read_stream_staged(
     return reader.parquet(staging.manifests).drop("run")
 
 
+def newest_attempts(chunks: DataFrame, replace: bool = False) -> DataFrame:
+    """One manifest row per key, that of the newest attempt; older ones must agree in content
+    unless ``replace``."""
+    by_key = chunks.groupBy("object_key").agg(
+        F.max("attempt").alias("_newest"), F.count_distinct("content_hash").alias("_contents")
+    )
+    if not replace:
+        clash = by_key.filter("_contents > 1").select("object_key").take(1)
+        if clash:
+            raise ChunkConflict(f"chunk {clash[0]['object_key']} was staged twice with unlike content")
+    joined = chunks.join(by_key, "object_key").filter(F.col("attempt").eqNullSafe(F.col("_newest")))
+    return joined.select(*chunks.columns)
+
+
 def stream_load(
     spark: SparkSession, staging: Staging, target: RawStore, checkpoint: str,
     continuous: str | None = None, replace: bool = False,
@@ -29,13 +45,15 @@ def stream_load(
     """Load arriving chunks exactly once.
 
     The stream carries only manifest rows; each micro-batch reads its chunks like the batch
-    loader. A replayed batch finds its keys applied and adds nothing. Without a ``continuous``
+    loader. A replayed batch finds its keys applied and adds nothing, and a key staged more than
+    once within a batch counts as its newest attempt. Without a ``continuous``
     interval the query loads what is there and stops.
     """
 
     def load(batch: DataFrame, _batch_id: int) -> None:
         check_manifest_bucket(batch, staging.bucket)
-        target.load(batch, lambda chunks: read_chunks(spark, staging, chunks), replace)
+        newest = newest_attempts(batch, replace)
+        target.load(newest, lambda chunks: read_chunks(spark, staging, chunks), replace)
 
     writer = (
         read_stream_staged(spark, staging).writeStream.foreachBatch(load)

@@ -91,7 +91,7 @@ def test_bucket_mismatch(spark, tmp_path):
     staging = Staging(str(tmp_path), "shop", bucket="mine")
     manifest = stage(spark, staging, spark.range(3), ["id"], 2)
     assert staged.check_manifest_bucket(manifest, "mine") == 2
-    with pytest.raises(ValueError, match="expected other, got mine"):
+    with pytest.raises(ValueError, match="bucket mine, this area is other"):
         staged.check_manifest_bucket(manifest, "other")
 
 
@@ -135,7 +135,7 @@ def test_foreign_layout(spark, tmp_path):
 def test_foreign_bad_sequence(spark, tmp_path):
     staging = Staging(str(tmp_path), "shop")
     foreign(staging, "a.b", "12x.jsonl.gz", "{}")
-    with pytest.raises(Exception, match="invalid staged chunk sequence"):
+    with pytest.raises(Exception, match="no chunk number"):
         staged.list_chunks(spark, staging).collect()
 
 
