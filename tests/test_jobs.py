@@ -41,23 +41,23 @@ def place(spark, tmp_path):
 @pytest.fixture
 def users(spark):
     return spark.createDataFrame(
-        [(i, f"User {i}", f"user{i}@smoke.test") for i in range(1, 8)], "id int, name string, email string"
+        [(i, f"member-{i}", f"m{i}@example.org") for i in range(1, 8)], "id int, name string, email string"
     )
 
 
 @pytest.fixture
 def orders(spark):
     return spark.createDataFrame(
-        [(i, i % 7 + 1, f"Product {i}", i * 100) for i in range(1, 13)],
+        [(i, i % 7 + 1, f"item-{i}", 5 + i * 250) for i in range(1, 13)],
         "id int, user_id int, product string, amount_cents int",
     )
 
 
-USERS, ORDERS = "public.smoke_users", "public.smoke_orders"
+USERS, ORDERS = "public.members", "public.invoices"
 KEYS = {USERS: ["id"], ORDERS: ["id"]}
 
 
-def test_smoke_tables_arrive_once(place, users, orders):
+def test_tables_arrive_once(place, users, orders):
     tables = {USERS: users, ORDERS: orders}
     assert place.run(tables, Capture(chunk_size=5, keys=KEYS)) == (5, 19, 0)
     assert place.rows(USERS, users.schema).exceptAll(users).count() == 0
