@@ -112,13 +112,15 @@ class RawStore:
 
     def write_applied(self, chunks: DataFrame, load_id: str) -> DataFrame:
         spark = chunks.sparkSession
-        written = read_or_none(spark, self._part("raw"), _RAW)
+        # Only this load's folders are listed, however many loads there were.
+        raw, loads = self._part("raw"), self._part("applied")
+        written = read_or_none(spark, f"{raw}/raw_table=*/_load_id={load_id}", _RAW, basePath=raw)
         if written is None:
             written = local_frame(spark, [], _RAW)
-        applied = record_applied(chunks, written.filter(F.col("_load_id") == load_id), load_id)
-        applied.write.partitionBy("_load_id").mode("append").parquet(self._part("applied"))
-        stored = spark.read.schema(APPLIED).parquet(self._part("applied"))
-        return stored.filter(F.col("_load_id") == load_id)
+        applied = record_applied(chunks, written, load_id)
+        applied.write.partitionBy("_load_id").mode("append").parquet(loads)
+        stored = read_or_none(spark, f"{loads}/_load_id={load_id}", APPLIED, basePath=loads)
+        return local_frame(spark, [], APPLIED) if stored is None else stored
 
     def commit(self, spark: SparkSession, load_id: str, replaced: int = 0) -> None:
         row = spark.range(1).select(

@@ -52,6 +52,10 @@ class Staging:
     def chunks(self) -> str:
         return f"{self.base}/pipelines/{self.pipeline}"
 
+    @property
+    def adopted(self) -> str:
+        return f"{self.base}/adopted/{self.pipeline}"
+
     @property
     def manifests(self) -> str:
         return f"{self.base}/manifests/{self.pipeline}"
@@ -376,29 +380,41 @@ def list_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | No
     ignored and a bad sequence number is an error."""
     if not path_exists(spark, f"{staging.chunks}/streams"):
         return None
-    files = _foreign_files(spark, staging, "binaryFile").select("path", "length")
+    files = _foreign_files(spark, staging, "binaryFile").select("path", "length", "modificationTime")
     rows = files.filter(F.col("path").rlike(_FOREIGN)).withColumns(_foreign_columns(F.col("path")))
     rows = rows.withColumnRenamed("length", "bytes_written").withColumns(
         {"file_count": F.lit(1), "max_file_bytes": F.col("bytes_written")}
     )
-    return describe_chunks(rows, staging)
+    modified = F.unix_millis("modificationTime")
+    return describe_chunks(rows, staging).withColumn("created_at_unix_ms", modified).drop("modificationTime")
 
 
-def _foreign_lines(spark, staging) -> DataFrame:
-    files = _foreign_files(spark, staging, "text").withColumns(
+def _foreign_lines(spark, paths: list[str]) -> DataFrame:
+    files = spark.read.text(paths).withColumns(
         {"_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size")}
     )
     return files.filter(F.col("_file").rlike(_FOREIGN)).withColumns(_foreign_columns(F.col("_file")))
 
 
 def adopt_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | None:
-    """Manifest rows, with real row counts and digests, for chunks of the other layout."""
+    """Manifest rows, with real row counts and digests, for chunks of the other layout.
+
+    A file is digested when it is first seen, or seen with another length or time, and its row is
+    kept beside the manifests; otherwise the kept row serves and no text is read.
+    """
     listed = list_foreign_chunks(spark, staging)
     if listed is None:
         return None
-    keys = ["stream_name", "partition_key", "sequence"]
-    counted = summarize_lines(_foreign_lines(spark, staging), *keys)
-    found = listed.select(*keys, "bytes_written").join(counted.drop("bytes_written"), keys, "left")
+    keys, same = ["stream_name", "partition_key", "sequence"], ["object_key", "bytes_written", "created_at_unix_ms"]
+    kept = read_or_none(spark, staging.adopted, MANIFEST)
+    kept = local_frame(spark, [], MANIFEST) if kept is None else select_as(kept, MANIFEST)
+    known = kept.join(listed.select(*same), same, "left_semi").dropDuplicates(same)
+    fresh = listed.join(known.select(*same), same, "left_anti")
+    paths = [r[0] for r in fresh.select("path").collect()]  # one row per new chunk
+    if not paths:
+        return select_as(known, MANIFEST)
+    counted = summarize_lines(_foreign_lines(spark, paths), *keys)
+    found = fresh.select(*keys, "bytes_written", "created_at_unix_ms").join(counted.drop("bytes_written"), keys, "left")
     found = found.withColumns(
         {
             "row_count": F.coalesce("row_count", F.lit(0)),
@@ -406,15 +422,22 @@ def adopt_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | N
             "file_count": F.lit(1), "max_file_bytes": F.col("bytes_written"),
         }
     )
-    return select_as(describe_chunks(found, staging), MANIFEST)
+    modified = F.col("_modified")
+    described = describe_chunks(found.withColumnRenamed("created_at_unix_ms", "_modified"), staging)
+    folder = f"{staging.adopted}/run={new_id()}"
+    select_as(described.withColumn("created_at_unix_ms", modified), MANIFEST).write.parquet(folder)
+    return select_as(known, MANIFEST).unionByName(spark.read.schema(MANIFEST).parquet(folder))
 
 
 def read_foreign_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> DataFrame:
     """``read_chunks`` for the other layout."""
     keys = ["stream_name", "partition_key", "sequence"]
-    numbered = number_lines(_foreign_lines(one_file_per_task(spark), staging), keys)
-    picked = numbered.join(broadcast_if_small(chunks.select(*keys)), keys, "left_semi")
-    return picked.select(
+    listed = list_foreign_chunks(spark, staging)
+    wanted = [r[0] for r in listed.join(chunks.select(*keys), keys, "left_semi").select("path").collect()]
+    sibling = one_file_per_task(spark)
+    lines = _foreign_lines(sibling, wanted) if wanted else _no_lines(sibling)
+    numbered = number_lines(lines, keys)
+    return numbered.select(
         staging.key().alias("object_key"), *keys, "_row_number",
         checked_json(F.col("value")).alias("value"),
     )

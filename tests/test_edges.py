@@ -1,5 +1,7 @@
 """Cases in which results used to go wrong: strict JSON, ties, cursors, restaged keys, change logs."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from tablesync.model import LEDGER, PROGRESS, REPORT
 from tablesync.operators import cdc, chunking
 from tablesync.operators import checkpoint as cp
 from tablesync.operators.load import ChunkConflict
-from tablesync.plans.jobs import Capture, replicate, snapshot_to_staging
+from tablesync.plans.jobs import Capture, load_staging, replicate, snapshot_to_staging
 from tablesync.plans.run_log import RunLog
 from tablesync.session import local_frame
-from tablesync.sources import capture, jdbc
+from tablesync.sources import capture, jdbc, staged
 from tablesync.sources.keyed_table import KeyedTable
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import Staging, read_chunks, read_manifest, read_staged
@@ -176,6 +178,30 @@ def test_failed_runs_are_recorded(spark, tmp_path):
     assert states == ["running", "failed"] and "boom" in log.read(spark, "status").filter("status = 'failed'").first().stats_json
 
 
+def test_foreign_chunks_are_digested_once(spark, tmp_path, monkeypatch):
+    staging, store = Staging(str(tmp_path / "s"), "shop"), RawStore(str(tmp_path / "raw"))
+    folder = tmp_path / "s/staging/pipelines/shop/streams/public.t/partitions/default/chunks"
+    folder.mkdir(parents=True)
+
+    def put(number, values):
+        with gzip.open(folder / f"{number:020d}.jsonl.gz", "wt") as f:
+            f.write("".join(f'{{"id":{v}}}\n' for v in values))
+
+    read = []
+    original = staged._foreign_lines
+    monkeypatch.setattr(staged, "_foreign_lines", lambda s, paths: read.append(len(paths)) or original(s, paths))
+    put(0, range(4))
+    put(1, range(4, 6))
+    assert sorted(r.rows_written for r in load_staging(spark, staging, store).collect()) == [2, 4]
+    read.clear()
+    assert [r.skipped for r in load_staging(spark, staging, store).collect()] == [True, True] and read == []
+    put(2, range(6, 9))
+    load_staging(spark, staging, store).collect()
+    assert read == [1, 1]  # the new file is digested, then loaded
+    ids = project_typed(store.read(spark), spark.range(1).schema)
+    assert sorted(r[0] for r in ids.collect()) == list(range(9))
+
+
 def test_jdbc_load_over_folders(spark, tmp_path):
     """Reader and writer stand in for the database: a first load, a second, and rows written twice."""
     staging = Staging(str(tmp_path / "s"), "shop")
