@@ -11,16 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.llm import decontaminate, ngram_join, packing, quality_rules, secret_scan
-from tablesync.llm.common import documents, stored
+from tablesync.llm.common import documents, ship_package, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.keep(docs, quality_rules.fit(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    ship_package(spark)
+    return ngram_join.keep_one(docs, ngram_join.Threshold(words=5, num=80, den=100))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +34,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from tablesync.llm import (
     decontaminate, license_scan, lm_trie, ngram_join, packing, phrase_automata, quality_classifier, quality_rules,
     secret_scan, suffix_dedup,
 )
-from tablesync.llm.common import documents
+from tablesync.llm.common import documents, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +20,13 @@ ORACLE: dict[str, str] = {}
 
 
 def register(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = query
+    return query
 
 
 @register
@@ -101,3 +107,41 @@ FROM p JOIN n ON item_id = n.id WHERE 100 * n_shared >= 80 * n_item
 def op10_quality_classifier(spark, sf):
     """Probabilities that a document is good and toxic, from its words and from its site."""
     return quality_classifier.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+ORACLE["op3_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(words) >= 4
+    THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(list_slice(words, i, i + 3), ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (SELECT id, count(*) AS n FROM s GROUP BY id
+), shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.id <> b.id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+), reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles,
+       least(doc_id, (SELECT min(o.doc_id) FROM reach JOIN w AS o ON o.id = reach.b WHERE reach.a = w.id)) AS component_id
+FROM w LEFT JOIN n ON n.id = w.id
+"""
+
+ORACLE["op6_phrase_automata"] = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), phrases AS (
+  SELECT id, i, array_to_string(list_slice(words, i, i + 34), ' ') AS phrase
+  FROM (SELECT id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)
+), covered AS (
+  SELECT DISTINCT id, unnest(range(i, i + 35)) AS p FROM phrases
+  WHERE phrase IN (SELECT phrase FROM phrases GROUP BY phrase HAVING count(*) > 1)
+), kept AS (
+  SELECT id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) ANTI JOIN covered USING (id, p) GROUP BY id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (id)
+"""
