@@ -18,7 +18,7 @@ from tablesync.functions.names import (
 )
 from tablesync.model import FULL, INCREMENTAL, LEDGER
 from tablesync.operators import cdc, checkpoint, reconcile, runs, schema, writes
-from tablesync.operators.chunking import INDEX, SEQUENCE, capture_chunked, chunk_row_counts
+from tablesync.operators.chunking import SEQUENCE, capture_chunked, chunk_row_counts
 from tablesync.operators.load import load_totals
 from tablesync.plans.jobs import Capture, load_staging, replicate, snapshot_to_staging
 from tablesync.plans.run_log import RunLog
