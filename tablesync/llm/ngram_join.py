@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tablesync.llm.common import (
-    byte_texts, connected_components, mix, sequence_hashes, signed, stored, word_hashes,
+    byte_texts, connected_components, give_back, mix, sequence_hashes, signed, stored, word_hashes,
 )
 from tablesync.session import broadcast_if_small
 
 PART_BITS = np.uint64(0xFFFF)
+NULL_ID = -(1 << 63)
 BLOCK = 2048  # members of a bucket compared in one block; larger buckets are pairs of blocks
 UNIT_SHINGLES = 1_000_000  # shingles verified in one task, about
 
@@ -122,23 +123,31 @@ def bucket_keys(s: np.ndarray, t: Threshold, edges: list[int]) -> np.ndarray:
 
 
 def describe(docs: DataFrame, t: Threshold) -> DataFrame:
-    """doc_id, number of shingles and the set's identity (null when there are none)."""
+    """doc_id, hash of the text, number of shingles and the set's identity (null when there are none)."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(x, t.words) for x in byte_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "vertex"],
+                ["doc_id", "text_key", "n_shingles", "vertex"],
             )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, vertex long"
+    return docs.select(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")).alias("text_key"), docs["text"].cast("string")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, vertex long"
     )
 
 
-def bucketed(docs: DataFrame, t: Threshold) -> DataFrame:
+def key_mask(rows: int) -> int:
+    """Bits of a key that are sent: enough that chance brings together one pair in some hundred rows.
+
+    A key only proposes candidates, so shorter keys cost a little checking and no result.
+    """
+    return (1 << min(63, math.ceil(math.log2(max(rows, 1) * 256)) + 14)) - 1
+
+
+def bucketed(docs: DataFrame, t: Threshold, mask: int = (1 << 63) - 1) -> DataFrame:
     """(key, vertex) of every distinct set; copies within a task give their keys once."""
 
     def run(batches):
@@ -155,8 +164,9 @@ def bucketed(docs: DataFrame, t: Threshold) -> DataFrame:
                 seen.add(vertex)
                 if len(s) >= edges[-2]:
                     edges = bounds(2 * len(s), t)
-                keys = bucket_keys(s, t, edges)
+                keys = bucket_keys(s, t, edges) & mask
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), vertex))], ["key", "vertex"])
+        give_back()
 
     return docs.select(docs["text"].cast("string")).filter("text is not null").mapInArrow(run, "key long, vertex long")
 
@@ -203,6 +213,8 @@ def groups(keys: DataFrame) -> DataFrame:
                 yield from rows(out)
                 out, size = [], 0
         yield from rows(out)
+        del key, vertex, order, out
+        give_back()
 
     def rows(out):
         if out:
@@ -256,7 +268,8 @@ def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshol
     """Verified links (a, b) between vertices that connect all linked vertices."""
     spark = docs.sparkSession
     members = grouped.select("name", "vertex").distinct()
-    holders = described.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "text_key")
+    holders = described.filter("vertex is not null").groupBy("vertex").agg(F.min(place).alias("place"), F.max("n_shingles").alias("n"))
     names = stored(members.join(holders, "vertex").groupBy("name").agg(F.sum("n").alias("n")), "ngram-names")
     total = names.agg(F.sum("n")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / UNIT_SHINGLES))
@@ -266,25 +279,15 @@ def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshol
         .select(F.pmod(F.xxhash64("name", part), F.lit(bins)).cast("int").alias("unit"), "part", "vertex").distinct(),
         "ngram-units",
     )
-    wanted = units.select("vertex").distinct().join(holders, "vertex").select("vertex", "doc_id")
-    texts = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).join(broadcast_if_small(wanted), "doc_id")
-
-    def sets(batches):
-        for b in batches:
-            made = [shingles(x, t.words) for x in byte_texts(b.column("text"))]
-            right = [fingerprint(s) == v for s, v in zip(made, b.column("vertex").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("vertex"), pa.array([s.tobytes() for s in made], pa.binary())], ["vertex", "shingles"]
-            ).filter(pa.array(right))
-
-    found = texts.select("text", "vertex").mapInArrow(sets, "vertex long, shingles binary")
-    sent = units.select("unit", "vertex").distinct().join(found, "vertex").select("unit", "vertex", "shingles")
+    wanted = units.select("vertex").distinct().join(holders, "vertex").select("vertex", "place._id", "place.text_key")
+    text = docs["text"].cast("string")
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    found = texts.join(broadcast_if_small(wanted), ["_id", "text_key"]).select("vertex", "text")
+    sent = units.select("unit", "vertex").distinct().join(found, "vertex").select("unit", "vertex", "text")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        vertex = left.column("vertex").to_numpy()
-        vertex, first = np.unique(vertex, return_index=True)
-        raw = left.column("shingles")
-        content = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in first]
+        vertex, first = np.unique(left.column("vertex").to_numpy(), return_index=True)
+        content = [shingles(x, t.words) for x in byte_texts(left.column("text").take(pa.array(first)).combine_chunks())]
         sizes = np.array([len(s) for s in content], np.int64)
         part, who = right.column("of_part").to_numpy(), right.column("member").to_numpy()
         where = np.searchsorted(vertex, who)
@@ -293,6 +296,8 @@ def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshol
         groups = np.split(where, np.flatnonzero(part[1:] != part[:-1]) + 1)
         pairs = forest(sizes, content, groups, t) if len(content) > 1 else []
         a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        del content, groups
+        give_back()
         return pa.table({"a": vertex[a], "b": vertex[b]})
 
     named = units.select(F.col("unit").alias("of_unit"), F.col("part").alias("of_part"), F.col("vertex").alias("member"))
@@ -302,7 +307,7 @@ def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshol
 def components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its own id when linked with nothing)."""
     described = stored(describe(docs, t), "ngram-sets")
-    grouped = stored(groups(bucketed(docs, t)), "ngram-groups")
+    grouped = stored(groups(bucketed(docs, t, key_mask(described.count()))), "ngram-groups")
     edges = links(docs, grouped, described, t)
     linked = connected_components(edges)
     sets = described.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"))
