@@ -121,7 +121,7 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 def map_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped."""
-    data = np.memmap(path, np.uint8, "r")
+    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     size = int.from_bytes(data[:8].tobytes(), "little")
     index = json.loads(data[8 : 8 + size].tobytes())
     out = {}

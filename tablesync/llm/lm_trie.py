@@ -39,8 +39,8 @@ from tablesync.llm.elias_fano import EliasFano, map_arrays, write_arrays
 from tablesync.session import scratch_path
 
 END = np.uint64(xxh3_64_intdigest(b"\n"))  # no word contains a line feed
-COUNT_WORDS = 3_000_000  # words counted together in a task
-SCORE_WORDS = 400_000  # words scored together in a task
+COUNT_WORDS = 2_000_000  # words counted together in a task
+SCORE_WORDS = 800_000  # words scored together in a task
 
 
 @dataclass(frozen=True)
@@ -155,11 +155,15 @@ class Model:
             if self.bounds[level - 1][s + 1] == self.bounds[level - 1][s]:
                 continue
             a = self.shard(level, s)
-            local = context[part] - bounds[s]
+            first = np.flatnonzero(np.diff(context[part], prepend=-1))  # one look-up for each context
+            local = context[part][first] - bounds[s]
             lo, hi = (a["pointers"].access(local + i).astype(np.int64) for i in (0, 1))
-            some = np.flatnonzero(hi > lo)
-            at = a["words"].find(base_of(a["words"], lo[some]) + word[part][some].astype(np.uint64), lo[some], hi[some])
-            found = np.full(len(local), -1)
+            base = base_of(a["words"], lo)
+            times = np.diff(np.append(first, part.stop - part.start))
+            some = np.flatnonzero(np.repeat(hi > lo, times))
+            lo, hi, base = (np.repeat(x, times)[some] for x in (lo, hi, base))
+            at = a["words"].find(base + word[part][some].astype(np.uint64), lo, hi)
+            found = np.full(part.stop - part.start, -1)
             found[some] = np.where(at >= 0, at + self.bounds[level - 1][s], -1)
             out[part] = found
         return out
