@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import stored
+from tablesync.llm.common import give_back, stored
 from tablesync.session import local_frame
 
-CACHE_PIECES = 300_000  # pieces a worker keeps the ids of; the rest is encoded again, batch by batch
+CACHE_PIECES = 600_000  # pieces a task keeps the ids of; the rest is encoded again, batch by batch
+MARKS = ".,!?;:"
+TEXTS = 2_000  # texts encoded together
 LEAST_RANKED, MOST_RANKED, SALTS = 1_000, 500_000, 64  # rows of a class ranked together; ways a middling class is split
 
 
@@ -58,8 +60,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.adjacent = regex.compile(r"\s\s")
+        self.forget()
+        # an id that begins with a space begins a piece, as no piece has a space inside
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins = np.array([t.startswith("\u0120") for t in tokens])
+
+    def forget(self) -> None:
+        """Drops what was learned; other stages of a job need the memory."""
         self.cache: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -76,44 +85,68 @@ class Encoder:
             out.extend([" " + x for x in rest])
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece: pieces that start with a space are encoded joined, as one text."""
-        joined = [p for p in pieces if p[0] == " " and len(p) > 1]
-        done: dict[str, np.ndarray] = {}
-        blocks = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
-        for block, e in zip(blocks, self.tokenizer.encode_batch(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum([len(p) for p in block])
-            cut = np.searchsorted(np.array([o[0] for o in e.offsets]), ends[:-1], side="left")
-            done.update(zip(block, np.split(ids, cut), strict=True))
-        rest = [p for p in pieces if p not in done]
-        done.update(zip(rest, self.plain(rest), strict=True))
-        return [done[p] for p in pieces]
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where those of each end; pieces that start with a space are encoded joined."""
+        joined = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1]
+        rest = [i for i, p in enumerate(pieces) if p[0] != " " or len(p) == 1]
+        blocks = ["".join([pieces[i] for i in joined[k : k + 2000]]) for k in range(0, len(joined), 2000)]
+        together = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(blocks, add_special_tokens=False)]
+        spaced = np.concatenate([np.zeros(0, np.uint32), *together])
+        single = self.plain([pieces[i] for i in rest])
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[joined] = np.diff(np.append(np.flatnonzero(self.begins[spaced]), len(spaced)))
+        sizes[rest] = [len(x) for x in single]
+        order = np.argsort(np.array(joined + rest, np.int64), kind="stable")
+        at = np.concatenate([[0], np.cumsum(sizes[joined + rest])])
+        ids = np.concatenate([spaced, *single])
+        n = sizes[np.arange(len(pieces))]
+        ends = np.cumsum(n)
+        return ids[np.repeat(at[order] - ends + n, n) + np.arange(len(ids))], ends
+
+    def learn(self, pieces: set[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Numbers new pieces after the known ones; returns them, all ids and where each piece's start.
+
+        A letter and the mark after it never share an id, so a word with a mark is encoded as two.
+        """
+        marked = [p for p in pieces if p[-1] in MARKS and p[1:-1].isalpha() and p[0] == " "]
+        plain = list((pieces.difference(marked) | {p[:-1] for p in marked} | {p[-1] for p in marked}) - self.cache.keys())
+        first = len(self.starts) - 1
+        ids, ends = self.encode(plain) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids, starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + ends])
+        self.cache.update(zip(plain, range(first, first + len(plain)), strict=True))
+        if marked:
+            at = np.array([[self.cache[p[:-1]], self.cache[p[-1]]] for p in marked]).ravel()
+            n = starts[at + 1] - starts[at]
+            ends = np.cumsum(n)
+            more = ids[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])]
+            self.cache.update(zip(marked, range(len(starts) - 1, len(starts) - 1 + len(marked)), strict=True))
+            ids, starts = np.concatenate([ids, more]), np.concatenate([starts, len(ids) + ends[1::2]])
+        return plain + marked, ids, starts
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
         whole = [self.adjacent.search(t) is not None for t in texts]
         cut = [None if w else self.pieces(t) for t, w in zip(texts, whole, strict=True)]
-        new = list(dict.fromkeys(p for ps in cut if ps for p in ps if p not in self.cache))
-        known = len(self.cache)
-        number = self.cache if known + len(new) <= CACHE_PIECES else dict(self.cache)
-        ids = self.encode_pieces(new)
-        for i, p in enumerate(new):
-            number[p] = known + i
-        sizes = np.array([len(x) for x in ids], np.int64)
-        all_ids = np.concatenate([self.ids.astype(np.uint32), *ids]) if ids else self.ids.astype(np.uint32)
-        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        if number is self.cache:
-            self.ids, self.starts = all_ids, starts
+        distinct: set[str] = set()
+        for ps in cut:
+            if ps:
+                distinct.update(ps)
+        new, ids, starts = self.learn(distinct - self.cache.keys())
+        full = len(self.cache) > CACHE_PIECES
+        if not full:
+            self.ids, self.starts = ids, starts
         for t, w, ps in zip(texts, whole, cut, strict=True):
             if w:
                 yield self.plain([t])[0]
                 continue
-            at = np.fromiter(map(number.__getitem__, ps), np.int64, len(ps))
+            at = np.fromiter(map(self.cache.__getitem__, ps), np.int64, len(ps))
             n = starts[at + 1] - starts[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            yield all_ids[np.repeat(starts[at] - ends + n, n) + np.arange(total)]
+            yield ids[np.repeat(starts[at] - ends + n, n) + np.arange(total)]
+        if full:
+            for p in new:
+                del self.cache[p]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -137,9 +170,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, layout: Layout) -> DataFrame
         for b in batches:
             ids_of = b.column("doc_id").to_pylist()
             texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 1000):
+            for lo in range(0, len(texts), TEXTS):
                 rows = []
-                for doc_id, ids in zip(ids_of[lo : lo + 1000], encode([t or "" for t in texts[lo : lo + 1000]]), strict=True):
+                for doc_id, ids in zip(ids_of[lo : lo + TEXTS], encode([t or "" for t in texts[lo : lo + TEXTS]]), strict=True):
                     data = np.append(ids, layout.end_id).astype("<u4")
                     for start in range(0, len(data), layout.length):
                         piece = data[start : start + layout.length]
@@ -147,6 +180,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, layout: Layout) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 )
+            del b, texts
+        encode.forget()
+        give_back()
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, PIECES)
 
