@@ -2,7 +2,7 @@
 
 The model is interpolated absolute discounting. Words are known by 64-bit hashes. Level 1 holds all
 words of the training documents, sorted by hash, with exact counts; a word's position is its rank.
-Level k holds the n-grams of k words that occur at least ``min_count`` times, sorted by context (the
+Level k holds the n-grams of k words, all of them unless ``min_count`` is raised, sorted by context (the
 position of the first k - 1 words in level k - 1) and rank of the last word. Words are stored
 relative to their context, added to the last value of the context before, which makes the sequence
 monotone; it and the contexts' pointers are Elias-Fano coded. Probabilities and back-off weights are
@@ -46,7 +46,7 @@ SCORE_WORDS = 800_000  # words scored together in a task
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
-    min_count: int = 2  # of n-grams of two and more words; single words are all kept
+    min_count: int = 1  # of n-grams of two and more words: 1 keeps them all
     discount: float = 0.75
     folds: int = 7
     held_out: int = 2

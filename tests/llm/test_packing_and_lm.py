@@ -130,5 +130,19 @@ def test_scores(spark):
         ), i
 
 
+def test_ngrams_seen_once_count(spark):
+    """A held-out text whose word pairs and triples were seen once scores above the same words in an order never seen."""
+    s = lm_trie.Settings()
+    held = [i for i in range(200) if lm_trie.is_held_out(i, s)][:2]
+    train = next(i for i in range(200) if not lm_trie.is_held_out(i, s))
+    rows = [(train, "one two three four five six"), (held[0], "one two three four five six"), (held[1], "six two five one four three")]
+    path, sizes, total, shards = fitted = lm_trie.fit(frame(spark, rows))
+    assert [sum(x) for x in sizes] == [7, 6, 5]
+    counts = [map_arrays(f"{path}/level{k}-{i}")["count"] for k in (2, 3) for i, n in enumerate(sizes[k - 1]) if n]
+    assert (np.concatenate(counts) == 1).all()
+    out = {r.doc_id: r.score for r in lm_trie.scored(frame(spark, rows), fitted).collect()}
+    assert out[held[0]] > out[held[1]] + 1
+
+
 def test_empty_table(spark):
     assert lm_trie.score(spark.createDataFrame([], SCHEMA)).count() == 0
