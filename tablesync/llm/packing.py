@@ -49,7 +49,8 @@ class Encoder:
 
     The tokenizer never joins ids across a single space (which starts the next piece) or a single
     line feed (a piece of its own), so a text is cut there, each distinct piece is encoded once, and
-    texts with any other white space next to white space are encoded whole.
+    texts with any other white space next to white space, or with an added token of the file (such
+    as ``<|endoftext|>``, which gets its own id as in the plain call), are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,7 +59,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.adjacent = regex.compile(r"\s\s")
         self.forget()
         # an id that begins with a space begins a piece, as no piece has a space inside
@@ -125,7 +126,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        whole = [self.adjacent.search(t) is not None for t in texts]
+        whole = [self.adjacent.search(t) is not None or any(a in t for a in self.added) for t in texts]
         cut = [None if w else self.pieces(t) for t, w in zip(texts, whole, strict=True)]
         distinct: set[str] = set()
         for ps in cut:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from helpers import ODD, SCHEMA, documents, frame
@@ -28,6 +29,21 @@ def test_encoder_equals_the_tokenizer():
             assert np.array_equal(got, want)
 
 
+def test_added_tokens_keep_their_id(spark):
+    """Against the tokenizers library alone, as a text that holds an added token's literal gets its id."""
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "x.<|endoftext|>\ny, z", "<|endoftext", "|> <|end oftext|>", "no token. here",
+             "w " * 600 + "<|endoftext|>" + " w" * 600]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    encode = packing.Encoder(TOKENIZER)
+    for _ in range(2):
+        assert [x.tolist() for x in encode(texts)] == want
+    got = collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packing.pack(frame(spark, list(enumerate(texts))), TOKENIZER, packing.Layout(512, 8)).collect())
+    pieces = [(i, start, np.array([*ids, 1], "<u4")[start : start + 512], len(ids) + 1) for i, ids in enumerate(want) for start in range(0, len(ids) + 1, 512)]
+    assert got == collections.Counter((i, start, len(x), zlib.crc32(x.tobytes()), n) for i, start, x, n in pieces)
+
+
 def test_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_PIECES", 20)
     encode, texts = packing.Encoder(TOKENIZER), [t for _, t in documents(30, alphabet=300)]
