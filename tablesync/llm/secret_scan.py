@@ -8,6 +8,10 @@ is owner-specific and looks live; one that many owners hold is a copied example.
 are scanned where they lie but counted once per owner and repository, and both aggregations combine
 before they shuffle.
 
+A private key is its whole block, to the END line; its value is the body without white space, never
+the header, which all keys of a type share. A block without an END line is its header and the lines
+of 16 and more base64 characters after it; a header without a body is no candidate.
+
 Positions follow from cutting the text at the matches: the pieces between matches and the matches
 themselves alternate, so a match starts where the lengths before it add up to.
 
@@ -34,11 +38,15 @@ BASE = (
 )
 FURTHER = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?=-----END [A-Z ]*PRIVATE KEY-----)"
+            r"|(?:(?:\s|\\[nr])++(?:[A-Za-z0-9+/=]{16,}+|(?:Proc-Type|DEK-Info):\x20[^\s\\]++))*+)(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 1),
     ("prefixed", r"(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|rk)[_-][A-Za-z0-9_-]{16,}", 0, 19),
     ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]{0,40}[0-9A-Z])(?=[A-Z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{32,}", 0, 32),
 )
 KINDS = BASE + FURTHER
+# White space, written out or escaped, is no part of these kinds' values: line breaks differ between copies.
+SPACELESS = ("key",)
+
 
 @dataclass(frozen=True)
 class Ownership:
@@ -51,6 +59,8 @@ SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 def placed(kind: int) -> Column:
     """Matches of one kind with their places, from the columns ``found``, ``part`` and ``gaps`` of the kind."""
     found, part, gaps = (F.col(f"{c}{kind}") for c in ("found", "part", "gaps"))
+    if KINDS[kind][0] in SPACELESS:
+        part = F.transform(part, lambda v: F.regexp_replace(v, r"(?:\s|\\[nr])+", ""))
     pairs = F.zip_with(gaps, F.arrays_zip(found.alias("f"), part.alias("p")), lambda g, m: F.struct(g.alias("gap"), F.length(m["f"]).alias("size"), m["p"].alias("value")))
 
     def add(acc, m):

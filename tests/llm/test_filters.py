@@ -137,6 +137,26 @@ def test_secrets(spark):
     assert "opaque" in by_id[6][0].spans and "opaque" in by_id[7][0].live_spans
 
 
+def test_private_keys_are_told_apart_by_their_body(spark):
+    """Three owners with keys of their own: all live, header to END line; one body with three owners: an example."""
+    def block(c, end="\n", close=True):
+        return f"-----BEGIN RSA PRIVATE KEY-----{end}" + end.join([f"MII{c}" * 16, f"{c}b4/" * 16, f"{c}Q=="]) + (f"{end}-----END RSA PRIVATE KEY-----" if close else end)
+
+    own = {i: block("ABC"[i]) for i in range(3)}
+    shared = {3: block("Z"), 4: block("Z", "\r\n"), 5: block("Z", "\\n")}
+    encrypted = block("E").replace("MII", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nMII", 1)
+    others = {6: encrypted, 7: "-----BEGIN RSA PRIVATE KEY----- is a header - no more", 9: "-----BEGIN PRIVATE KEY-----" * 3000 + "-a" * 50_000}
+    rows = [(i, f"é {t} after-wards") for i, t in (own | shared | others).items()] + [(8, block("D", close=False) + "and prose - more")]
+    docs = frame(spark, rows, clashing=True)
+    out = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    for i, t in (own | {6: encrypted}).items():
+        assert f"key:2:{2 + len(t)}" in out[i].live_spans.split(","), i
+    assert not any("key" in out[i].spans for i in (*shared, 7, 9))
+    assert "key:0:" in out[8].live_spans
+    masked = {r.doc_id: r.text for r in secret_scan.mask(docs).collect()}
+    assert all(masked[i] == "é [SECRET] after-wards" for i in (*own, 6))
+
+
 def test_masking(spark):
     docs = frame(spark, [(1, "é password=hunter22 end"), (2, "clean"), (3, None)], clashing=True)
     out = secret_scan.mask(docs)
