@@ -4,7 +4,9 @@ Every whole text is searched for candidates of several kinds. The base kinds are
 the further kinds match anything that looks like a credential and become findings only when the
 corpus says so. For that, each candidate value's hash is aggregated over all documents: by how many
 distinct owners (``source``) and repositories (owner and ``lang``) it is held. A value of few owners
-is owner-specific and looks live; one that many owners hold is a copied example. Copies of a text
+is owner-specific and looks live; one that many owners hold is a copied example. The repositories
+are returned beside the owners; the verdict uses owners alone, as one owner's copies in several
+repositories are still one owner's secret. Copies of a text
 are scanned where they lie but counted once per owner and repository, and both aggregations combine
 before they shuffle.
 
@@ -41,11 +43,13 @@ FURTHER = (
     ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?=-----END [A-Z ]*PRIVATE KEY-----)"
             r"|(?:(?:\s|\\[nr])++(?:[A-Za-z0-9+/=]{16,}+|(?:Proc-Type|DEK-Info):\x20[^\s\\]++))*+)(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 1),
     ("prefixed", r"(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|rk)[_-][A-Za-z0-9_-]{16,}", 0, 19),
-    ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]{0,40}[0-9A-Z])(?=[A-Z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{32,}", 0, 32),
+    ("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", 0, 32),
 )
 KINDS = BASE + FURTHER
 # White space, written out or escaped, is no part of these kinds' values: line breaks differ between copies.
 SPACELESS = ("key",)
+# Values of these kinds have a small letter, and a capital or digit, anywhere: a look-ahead would search each run twice.
+MIXED = ("opaque",)
 
 
 @dataclass(frozen=True)
@@ -61,6 +65,9 @@ def placed(kind: int) -> Column:
     found, part, gaps = (F.col(f"{c}{kind}") for c in ("found", "part", "gaps"))
     if KINDS[kind][0] in SPACELESS:
         part = F.transform(part, lambda v: F.regexp_replace(v, r"(?:\s|\\[nr])+", ""))
+    valid = lambda v: F.length(v) >= KINDS[kind][3]
+    if KINDS[kind][0] in MIXED:
+        valid = lambda v: (F.length(v) >= KINDS[kind][3]) & v.rlike("[a-z]") & v.rlike("[A-Z0-9]")
     pairs = F.zip_with(gaps, F.arrays_zip(found.alias("f"), part.alias("p")), lambda g, m: F.struct(g.alias("gap"), F.length(m["f"]).alias("size"), m["p"].alias("value")))
 
     def add(acc, m):
@@ -70,7 +77,7 @@ def placed(kind: int) -> Column:
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
     rows = F.aggregate(F.slice(pairs, F.lit(1), F.size(found)), zero, add, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, F.filter(rows, lambda r: F.length(r["value"]) >= KINDS[kind][3])).otherwise(F.array().cast(SPANS))
+    return F.when(F.size(found) > 0, F.filter(rows, lambda r: valid(r["value"]))).otherwise(F.array().cast(SPANS))
 
 
 def listed(spans: Column) -> Column:
@@ -128,7 +135,7 @@ def judged(found: DataFrame, rule: Ownership) -> DataFrame:
     return finding.groupBy("text_key").agg(
         F.array_sort(F.collect_list("s")).alias("spans"),
         F.array_sort(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"),
-        F.max("n_owners").alias("most_owners"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
     )
 
 
@@ -139,15 +146,16 @@ def scan(docs: DataFrame, rule: Ownership = Ownership()) -> DataFrame:
     held = found.filter(F.size("found") > 0)
     some = held.join(spans, held["text_key"] == spans["_key"], "left")
     none = found.filter(F.size("found") == 0).select("*", F.lit(None).cast("long").alias("_key"), F.array().cast(SPANS).alias("spans"),
-                                                    F.array().cast(SPANS).alias("live"), F.lit(None).cast("long").alias("most_owners"))
-    both = some.union(none).select("doc_id", F.col("found"), *[F.coalesce(c, F.array().cast(SPANS)).alias(c) for c in ("spans", "live")], "most_owners")
+                                                    F.array().cast(SPANS).alias("live"),
+                                                    *[F.lit(None).cast("long").alias(c) for c in ("most_owners", "most_repositories")])
+    both = some.union(none).select("doc_id", F.col("found"), *[F.coalesce(c, F.array().cast(SPANS)).alias(c) for c in ("spans", "live")], "most_owners", "most_repositories")
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     return both.select(
         "doc_id", *[count(k).alias(f"n_{BASE[k][0]}") for k in range(len(BASE))],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
         listed(F.col("live")).alias("live_spans"), F.size("live").cast("long").alias("n_live"),
-        (F.size("spans") - F.size("live")).cast("long").alias("n_example"), "most_owners",
+        (F.size("spans") - F.size("live")).cast("long").alias("n_example"), "most_owners", "most_repositories",
     )
 
 

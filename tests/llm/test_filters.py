@@ -157,6 +157,17 @@ def test_private_keys_are_told_apart_by_their_body(spark):
     assert all(masked[i] == "é [SECRET] after-wards" for i in (*own, 6))
 
 
+def test_long_tokens_and_repositories(spark):
+    """A token's classes may show after 41 characters; one owner's languages are repositories of their own."""
+    late = ["x" * 45 + "Q7", "X9" * 25 + "q", "-_" * 30 + "a1", "y" * 50, "Z8" * 30]
+    rows = [(i, f"{t} é", "en", "one", 0) for i, t in enumerate(late)] + [(9, f"{late[0]} é", "fr", "one", 0)]
+    out = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t in enumerate(late[:3]):
+        assert out[i].live_spans == f"opaque:0:{len(t)}", t
+    assert out[3].spans == out[4].spans == ""
+    assert [(out[i].most_owners, out[i].most_repositories) for i in (0, 1, 9)] == [(1, 2), (1, 1), (1, 2)]
+
+
 def test_masking(spark):
     docs = frame(spark, [(1, "é password=hunter22 end"), (2, "clean"), (3, None)], clashing=True)
     out = secret_scan.mask(docs)
