@@ -60,6 +60,11 @@ def sketched(items: DataFrame, rule: Containment) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, rule: Containment = Containment()) -> DataFrame:
     """Pairs (doc_id, item_id) with n_shared, n_item and containment, where the document contains the item."""
+    return found_pairs(docs, items, rule).drop("text_key")
+
+
+def found_pairs(docs: DataFrame, items: DataFrame, rule: Containment) -> DataFrame:
+    """``contained`` with the hash of the document's text, which tells rows of one doc_id apart."""
     known = stored(sketched(items, rule), "items")
     keys = known.select("item_key", F.size("item_shingles").alias("n_item"), F.explode("sketch").alias("shingle"))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("_text"))
@@ -70,15 +75,17 @@ def contained(docs: DataFrame, items: DataFrame, rule: Containment = Containment
     candidates = stored(found.select("text_key", "item_key").distinct(), "candidates")
 
     wanted = candidates.groupBy("text_key").agg(F.collect_list("item_key").alias("item_keys")).withColumnRenamed("text_key", "_key")
-    checked = texts.join(broadcast_if_small(wanted), F.xxhash64("_text") == F.col("_key")).select("doc_id", words_of(F.col("_text")).alias("_words"), "item_keys")
-    checked = checked.select("doc_id", shingle_hashes(F.col("_words"), rule.words).alias("shingles"), F.explode("item_keys").alias("item_key"))
+    checked = texts.join(broadcast_if_small(wanted), F.xxhash64("_text") == F.col("_key")).select("doc_id", F.col("_key").alias("text_key"), words_of(F.col("_text")).alias("_words"), "item_keys")
+    checked = checked.select("doc_id", "text_key", shingle_hashes(F.col("_words"), rule.words).alias("shingles"), F.explode("item_keys").alias("item_key"))
     pairs = checked.join(broadcast_if_small(known.select("item_key", "item_id", "item_shingles"), 20_000), "item_key")
     shared = F.size(F.array_intersect("shingles", "item_shingles"))
-    out = pairs.select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_item"))
+    out = pairs.select("doc_id", "text_key", "item_id", shared.cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_item"))
     return out.filter(F.col("n_shared") * rule.den >= F.col("n_item") * rule.num).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rule: Containment = Containment()) -> DataFrame:
-    """The documents that contain no item, with all their columns; rows without an id stay."""
-    bad = stored(contained(docs, items, rule).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad), docs["doc_id"] == F.col("_bad"), "left_anti")
+    """The documents that contain no item, with all their columns, decided row by row: a row goes by its id, null or not, and its text."""
+    bad = found_pairs(docs, items, rule).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_text_key")).distinct()
+    bad = stored(bad, "contaminated")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(text_column(docs)) == F.col("_text_key"))
+    return docs.join(broadcast_if_small(bad), same, "left_anti")

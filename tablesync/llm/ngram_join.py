@@ -306,24 +306,35 @@ def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshol
 
 def components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its own id when linked with nothing)."""
+    return classified(docs, t).select("doc_id", "n_shingles", "component_id")
+
+
+def classified(docs: DataFrame, t: Threshold) -> DataFrame:
+    """``components`` with the hash of the text, and that of the text that stands for the component."""
     described = stored(describe(docs, t), "ngram-sets")
     grouped = stored(groups(bucketed(docs, t, key_mask(described.count()))), "ngram-groups")
     edges = links(docs, grouped, described, t)
     linked = connected_components(edges)
-    sets = described.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least")
+    sets = described.filter("vertex is not null").groupBy("vertex").agg(first)
     joined = sets.join(linked, sets["vertex"] == linked["node"], "left").select(
         "vertex", "least", F.coalesce("component", "vertex").alias("class")
     )
-    classes = joined.groupBy("class").agg(F.min("least").alias("component_id"))
-    of_vertex = joined.join(classes, "class").select("vertex", "component_id")
-    with_set = described.filter("vertex is not null").join(of_vertex, "vertex").select("doc_id", "n_shingles", "component_id")
-    return with_set.union(described.filter("vertex is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    classes = joined.groupBy("class").agg(F.min("least").alias("first"))
+    of_vertex = joined.join(classes, "class").select("vertex", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_text"))
+    with_set = described.filter("vertex is not null").join(of_vertex, "vertex").select("doc_id", "n_shingles", "component_id", "text_key", "first_text")
+    return with_set.union(described.filter("vertex is null").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.col("text_key").alias("first_text")))
 
 
 def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns.
+    """One document of each component, that of the smallest id and then text hash, with all its columns.
 
-    Rows without an id stay; rows that repeat the id that stays are that document and stay with it.
+    A row goes by its id and its text, so another text under the same id is judged by itself. Rows
+    without an id stay; rows that repeat the id and the text that stay are that document and stay
+    with it.
     """
-    gone = components(docs, t).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    other = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("first_text"))
+    gone = classified(docs, t).filter(F.col("doc_id").isNotNull() & other).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_text_key"))
+    return docs.join(gone, same, "left_anti")

@@ -140,6 +140,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 8), (False, 9), (True, 0)]
 
 
+def test_another_text_under_a_dropped_id_stays(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, text), (5, text + " more"), (5, "something else entirely and long enough"), (3, text + " other")]
+    kept = {(r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, rows)).collect()}
+    assert (5, rows[2][1]) in kept and len(kept) == 2 and {i for i, _ in kept} == {3, 5}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 140)] + [(-5, 200), (7, 7)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -223,3 +223,12 @@ def test_decontamination(spark):
     bad = {p[0] for p in pairs} - {None}
     assert clean.columns == docs.columns and sorted(r.doc_id or -1 for r in clean.collect()) == sorted(i or -1 for i, _ in rows if i not in bad)
     assert decontaminate.contained(docs.limit(0), bench).count() == decontaminate.contained(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_by_row(spark):
+    """A contaminated text goes without an id too, and a clean text stays under a contaminated one's id."""
+    item = "one two three four five six seven eight"
+    rows = [(None, f"so {item} so"), (None, "clean text without an id"), (1, f"{item} end"), (1, "clean text under a used id"), (2, None)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(frame(spark, rows, clashing=True), bench)
+    assert sortable((r.doc_id, r.text) for r in clean.collect()) == sortable([rows[1], rows[3], rows[4]])
