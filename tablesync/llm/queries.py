@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.llm import (
-    decontaminate, license_scan, lm_trie, ngram_join, packing, phrase_automata, quality_classifier, quality_rules,
-    secret_scan, suffix_dedup,
+    bpe_automaton, conversation_repair, decontaminate, license_scan, lm_trie, ngram_join, packing, phrase_automata,
+    quality_classifier, quality_rules, secret_scan, suffix_dedup, whitening,
 )
 from tablesync.llm.common import documents, ship_package
 
@@ -109,6 +109,24 @@ def op10_quality_classifier(spark, sf):
     return quality_classifier.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+@register
+def op11_whitening(spark, sf):
+    """Embeddings whitened along their first four components."""
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@register
+def op12_bpe_automaton(spark, sf):
+    """Byte-pair ids of every text and the text decoded from them, as digests."""
+    return bpe_automaton.digests(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op13_conversation_repair(spark, sf):
+    """Faults of every damaged conversation and its cheapest repair."""
+    return conversation_repair.report(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 ORACLE["op3_ngram_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(

@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_decontamination": "doc_id item_id n_shared n_item containment",
     "op10_quality_classifier": "doc_id",
+    "op11_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op12_bpe_automaton": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -37,6 +40,10 @@ def test_query(spark, name):
     rows, n = out.collect(), documents(spark, SF).count()
     if name == "op4_packing":
         assert len({r.doc_id for r in rows}) == n
+    elif name == "op11_whitening":
+        assert len(rows) == 4 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    elif name == "op13_conversation_repair":
+        assert len(rows) == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     elif name == "op9_decontamination":
         assert 0 < len(rows) < n
     else:
