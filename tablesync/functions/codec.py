@@ -16,23 +16,31 @@ JSON_OPTIONS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
 }
+# Parsing of lines that are to be JSON and nothing else.
+STRICT = {**JSON_OPTIONS, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+_SENTINEL = "\u2402end of line\u2403"
 _INTERVALS = (T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)
 
 
-def record_column(df: DataFrame, columns=None, json_columns=()) -> Column:
-    """One JSON object per row, nulls kept; ``json_columns`` are embedded, not quoted."""
-    columns = list(columns or df.columns)
+def record_column(df: DataFrame, columns=None, json_columns=(), row: str | None = None) -> Column:
+    """One JSON object per row, nulls kept; ``json_columns`` are embedded, not quoted.
+
+    The columns are those of ``df`` or, with ``row``, the fields of that struct column.
+    """
+    schema = df.schema if row is None else df.schema[row].dataType
+    columns = list(columns or schema.names)
     for name in columns:
-        if isinstance(df.schema[name].dataType, _INTERVALS):
+        if isinstance(schema[name].dataType, _INTERVALS):
             raise TypeError(f"column {name} has an interval type, which has no JSON form")
-    plain = lambda names: F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), JSON_OPTIONS)
+    at = lambda c: F.col(f"`{c}`") if row is None else F.col(row).getField(c).alias(c)
+    plain = lambda names: F.to_json(F.struct(*map(at, names)), JSON_OPTIONS)
     if not json_columns:
-        return plain(columns)
+        return F.to_json(F.col(row), JSON_OPTIONS) if row is not None and columns == schema.names else plain(columns)
     parts = []
     for name in columns:
         if name in json_columns:
             # A valid document has line breaks only between its tokens.
-            text = F.translate(checked_json(F.col(f"`{name}`")), "\r\n", "  ")
+            text = F.translate(checked_json(at(name)), "\r\n", "  ")
             label = F.lit(json.dumps(name, ensure_ascii=False) + ":")
             parts.append(F.concat(label, F.coalesce(text, F.lit("null"))))
         else:
@@ -56,37 +64,46 @@ def not_blank(value: Column) -> Column:
 def checked_json(value: Column) -> Column:
     """``value`` itself when it is one JSON value of any size and kind; otherwise the job fails.
 
-    Between brackets a line must be a list of exactly one element, which text after the value, a
-    second value or a cut one is not.
+    In a list before a mark of our own, one value gives exactly two elements with the mark last.
+    Text after the value, a second value, a closing bracket or a cut value do not, and single quotes
+    and bare ``NaN`` are no JSON.
     """
-    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", JSON_OPTIONS)
-    bad = value.isNotNull() & F.coalesce(F.size(listed) != 1, F.lit(True))
-    return F.when(
-        bad, F.raise_error(F.concat(F.lit("invalid staged JSON line: "), F.left(value, F.lit(200)))),
-    ).otherwise(value)
+    mark = json.dumps(_SENTINEL)
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit(f",{mark}]")), "array<string>", STRICT)
+    good = (F.size(listed) == 2) & (F.get(listed, F.lit(1)) == _SENTINEL)
+    return F.when(value.isNotNull() & ~F.coalesce(good, F.lit(False)), _refused(value)).otherwise(value)
+
+
+def _refused(value: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("invalid staged JSON line: "), F.left(value, F.lit(200))))
 
 
 def decode_lines(lines: DataFrame, schema: T.StructType | None = None, column: str = "value"):
     """Blank lines dropped, the rest parsed; a malformed line fails the job."""
-    value = strip(F.col(column))
+    value = checked_json(strip(F.col(column)))
     rows = lines.filter(not_blank(F.col(column)))
-    if schema is None:
-        return rows.withColumn(column, F.parse_json(value))
-    return rows.withColumn(column, _from_json(checked_json(value), schema))
+    return rows.withColumn(column, F.parse_json(value) if schema is None else _from_json(value, schema))
 
 
 def _from_json(value: Column, schema: T.StructType) -> Column:
-    """Typed value of one JSON line; text after it is an error, as it is for ``checked_json``."""
-    listed = F.from_json(
-        F.concat(F.lit("["), value, F.lit("]")), T.ArrayType(schema), {**JSON_OPTIONS, "mode": "FAILFAST"}
-    )
-    return F.get(listed, F.lit(0))
+    """Typed value of one JSON line; text after it is an error, as it is for ``checked_json``.
+
+    The line is a field before a mark of our own, so the mark is lost if anything follows the value.
+    """
+    shape = T.StructType([T.StructField("line", schema), T.StructField("mark", T.StringType())])
+    text = F.concat(F.lit('{"line":'), value, F.lit(f',"mark":{json.dumps(_SENTINEL)}}}'))
+    parsed = F.from_json(text, shape, {**JSON_OPTIONS, "allowSingleQuotes": "false", "mode": "FAILFAST"})
+    whole = parsed.getField("mark").eqNullSafe(F.lit(_SENTINEL))
+    line = parsed.getField("line")
+    return F.when(value.isNotNull() & ~whole, _refused(value).cast(schema)).otherwise(line)
 
 
 def project_typed(raw: DataFrame, schema: T.StructType, column: str = "_data", keep=()):
-    """Typed columns back out of a raw table's JSON column."""
-    parsed = raw.select(*keep, _from_json(F.col(column), _nullable(schema)).alias("_typed"))
-    return parsed.select(*keep, "_typed.*")
+    """Typed columns back out of a raw table's JSON column, behind the ``keep`` columns."""
+    typed = _from_json(F.col(column), _nullable(schema)).alias("_typed")
+    parsed = raw.select(F.struct(*keep).alias("_kept"), typed) if keep else raw.select(typed)
+    kept = [F.col("_kept").getField(k).alias(k) for k in keep]
+    return parsed.select(*kept, *[F.col("_typed").getField(c).alias(c) for c in schema.names])
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

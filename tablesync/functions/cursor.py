@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ALLOWED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+ORDERED_TYPES = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def check_cursor_type(dtype: T.DataType) -> None:
-    if not isinstance(dtype, _ALLOWED):
+    if not isinstance(dtype, ORDERED_TYPES):
         raise TypeError(f"{dtype.simpleString()} columns have no order to resume by; choose a numeric, text or time column")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.functions.cursor import cursor_text, newer_cursor
 from tablesync.model import FULL, INCREMENTAL, LEDGER, MODES, NONE, PROGRESS, select_as
-from tablesync.operators.chunking import SEQUENCE
+from tablesync.operators.chunking import ROW, SEQUENCE
 from tablesync.session import now_ms
 from tablesync.sources.capture import last_position
 
@@ -32,19 +33,30 @@ def table_progress(
         {
             "table_name": F.lit(table),
             "finished": F.lit(finished),
-            "cursor_type": F.lit(chunked.schema[cursor].dataType.simpleString() if cursor else None).cast("string"),
+            "cursor_type": F.lit(row_schema(chunked)[cursor].dataType.simpleString() if cursor else None).cast("string"),
         }
     )
     return select_as(row, PROGRESS)
 
 
+def row_schema(rows: DataFrame) -> T.StructType:
+    """Columns of the table whose rows these are, packed or not."""
+    return rows.schema[ROW].dataType if ROW in rows.columns else rows.schema
+
+
+def row_field(rows: DataFrame):
+    """How to name a column of the table whose rows these are."""
+    return (lambda c: F.col(ROW).getField(c)) if ROW in rows.columns else (lambda c: F.col(f"`{c}`"))
+
+
 def progress_columns(rows: DataFrame, cursor: str | None = None, key=()) -> list[Column]:
     """Aggregates of a capture: rows, greatest cursor, last key. They may be observed on a write."""
+    schema, at = row_schema(rows), row_field(rows)
     return [
         F.count("*").alias("rows_emitted"),
-        (cursor_text(F.max(cursor), rows.schema[cursor].dataType) if cursor else F.max(F.lit(None).cast("string")))
+        (cursor_text(F.max(at(cursor)), schema[cursor].dataType) if cursor else F.max(F.lit(None).cast("string")))
         .alias("max_cursor_value"),
-        (last_position(rows, key) if key else F.max(F.lit(None).cast("string"))).alias("last_key"),
+        (last_position(schema, key, at) if key else F.max(F.lit(None).cast("string"))).alias("last_key"),
     ]
 
 

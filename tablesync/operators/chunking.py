@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.codec import record_column
-from tablesync.session import broadcast_if_small, local_frame, read_or_none, scratch_path
+from tablesync.session import join_by_file, local_frame, read_or_none, scratch_path
 
 INDEX, SEQUENCE = "_row_index", "sequence"
-_ID, _TIE, _POS = "_row_id", "_tie", "_scan_pos"
+# A table's row as one struct column, so that its columns may have any names.
+ROW = "_row"
+_ID = "_row_id"
 # Layout of monotonically_increasing_id: partition number above, position in it below.
 _POSITION_BITS = 33
 
@@ -60,31 +62,57 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pack(df: DataFrame) -> Column:
+    """All columns as one struct column named ``ROW``."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW)
+
+
+def unpack(df: DataFrame, *keep: str) -> DataFrame:
+    """The packed columns, and ``keep`` behind them, which must have other names."""
+    names = df.schema[ROW].dataType.names
+    clash = {n.lower() for n in names} & {k.lower() for k in keep}
+    if clash:
+        raise ValueError(f"the table has a column named {', '.join(sorted(clash))}; work on packed rows instead")
+    return df.select(*[F.col(ROW).getField(c).alias(c) for c in names], *keep)
+
+
 def sort_columns(order_by) -> list[Column]:
     return [c if isinstance(c, Column) else F.col(c).asc_nulls_first() for c in order_by]
 
 
-def number_rows(df: DataFrame, order_by=(), unique: bool = False) -> Numbered:
+def number_rows(df: DataFrame, order_by=(), unique: bool = False, packed: bool = False) -> Numbered:
     """Number the rows of ``df`` 0, 1, 2, … in ``order_by`` order (scan order when empty).
 
     Unless the order is ``unique``, ties are broken by a hash of the row and then by scan
     position, so a key value or a set of identical copies holding much of the table is still
-    spread over many range partitions.
+    spread over many range partitions. With ``packed`` the result has the row as one struct.
     """
     spark = df.sparkSession
-    columns = df.columns
+    row = pack(df)
     rows = df
     if order_by:
         keys = sort_columns(order_by)
         if not unique:
-            rows = rows.withColumns({_TIE: row_hash(df), _POS: F.monotonically_increasing_id()})
-            keys += [F.col(_TIE), F.col(_POS)]
+            tie, pos = fresh_names(df, "_tie", "_scan_pos")
+            rows = rows.withColumns({tie: row_hash(df), pos: F.monotonically_increasing_id()})
+            keys += [F.col(tie), F.col(pos)]
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     path = scratch_path(spark, "numbered")
-    rows.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias(_ID)) \
-        .write.parquet(path)
+    rows.select(row, F.monotonically_increasing_id().alias(_ID)).write.parquet(path)
 
-    schema = T.StructType([*df.schema.fields, T.StructField(_ID, T.LongType())])
+    schema = T.StructType([T.StructField(ROW, df.schema), T.StructField(_ID, T.LongType())])
     written = read_or_none(spark, path, schema)
     partition = F.shiftright(_ID, _POSITION_BITS)
     # One row per partition of the write: bounded by the partition count, not by the data.
@@ -96,12 +124,32 @@ def number_rows(df: DataFrame, order_by=(), unique: bool = False) -> Numbered:
     numbered = (
         written.withColumn("_partition", partition.cast("int"))
         .join(F.broadcast(offset_df), "_partition")
-        .select(*[F.col(f"`{c}`") for c in columns], (position + F.col("_offset")).alias(INDEX))
+        .select(ROW, (position + F.col("_offset")).alias(INDEX))
     )
-    return Numbered(numbered, ends[-1] if ends else 0, path)
+    return Numbered(numbered if packed else unpack(numbered, INDEX), ends[-1] if ends else 0, path)
 
 
-def number_files(spark: SparkSession, path: str) -> Numbered:
+def file_offsets(counts: DataFrame) -> tuple[DataFrame, int]:
+    """Rows in earlier files, by ``_file``, from ``_file, _n``, and the total.
+
+    Two levels: files are sorted in ranges and added up within each; what earlier ranges hold is
+    one row per range. No task sees all files.
+    """
+    spark = counts.sparkSession
+    path = scratch_path(spark, "files")
+    ranged = counts.repartitionByRange("_file").sortWithinPartitions("_file")
+    ranged.select("_file", "_n", F.spark_partition_id().alias("_range")).write.parquet(path)
+    files = read_or_none(spark, path, "_file string, _n bigint, _range int")
+    totals = sorted(tuple(r) for r in files.groupBy("_range").agg(F.sum("_n")).collect())  # one row per range
+    ends = list(accumulate(n for _, n in totals))
+    starts = local_frame(spark, [(r, end - n) for (r, n), end in zip(totals, ends)], "_range int, _before bigint")
+    earlier = W.partitionBy("_range").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = files.join(F.broadcast(starts), "_range").select("_file", (within + F.col("_before")).alias("_offset"))
+    return offsets, ends[-1] if ends else 0
+
+
+def number_files(spark: SparkSession, path: str, packed: bool = False) -> Numbered:
     """Number the rows of a parquet folder by file name and position in the file.
 
     The reader knows each row's position, so nothing is sorted, shuffled or copied: the row
@@ -109,21 +157,12 @@ def number_files(spark: SparkSession, path: str) -> Numbered:
     until the rows are written.
     """
     table = spark.read.parquet(path)
-    columns = [F.col(f"`{c}`") for c in table.columns]
-    rows = table.select(
-        *columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos")
-    )
+    about = table.metadataColumn("_metadata")
+    rows = table.select(pack(table), about.getField("file_path").alias("_file"), about.getField("row_index").alias("_pos"))
     # One row per file.
-    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    files = rows.groupBy("_file").agg(F.count("*").alias("_n")).withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    )
-    total = files.agg(F.sum("_n")).first()[0] or 0
-    offsets = broadcast_if_small(files.select("_file", "_offset"))
-    numbered = rows.join(offsets, "_file").select(
-        *columns, (F.col("_pos") + F.col("_offset")).alias(INDEX)
-    )
-    return Numbered(numbered, total)
+    offsets, total = file_offsets(rows.groupBy("_file").agg(F.count("*").alias("_n")))
+    numbered = join_by_file(rows, offsets).select(ROW, (F.col("_pos") + F.col("_offset")).alias(INDEX))
+    return Numbered(numbered if packed else unpack(numbered, INDEX), total)
 
 
 def assign_sequence(numbered: DataFrame, chunk_size: int | None, start_sequence: int = 0):
@@ -148,7 +187,8 @@ def capture_chunked(
     """Pages of exactly ``chunk_size`` rows (the last may be short), numbered from
     ``start_sequence``; an empty table has no page."""
     check_chunk_size(chunk_size)
-    return assign_sequence(number_rows(df, order_by, unique).df, chunk_size, start_sequence)
+    numbered = number_rows(df, order_by, unique, packed=True).df
+    return unpack(assign_sequence(numbered, chunk_size, start_sequence), INDEX, SEQUENCE)
 
 
 def chunk_row_counts(chunked: DataFrame, *extra: str) -> DataFrame:

@@ -14,14 +14,14 @@ from tablesync.model import FULL, INCREMENTAL, MANIFEST, MODES, NONE, PROGRESS
 from tablesync.operators.checkpoint import (
     apply_progress, fold_checkpoint, pending_tables, progress_columns, table_progress,
 )
-from tablesync.operators.chunking import INDEX, assign_sequence, check_chunk_size, number_files, number_rows
+from tablesync.operators.chunking import INDEX, assign_sequence, check_chunk_size, number_files, number_rows, pack
 from tablesync.operators.schema import schema_fingerprint
 from tablesync.plans.run_log import RunLog
 from tablesync.session import local_frame, new_id
 from tablesync.sources.capture import (
     after_key, capture_capped, capture_incremental, position_from_text,
 )
-from tablesync.sources.ledger import load_ledger, save_ledger
+from tablesync.sources.ledger import LedgerConflict, load_version, save_ledger, update_ledger
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import (
     Staging, adopt_foreign_chunks, check_manifest_bucket, chunk_manifest, commit_manifest,
@@ -116,11 +116,12 @@ def _capture_table(df: DataFrame, capture: Capture, start, key):
 def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -> dict:
     """Stage rows as one chunk, straight from the scan; what they amount to is observed on the way."""
     seen = Observation(f"rows-{attempt}")
+    packed = rows.select(pack(rows))
     write_chunks(
-        rows.observe(seen, *progress_columns(rows, cursor, key)).withColumns(
+        packed.observe(seen, *progress_columns(packed, cursor, key)).withColumns(
             {"stream_name": F.lit(name), "sequence": F.lit(sequence).cast("bigint")}
         ),
-        staging, rows.columns, attempt, rows_per_file=capture.batch_size, json_columns=capture.json_columns,
+        staging, None, attempt, rows_per_file=capture.batch_size, json_columns=capture.json_columns,
     )
     return seen.get
 
@@ -166,14 +167,14 @@ def snapshot_to_staging(
             progress = (name, first + 1, not cut, seen["rows_emitted"], seen["max_cursor_value"], kind, seen["last_key"])
             return progress, None if seen["rows_emitted"] else (attempts[name], name, first)
         if isinstance(given[name], str) and rows is df and not order:
-            numbered = number_files(spark, given[name])
+            numbered = number_files(spark, given[name], packed=True)
         else:
-            numbered = number_rows(rows, order, unique=bool(key))
+            numbered = number_rows(rows, order, unique=bool(key), packed=True)
         try:
             chunked = assign_sequence(numbered.df, capture.chunk_size, first)
             if numbered.total:
                 write_chunks(
-                    chunked.withColumn("stream_name", F.lit(name)), staging, df.columns, attempts[name],
+                    chunked.withColumn("stream_name", F.lit(name)), staging, None, attempts[name],
                     INDEX, None, capture.json_columns, -(-numbered.total // capture.chunk_size),
                 )
             return table_progress(chunked, name, first, cursor, last_by, not cut).first(), None
@@ -222,6 +223,18 @@ def load_staging(
     return out
 
 
+def _save_progress(spark, staged: Staged, version: int, root: str, pipeline: str, resume: bool) -> None:
+    """Save a run's ledger; if another run of the pipeline saved its own meanwhile, fold into that one."""
+    try:
+        save_ledger(staged.ledger, root, pipeline, version)
+    except LedgerConflict:
+        if not resume:
+            raise  # a run that starts afresh must not mix with one that goes on
+        update_ledger(
+            spark, root, pipeline, lambda now: apply_progress(fold_checkpoint(now, staged.manifest), staged.progress, pipeline)
+        )
+
+
 def replicate(
     spark: SparkSession, tables: dict[str, DataFrame | str], staging: Staging, target: RawStore,
     capture: Capture, ledger_root: str, resume: bool = True, replace: bool = False,
@@ -241,7 +254,7 @@ def replicate(
 
     say("running", "snapshot", (0, 2))
     try:
-        ledger = load_ledger(spark, ledger_root, staging.pipeline)
+        ledger, version = load_version(spark, ledger_root, staging.pipeline)
         staged = snapshot_to_staging(spark, tables, staging, capture, ledger, resume, run)
         if log is not None:
             log.artifacts(run, staged.manifest)
@@ -251,7 +264,7 @@ def replicate(
         if log is not None:
             log.tables(run, staged.manifest, staged.ledger, "applied")
         if capture.mode != NONE:
-            save_ledger(staged.ledger, ledger_root, staging.pipeline)
+            _save_progress(spark, staged, version, ledger_root, staging.pipeline, resume)
     except Exception as e:
         say("failed", stats={"error": f"{type(e).__name__}: {e}"[:2000]})
         raise

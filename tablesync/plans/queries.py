@@ -99,18 +99,19 @@ def unchunked_keyed_capture(spark, sf):
 
 
 @register("""
-SELECT lang, length(wide) AS n, md5(wide) AS digest
-FROM (SELECT lang, repeat(text, CAST(ceil(20000001.0 / length(text)) AS BIGINT)) AS wide FROM documents
-      QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id DESC) = 1)""")
+SELECT lang, part, length(wide) AS n, md5(wide) AS digest
+FROM (SELECT lang, doc_id // 10000 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS wide
+      FROM documents GROUP BY ALL)""")
 def wide_rows_round_trip(spark, sf):
-    """The longest text of each language, repeated beyond 20 million characters, through staging and load."""
-    longest = table(spark, sf, "documents").groupBy("lang").agg(F.max_by("text", F.struct("n_chars", "doc_id")).alias("text"))
-    wide = longest.select("lang", F.repeat("text", F.ceil(F.lit(20000001) / F.length("text")).cast("int")).alias("wide"))
+    """All texts, those of a language and of 10,000 ids in one wide row, through staging and load."""
+    part = F.expr("doc_id div 10000")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda t: t["text"])
+    wide = table(spark, sf, "documents").groupBy("lang", part.alias("part")).agg(F.array_join(texts, "\n").alias("wide"))
     staging, _ = _stage(spark, {"public.wide": wide}, chunk_size=2)
     store = RawStore(scratch_path(spark, "raw"))
     load_staging(spark, staging, store)
     rows = project_typed(store.read(spark, "public.wide"), wide.schema)
-    return rows.select("lang", F.length("wide").cast("long").alias("n"), F.md5("wide").alias("digest"))
+    return rows.select("lang", "part", F.length("wide").cast("long").alias("n"), F.md5("wide").alias("digest"))
 
 
 @register("SELECT * FROM orders")
@@ -1125,3 +1126,7 @@ def replicate_tables(spark, sf):
     return store.read(spark).groupBy("raw_table").agg(
         F.count("*").alias("row_count"), F.countDistinct("_object_key").alias("chunks")
     )
+
+
+# The queries over stored tables, ledgers and layouts register themselves here.
+from tablesync.plans import stored_queries  # noqa: E402, F401

@@ -90,3 +90,22 @@ def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcast behind a row count; beyond the limit Spark shuffles instead."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+# Files whose places may be broadcast: 16 bytes each. Spark's driver lists every file of a scan, so
+# a scan has no more of them.
+KEYED_FILES = 4_000_000
+
+
+def join_by_file(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` joined with ``places`` (one row per ``_file``) by the file they come from.
+
+    Only a 64-bit key of the file's name and the other columns are broadcast, a few bytes per file;
+    should two names ever have one key, files are joined by name.
+    """
+    others = [c for c in places.columns if c != "_file"]
+    keyed = places.select("_file", F.xxhash64("_file").alias("_file_key"), *others)
+    facts = keyed.agg(F.count("*").alias("n"), F.count_distinct("_file_key").alias("keys")).first()
+    if facts["n"] > KEYED_FILES or facts["n"] != facts["keys"]:
+        return rows.join(places, "_file")
+    return rows.withColumn("_file_key", F.xxhash64("_file")).join(F.broadcast(keyed.drop("_file")), "_file_key").drop("_file_key")

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.functions.codec import record_column
-from tablesync.functions.cursor import cursor_literal, cursor_predicate, cursor_text
+from tablesync.functions.cursor import ORDERED_TYPES, cursor_literal, cursor_predicate, cursor_text
 from tablesync.functions.names import normalize_tables
-from tablesync.operators.chunking import INDEX, number_rows, row_hash, sort_columns
+from tablesync.operators.chunking import INDEX, fresh_names, number_rows, row_hash, sort_columns, unpack
 
-# Largest cap answered by a top-k scan, whose rows meet in one task. Above it the rows are
-# numbered across the cluster.
+# Largest cap answered by a top-k scan, whose rows meet in one task. Above it the last key is
+# selected by counting.
 TOP_K_ROWS = 100_000
 
 
@@ -29,31 +29,98 @@ def capture_incremental(df: DataFrame, cursor: str, last=None, overlap=None) ->
     return df.filter(cursor_predicate(cursor, df.schema[cursor].dataType, last, overlap))
 
 
-def capture_bounded(df: DataFrame, key, max_rows: int) -> DataFrame:
-    """The first ``max_rows`` rows in key order, tied ones by a hash of the row."""
+def capture_bounded(df: DataFrame, key, max_rows: int, top_k: int = TOP_K_ROWS) -> DataFrame:
+    """The first ``max_rows`` rows in key order, tied ones by a hash of the row.
+
+    Above ``top_k`` the last row's key and hash are selected by counting and the table is
+    filtered, not sorted; only copies of that last row are numbered, to take as many as are missing.
+    Keys without a lossless text (``cursor_text``) are numbered in order instead.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    if max_rows <= TOP_K_ROWS:
+    if max_rows <= top_k:
         return df.orderBy(*sort_columns(keys), row_hash(df)).limit(max_rows)
-    return number_rows(df, keys).df.filter(F.col(INDEX) < max_rows).drop(INDEX)
+    if not all(isinstance(df.schema[k].dataType, ORDERED_TYPES) for k in keys):
+        return unpack(number_rows(df, keys, packed=True).df.filter(F.col(INDEX) < max_rows))
+    tie, = fresh_names(df, "_tie")
+    hashed = df.withColumn(tie, row_hash(df))
+    columns = [*keys, tie]
+    found = selected_position(hashed, columns, max_rows, top_k)
+    if found is None:
+        return df
+    position, below = found
+    equal = unpack(number_rows(at_key(hashed, position), packed=True).df.filter(F.col(INDEX) < max_rows - below))
+    return before_key(hashed, position).unionByName(equal).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def key_position(df: DataFrame, columns, max_rows: int) -> dict[str, str] | None:
     """The key of the ``max_rows``-th row, as lossless text per column.
 
-    None when the table has fewer rows than that. Only this one row reaches the driver.
+    None when the table has fewer rows than that. Only a few keys reach the driver.
     """
-    fields = {f.name: f.dataType for f in df.schema}
-    keys = df.select(*columns)
-    if max_rows <= TOP_K_ROWS:
-        first = keys.orderBy(*columns).limit(max_rows)
-        summary = first.agg(F.max(F.struct(*columns)).alias("k"), F.count("*").alias("n"))
-        row = summary.filter(F.col("n") == max_rows).select("k.*")
-    else:
-        row = number_rows(keys, columns).df.filter(F.col(INDEX) == max_rows - 1)
-    found = row.select(*[cursor_text(F.col(c), fields[c]).alias(c) for c in columns]).collect()
+    keys = df.select(*[F.col(f"`{c}`") for c in columns])
+    if max_rows > TOP_K_ROWS:
+        found = selected_position(keys, columns, max_rows)
+        return None if found is None else found[0]
+    first = keys.orderBy(*columns).limit(max_rows)
+    summary = first.agg(F.max(F.struct(*columns)).alias("k"), F.count("*").alias("n"))
+    row = summary.filter(F.col("n") == max_rows).select("k.*")
+    found = row.select(*_position_texts(df, columns)).collect()
     return found[0].asDict() if found else None
 
 
+def _position_texts(df: DataFrame, columns) -> list[Column]:
+    fields = {f.name: f.dataType for f in df.schema}
+    return [cursor_text(F.col(f"`{c}`"), fields[c]).alias(c) for c in columns]
+
+
+# Keys drawn at random in each round of a selection: each round cuts what is left about that many times.
+PIVOTS = 100
+
+
+def selected_position(df: DataFrame, columns, n: int, top_k: int = TOP_K_ROWS) -> tuple[dict[str, str], int] | None:
+    """The key of the ``n``-th row in key order and the number of rows with smaller keys.
+
+    Nothing is sorted or shuffled. Each round draws some keys from a bracket of keys that holds the
+    wanted one, counts exactly how many rows lie below and at each, and takes the bracket between two
+    of them, or the answer if the wanted row is tied with one. Brackets are filters, so they reach the
+    scan; the last one, of at most ``top_k`` rows, is answered by a top-k.
+    """
+    keys = df.select(*[F.col(f"`{c}`") for c in columns])
+    low = high = None  # positions: the wanted key is above the one and below the other
+    below, left = 0, keys.count()
+    if left < n:
+        return None
+    while True:
+        bracket = keys
+        if low is not None:
+            bracket = after_key(bracket, low)
+        if high is not None:
+            bracket = before_key(bracket, high)
+        wanted = n - below
+        if min(wanted, left) <= top_k:
+            position = key_position(bracket, columns, wanted)
+            lits = F.struct(*_key_literals(keys, position))
+            return position, below + bracket.filter(F.struct(*columns) < lits).count()
+        drawn = bracket.orderBy(F.rand(17)).limit(PIVOTS).distinct().orderBy(*sort_columns(columns))
+        pivots = [r.asDict() for r in drawn.select(*_position_texts(keys, columns)).collect()]
+        key, counts = F.struct(*columns), []
+        for i, p in enumerate(pivots):
+            at = F.struct(*_key_literals(keys, p))
+            counts += [F.count_if(key < at).alias(f"l{i}"), F.count_if(key <= at).alias(f"e{i}")]
+        row = bracket.agg(*counts).first()
+        for i, p in enumerate(pivots):
+            if wanted <= row[f"l{i}"]:
+                high, left = p, row[f"l{i}"] - (row[f"e{i - 1}"] if i else 0)
+                break
+            if wanted <= row[f"e{i}"]:
+                return p, below + row[f"l{i}"]
+            low = p
+        else:
+            left -= row[f"e{len(pivots) - 1}"]
+        passed = [row[f"e{i}"] for i, p in enumerate(pivots) if row[f"e{i}"] < wanted]
+        below += max(passed, default=0)
+
+
 def _key_literals(df: DataFrame, position: dict) -> list[Column]:
     return [
         (F.lit(None).cast(df.schema[c].dataType) if v is None
@@ -72,6 +139,22 @@ def up_to_key(df: DataFrame, position: dict) -> DataFrame:
     return df.filter(prunable & (F.struct(*position) <= F.struct(*lits)))
 
 
+def before_key(df: DataFrame, position: dict) -> DataFrame:
+    """Rows whose key is below ``position``."""
+    lits = _key_literals(df, position)
+    first = F.col(f"`{next(iter(position))}`")
+    prunable = (first <= lits[0]) | first.isNull()
+    return df.filter(prunable & (F.struct(*position) < F.struct(*lits)))
+
+
+def at_key(df: DataFrame, position: dict) -> DataFrame:
+    """Rows whose key is ``position``."""
+    same = F.lit(True)
+    for c, literal in zip(position, _key_literals(df, position)):
+        same = same & F.col(f"`{c}`").eqNullSafe(literal)
+    return df.filter(same)
+
+
 def after_key(df: DataFrame, position: dict) -> DataFrame:
     """Rows whose key is above ``position``; nulls sort first, so none are left behind."""
     lits = _key_literals(df, position)
@@ -110,10 +193,10 @@ def position_from_text(text: str | None) -> dict | None:
     return None if text is None else json.loads(text)
 
 
-def last_position(df: DataFrame, columns) -> Column:
+def last_position(schema, columns, at=F.col) -> Column:
     """Aggregate: the greatest key as JSON text that ``position_from_text`` reads."""
-    fields = {f.name: f.dataType for f in df.schema}
-    top = F.max(F.struct(*columns))
+    fields = {f.name: f.dataType for f in schema}
+    top = F.max(F.struct(*[at(c).alias(c) for c in columns]))
     texts = F.struct(*[cursor_text(top[c], fields[c]).alias(c) for c in columns])
     return F.when(F.count("*") > 0, F.to_json(texts, {"ignoreNullFields": "false"}))
 

@@ -5,14 +5,20 @@ Layout of a target::
     <path>/raw/raw_table=<T>/_load_id=<L>/part-*.parquet      the rows
     <path>/applied/_load_id=<L>/part-*.parquet                one row per loaded chunk
     <path>/commits/part-*.parquet                             one row per finished load
+    <path>/compactions/<20 digits>                            loads that were rewritten as one
 
 A load writes its rows, then its applied rows, then one commit row in a single file. Readers see
 only committed load ids, which prunes whole folders, so a load that dies leaves rows nobody sees
-and its retry duplicates nothing.
+and its retry duplicates nothing. ``compact`` rewrites finished loads as one, without superseded rows,
+and one small file makes that visible; what it replaced stays until ``vacuum``, so running readers
+of the old loads go on.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +31,7 @@ from tablesync.operators.load import (
     chunk_states, check_conflicts, load_report, raw_envelope, record_applied,
 )
 from tablesync.session import local_frame, new_id, now_ms, read_or_none
+from tablesync.sources.commits import commit, delete, entries, newest_commit
 
 _RAW = (
     "_object_key string, _sequence bigint, _row_number bigint, _loaded_at timestamp, "
@@ -33,6 +40,7 @@ _RAW = (
 _COMMITS = "load_id string, committed_at_unix_ms bigint, replaced bigint"
 # Committed load ids up to this many become a literal list that prunes folders at planning.
 LISTED_LOADS = 10_000
+DAY_MS = 86_400_000
 
 
 @dataclass(frozen=True)
@@ -57,6 +65,11 @@ class RawStore:
     def _committed(self, rows: DataFrame) -> tuple[DataFrame, bool]:
         """Rows of finished loads, and whether a load ever superseded chunks of another."""
         commits = self.commits(rows.sparkSession)
+        whole, covered = self._compacted(rows.sparkSession)
+        if whole is not None:
+            gone = local_frame(rows.sparkSession, [(c,) for c in covered], "load_id string")
+            commits = commits.join(gone, "load_id", "left_anti").select("load_id", "committed_at_unix_ms", "replaced")
+            commits = commits.unionByName(local_frame(rows.sparkSession, [(whole, 0, 0)], _COMMITS))
         listed = commits.select("load_id", "replaced").limit(LISTED_LOADS + 1).collect()
         if len(listed) <= LISTED_LOADS:
             ids = sorted({r["load_id"] for r in listed})
@@ -66,6 +79,62 @@ class RawStore:
         replaced = bool(commits.filter("replaced > 0").take(1))
         return rows.join(ids, "_load_id", "left_semi"), replaced
 
+    def _compacted(self, spark: SparkSession) -> tuple[str | None, list[str]]:
+        """The load that earlier ones were rewritten to, and the ids of those."""
+        _, text = newest_commit(spark, self._part("compactions"))
+        state = {"load_id": None, "covers": []} if text is None else json.loads(text)
+        return state["load_id"], state["covers"]
+
+    def compact(self, spark: SparkSession) -> int:
+        """Rewrite finished loads as one load without superseded rows; returns how many there were.
+
+        The rows of many small files share tasks and become files of a task's size; nothing is
+        shuffled. Loads that finish meanwhile stay beside it. The new load's id sorts behind those it
+        covers and before any later one, so a later load still supersedes its chunks.
+        """
+        number, _ = newest_commit(spark, self._part("compactions"))
+        whole, covered = self._compacted(spark)
+        gone = local_frame(spark, [(c,) for c in covered], "load_id string")
+        fresh = self.commits(spark).select("load_id").distinct().join(gone, "load_id", "left_anti")
+        oldest = fresh.orderBy("load_id").limit(LISTED_LOADS).collect()
+        loads = sorted({r["load_id"] for r in oldest} | ({whole} if whole else set()))
+        if len(loads) < 2:
+            return 0
+        target = f"{re.sub('~.*', '', loads[-1])}~{new_id()}"
+        mine = F.col("_load_id").isin(loads)
+        rows = self.read(spark).filter(mine).withColumn("_load_id", F.lit(target))
+        rows.write.partitionBy("raw_table", "_load_id").mode("append").parquet(self._part("raw"))
+        applied = self.applied(spark).filter(mine).withColumn("_load_id", F.lit(target))
+        applied.coalesce(1).write.partitionBy("_load_id").mode("append").parquet(self._part("applied"))
+        commit(spark, self._part("compactions"), number + 1, json.dumps({"load_id": target, "covers": sorted({*covered, *loads})}))
+        return len(loads)
+
+    def vacuum(self, spark: SparkSession, grace_ms: int = DAY_MS, now_ms: int | None = None) -> int:
+        """Delete the folders of rewritten loads and of loads that died; returns how many loads went.
+
+        Only what is older than ``grace_ms`` goes, so readers that began before a compaction, and
+        loads under way, keep their files.
+        """
+        before = (int(time.time() * 1000) if now_ms is None else now_ms) - grace_ms
+        whole, covered = self._compacted(spark)
+        finished = {r["load_id"] for r in self.commits(spark).select("load_id").distinct().collect()}
+        live = (finished - set(covered)) | ({whole} if whole else set())
+        since = dict(entries(spark, self._part("compactions")))
+        settled = max(since.values(), default=before) < before
+        gone = set()
+        raw = self._part("raw")
+        folders = [f"{raw}/{t}" for t, _ in entries(spark, raw) if t.startswith("raw_table=")] + [self._part("applied")]
+        for folder in folders:
+            for name, written in entries(spark, folder):
+                load = name.split("=", 1)[-1]
+                if not name.startswith("_load_id=") or load in live or written >= before:
+                    continue
+                if load in finished and not settled:
+                    continue
+                delete(spark, f"{folder}/{name}")
+                gone.add(load)
+        return len(gone)
+
     def applied(self, spark: SparkSession) -> DataFrame:
         """Applied chunks, the newest load of each key."""
         rows = read_or_none(spark, self._part("applied"), APPLIED)

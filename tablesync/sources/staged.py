@@ -14,19 +14,25 @@ leaves files nobody reads. Chunks staged by other tools under
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.functions.codec import checked_json, content_digest, not_blank, record_column, strip
 from tablesync.functions.names import chunk_key
 from tablesync.model import (
     CONTENT_ENCODING, CONTENT_TYPE, DEFAULT_PARTITION, MANIFEST, select_as,
 )
-from tablesync.session import broadcast_if_small, local_frame, new_id, now_ms, path_exists, read_or_none
+from tablesync.operators.chunking import ROW
+from tablesync.session import (
+    broadcast_if_small, join_by_file, local_frame, new_id, now_ms, path_exists, read_or_none,
+)
+from tablesync.sources.commits import delete, entries
 
 CHUNK_COLUMNS = ("attempt", "stream_name", "partition_key", "sequence")
 _OWN_SCHEMA = (
@@ -71,14 +77,19 @@ class Staging:
 
 # ---------------------------------------------------------------- writing
 
+# Tasks that write a table's chunks; beyond that, each writes several, one after the other.
+MOST_WRITERS = 20_000
+
 
 def write_chunks(
-    chunked: DataFrame, staging: Staging, columns, attempt: str | None = None,
+    chunked: DataFrame, staging: Staging, columns=None, attempt: str | None = None,
     order: str = "_row_index", rows_per_file: int | None = None, json_columns=(),
     chunk_count: int | None = None,
 ) -> str:
     """Write ``(stream_name, sequence, <order>, <columns>)`` as one gzip file per chunk.
 
+    Without ``columns`` the row is the struct column ``_row``, whose fields may have any names.
+
     One shuffle on the chunk number puts a chunk's rows in one task, sorted by ``order``; rows
     travel typed and become JSON only where they are written. With ``rows_per_file`` a chunk is
     instead a set of files written without that shuffle by the tasks that hold the rows: the way
@@ -93,11 +104,10 @@ def write_chunks(
         rows = rows.withColumn("partition_key", F.lit(DEFAULT_PARTITION))
     keys = ["stream_name", "partition_key", "sequence"]
     if rows_per_file is None:
-        wide = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        few = chunk_count is not None and 4 * chunk_count <= wide
-        rows = rows.repartition(4 * chunk_count, *keys) if few else rows.repartition(*keys)
+        # a task per chunk, not per setting of the session: the work of a task does not grow with the table
+        rows = rows.repartition(*keys) if chunk_count is None else rows.repartition(min(4 * chunk_count, MOST_WRITERS), *keys)
         rows = rows.sortWithinPartitions(*keys, order)
-    record = record_column(rows, columns, json_columns)
+    record = record_column(rows, columns, json_columns, ROW if columns is None else None)
     writer = (
         rows.select(*keys, record.alias("value"))
         .write.partitionBy(*keys).mode("append").option("compression", CONTENT_ENCODING)
@@ -231,6 +241,38 @@ def read_manifest(spark: SparkSession, staging: Staging, all_attempts: bool = Tr
     return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
+def remove_loaded(
+    spark: SparkSession, staging: Staging, applied: DataFrame, grace_ms: int = 86_400_000, now_ms: int | None = None
+) -> int:
+    """Delete attempts whose chunks are all applied, or newer attempts replaced, and attempts nobody
+    committed; returns how many went.
+
+    Manifests go before the files they name, and with a run's last attempt. Nothing younger than
+    ``grace_ms`` is touched: a load that began with an older manifest finishes.
+    """
+    before = (int(time.time() * 1000) if now_ms is None else now_ms) - grace_ms
+    manifest = read_or_none(spark, staging.manifests, T.StructType([*MANIFEST.fields, T.StructField("run", T.StringType())]))
+    open_attempts: set[str] = set()
+    runs: dict[str, set[str]] = {}
+    if manifest is not None:
+        newest = read_manifest(spark, staging, all_attempts=False).select("object_key", "attempt")
+        waiting = newest.join(applied.select("object_key"), "object_key", "left_anti")
+        open_attempts = {r[0] for r in waiting.select("attempt").distinct().collect()}  # one row per staged table of a run
+        for r in manifest.select("run", "attempt").distinct().collect():
+            runs.setdefault(r["run"], set()).add(r["attempt"])
+    young = {a.split("=", 1)[1] for a, at in entries(spark, staging.chunks) if a.startswith("attempt=") and at >= before}
+    for run, attempts in runs.items():
+        if not attempts & (open_attempts | young):
+            delete(spark, f"{staging.manifests}/run={run}")
+    kept = {a for attempts in runs.values() if attempts & (open_attempts | young) for a in attempts}
+    removed = 0
+    for name, _ in entries(spark, staging.chunks):
+        attempt = name.split("=", 1)[-1]
+        if name.startswith("attempt=") and attempt not in kept | young:
+            removed += delete(spark, f"{staging.chunks}/{name}")
+    return removed
+
+
 def check_manifest_bucket(manifest: DataFrame, bucket: str) -> int:
     """Refuse chunks that belong to another bucket; returns the number of chunks."""
     foreign = ~F.col("bucket").eqNullSafe(F.lit(bucket))
@@ -263,7 +305,7 @@ def number_lines(lines: DataFrame, keys, multi_file: bool = False) -> DataFrame:
     before = W.partitionBy(*keys).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, "_file").agg(F.count("*").alias("_n"))
     starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(broadcast_if_small(starts), "_file").select(
+    return join_by_file(numbered, starts).select(
         *keys, (F.col("_row_number") + F.col("_start")).alias("_row_number"), "value"
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tablesync.operators.cdc import DELETE, PAUSED, SNAPSHOT_PLANNING, initial_phase, newer_changes
 from tablesync.operators.writes import latest_by_key
 from tablesync.session import local_frame, read_or_none
+from tablesync.sources.delta_table import DeltaTable
 from tablesync.sources.keyed_table import KeyedTable
 
 LSN, DELETED = "_lsn", "_deleted"
@@ -24,7 +25,14 @@ def cdc_table(path: str, key, row_schema: T.StructType, buckets: int = 16, files
     return KeyedTable(path, key, T.StructType(fields), buckets, files_per_bucket, LSN, DELETED)
 
 
-def backfill(table: KeyedTable, snapshot: DataFrame, snapshot_lsn: int) -> bool:
+def delta_cdc_table(path: str, key, row_schema: T.StructType, buckets: int = 16, tier: int = 4) -> DeltaTable:
+    """The same as a table merged on read: a batch of changes writes small runs and no bucket."""
+    fields = [*row_schema.fields, T.StructField(LSN, T.LongType()), T.StructField(DELETED, T.BooleanType())]
+    key = (key,) if isinstance(key, str) else tuple(key)
+    return DeltaTable(path, key, T.StructType(fields), buckets, LSN, DELETED, tier)
+
+
+def backfill(table: KeyedTable | DeltaTable, snapshot: DataFrame, snapshot_lsn: int) -> bool:
     """Fold a snapshot in at its log position; rows changed since are left alone.
 
     A mark beside the table says so, and a snapshot with a mark is not folded in again.
@@ -40,13 +48,13 @@ def backfill(table: KeyedTable, snapshot: DataFrame, snapshot_lsn: int) -> bool:
     return True
 
 
-def backfilled(spark: SparkSession, table: KeyedTable) -> list[int]:
+def backfilled(spark: SparkSession, table: KeyedTable | DeltaTable) -> list[int]:
     """Log positions of the snapshots folded in, in order."""
     marks = read_or_none(spark, f"{table.path}/backfills", MARK)
     return [] if marks is None else sorted(r[0] for r in marks.select("snapshot_lsn").collect())
 
 
-def apply_changes(table: KeyedTable, changes: DataFrame, snapshot_lsn: int | None = None) -> None:
+def apply_changes(table: KeyedTable | DeltaTable, changes: DataFrame, snapshot_lsn: int | None = None) -> None:
     """Fold one batch of change records above the snapshot into the buckets it touches."""
     rows = newer_changes(changes, snapshot_lsn).withColumns(
         {LSN: F.col("lsn").cast("bigint"), DELETED: F.col("op") == DELETE}
@@ -55,7 +63,7 @@ def apply_changes(table: KeyedTable, changes: DataFrame, snapshot_lsn: int | Non
 
 
 def cdc_stream(
-    changes: DataFrame, table: KeyedTable, checkpoint: str, mode: str = "none",
+    changes: DataFrame, table: KeyedTable | DeltaTable, checkpoint: str, mode: str = "none",
     snapshot: DataFrame | None = None, snapshot_lsn: int = 0, continuous: str | None = None,
 ) -> StreamingQuery | None:
     """Backfill if the mode asks for a snapshot, then tail the streaming change log.
