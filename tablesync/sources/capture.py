@@ -159,9 +159,12 @@ def after_key(df: DataFrame, position: dict) -> DataFrame:
     """Rows whose key is above ``position``; nulls sort first, so none are left behind."""
     lits = _key_literals(df, position)
     first = next(iter(position))
+    above = F.struct(*position) > F.struct(*lits)
+    if position[first] is None:
+        return df.filter(above)
     if len(position) == 1:
         return df.filter(F.col(first) > lits[0])
-    return df.filter((F.col(first) >= lits[0]) & (F.struct(*position) > F.struct(*lits)))
+    return df.filter((F.col(first) >= lits[0]) & above)
 
 
 def capture_capped(
