@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesync.functions.codec import record_column
+from tablesync.functions.codec import JSON_OPTIONS, record_column
 from tablesync.session import join_by_file, local_frame, read_or_none, scratch_path
 
 INDEX, SEQUENCE = "_row_index", "sequence"
@@ -129,6 +129,59 @@ def number_rows(df: DataFrame, order_by=(), unique: bool = False, packed: bool =
     return Numbered(numbered if packed else unpack(numbered, INDEX), ends[-1] if ends else 0, path)
 
 
+# Chunks whose first keys may become one literal: a key's size each.
+MOST_BOUNDS = 1_000_000
+
+
+def first_keys(df: DataFrame, order_by, chunk_size: int, unique: bool) -> tuple[list[str], T.StructType] | None:
+    """The key at which each chunk begins, as JSON text, and the keys' schema.
+
+    Only the keys are sorted and numbered, not the rows; without a ``unique`` order a hash of the
+    row is part of the key. None where keys cannot tell the chunks apart, because copies of one row lie
+    on both sides of a boundary, or where there are too many chunks. One key per chunk reaches the driver.
+    """
+    named = key_struct(df, order_by, unique)
+    keys = df.select(named.alias("_key"))
+    numbered = number_rows(keys, ["_key"], unique=True, packed=True)
+    try:
+        if numbered.total > MOST_BOUNDS * chunk_size:
+            return None
+        at = F.col(INDEX) % chunk_size
+        edges = numbered.df.filter((at == 0) | (at == chunk_size - 1)).select(
+            INDEX, F.to_json(F.col(ROW).getField("_key"), JSON_OPTIONS).alias("key")
+        )
+        rows = sorted(tuple(r) for r in edges.collect())
+    finally:
+        numbered.release()
+    last = {i: k for i, k in rows}
+    starts = [(i, k) for i, k in rows if i % chunk_size == 0]
+    if any(i and last[i - 1] == k for i, k in starts):
+        return None
+    return [k for _, k in starts], keys.schema["_key"].dataType
+
+
+def key_struct(df: DataFrame, order_by, unique: bool) -> Column:
+    """The sort key as one struct, which sorts like its fields, nulls first."""
+    columns = [c if isinstance(c, Column) else F.col(f"`{c}`") for c in order_by]
+    if not unique:
+        columns.append(row_hash(df))
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def chunk_of(key: Column, starts: list[str], schema: T.StructType) -> Column:
+    """Number of the chunk a key belongs to: a binary search among the chunks' first keys.
+
+    The first keys are one constant of the plan.
+    """
+    keys = F.from_json(F.lit("[" + ",".join(starts) + "]"), T.ArrayType(schema), {**JSON_OPTIONS, "mode": "FAILFAST"})
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(starts).bit_length()))])
+    found = F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when((at + step <= len(starts)) & (F.get(keys, at + step - 1) <= key), at + step).otherwise(at),
+    )
+    return (found - 1).cast("bigint")
+
+
 def file_offsets(counts: DataFrame) -> tuple[DataFrame, int]:
     """Rows in earlier files, by ``_file``, from ``_file, _n``, and the total.
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tablesync.functions.names import normalize_tables
 from tablesync.model import FULL, INCREMENTAL, MANIFEST, MODES, NONE, PROGRESS
-from tablesync.operators.checkpoint import (
-    apply_progress, fold_checkpoint, pending_tables, progress_columns, table_progress,
+from tablesync.functions.codec import record_column
+from tablesync.operators.checkpoint import apply_progress, fold_checkpoint, pending_tables, progress_columns
+from tablesync.operators.chunking import (
+    INDEX, ROW, SEQUENCE, assign_sequence, check_chunk_size, chunk_of, first_keys, key_struct, number_files,
+    number_rows, pack,
 )
-from tablesync.operators.chunking import INDEX, assign_sequence, check_chunk_size, number_files, number_rows, pack
 from tablesync.operators.schema import schema_fingerprint
 from tablesync.plans.run_log import RunLog
 from tablesync.session import local_frame, new_id
@@ -24,8 +26,8 @@ from tablesync.sources.capture import (
 from tablesync.sources.ledger import LedgerConflict, load_version, save_ledger, update_ledger
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import (
-    Staging, adopt_foreign_chunks, check_manifest_bucket, chunk_manifest, commit_manifest,
-    read_chunks, read_foreign_chunks, read_manifest, write_chunks,
+    ORDER, Staging, adopt_foreign_chunks, check_manifest_bucket, chunk_manifest, commit_manifest,
+    digest_columns, read_chunks, read_foreign_chunks, read_manifest, write_chunks, write_digested,
 )
 
 # Rows per file when a whole table is staged as one chunk.
@@ -96,7 +98,7 @@ def _capture_table(df: DataFrame, capture: Capture, start, key):
                 f"cursor {capture.cursor} changed its type from {start['cursor_type']}"
             )
         rows = capture_incremental(df, capture.cursor, last, capture.overlap)
-        order = [F.col(capture.cursor).asc_nulls_last(), *[F.col(k) for k in key]]
+        order = [F.col(capture.cursor).isNull(), F.col(capture.cursor), *[F.col(k) for k in key]]  # null cursors last
         cap_by = [capture.cursor]
     else:
         position = position_from_text(start["last_key"])
@@ -117,8 +119,9 @@ def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -
     """Stage rows as one chunk, straight from the scan; what they amount to is observed on the way."""
     seen = Observation(f"rows-{attempt}")
     packed = rows.select(pack(rows))
+    record = record_column(packed, None, capture.json_columns, ROW)
     write_chunks(
-        packed.observe(seen, *progress_columns(packed, cursor, key)).withColumns(
+        packed.observe(seen, *progress_columns(packed, cursor, key), *digest_columns(record)).withColumns(
             {"stream_name": F.lit(name), "sequence": F.lit(sequence).cast("bigint")}
         ),
         staging, None, attempt, rows_per_file=capture.batch_size, json_columns=capture.json_columns,
@@ -126,6 +129,36 @@ def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -
     return seen.get
 
 
+def _stage_chunks(rows, order, unique, source, name, first, staging, attempt, capture, cursor, key) -> dict:
+    """Stage rows in chunks, by one shuffle of the rows; what they amount to is observed on the way.
+
+    Ordered rows find their chunk by the chunks' first keys, for which only keys are sorted. A
+    folder in no order is numbered by its files. Where copies of one row lie on a boundary, and where rows
+    have no order and are no folder, the rows are numbered in the scratch folder.
+    """
+    size, scratch = capture.chunk_size, None
+    starts = first_keys(rows, order, size, unique) if order else None
+    if starts is not None:
+        keys, schema = starts
+        count = len(keys)
+        ordered = rows.select(pack(rows), key_struct(rows, order, unique).alias(ORDER))
+        chunked = ordered.withColumn(SEQUENCE, chunk_of(F.col(ORDER), keys, schema) + F.lit(first)) if keys else None
+    else:
+        scratch = number_files(rows.sparkSession, source, packed=True) if source else number_rows(rows, order, unique, packed=True)
+        count = -(-scratch.total // size)
+        chunked = assign_sequence(scratch.df, size, first).withColumnRenamed(INDEX, ORDER)
+    try:
+        if not count:
+            return {"next_sequence": first, "rows_emitted": 0, "max_cursor_value": None, "last_key": None}
+        seen = Observation(f"rows-{attempt}")
+        facts = [(F.max(SEQUENCE) + 1).alias("next_sequence"), *progress_columns(chunked, cursor, key)]
+        write_digested(chunked, staging, name, attempt, count, facts, seen, capture.json_columns)
+        return seen.get
+    finally:
+        if scratch is not None:
+            scratch.release()
+
+
 def snapshot_to_staging(
     spark: SparkSession, tables: dict[str, DataFrame | str], staging: Staging, capture: Capture,
     ledger: DataFrame, resume: bool = True, run: str | None = None,
@@ -134,7 +167,8 @@ def snapshot_to_staging(
 
     A table is a DataFrame or the path of a parquet folder. Without a chunk size rows are written
     as the scan yields them. In chunks, a whole folder without a declared key is numbered by file
-    position, which saves the sort and the scratch copy that other captures need.
+    position; other captures sort their keys to find where chunks begin. Rows are shuffled once, and what
+    was staged is not read again.
 
     Nothing is written to the ledger: the caller saves ``Staged.ledger`` once the chunks are
     loaded, so that a failed load is captured again.
@@ -161,35 +195,32 @@ def snapshot_to_staging(
         first = start["start_sequence"]
         cursor = capture.cursor if capture.mode == INCREMENTAL else None
         last_by = key if capture.mode == FULL else ()
+        kind = df.schema[cursor].dataType.simpleString() if cursor else None
+        progress = lambda seen, sequence: (
+            name, sequence, not cut, seen["rows_emitted"], seen["max_cursor_value"], kind, seen["last_key"],
+        )
         if capture.chunk_size is None:
             seen = _stage_whole(rows, name, first, staging, attempts[name], capture, cursor, last_by)
-            kind = df.schema[cursor].dataType.simpleString() if cursor else None
-            progress = (name, first + 1, not cut, seen["rows_emitted"], seen["max_cursor_value"], kind, seen["last_key"])
-            return progress, None if seen["rows_emitted"] else (attempts[name], name, first)
-        if isinstance(given[name], str) and rows is df and not order:
-            numbered = number_files(spark, given[name], packed=True)
-        else:
-            numbered = number_rows(rows, order, unique=bool(key), packed=True)
-        try:
-            chunked = assign_sequence(numbered.df, capture.chunk_size, first)
-            if numbered.total:
-                write_chunks(
-                    chunked.withColumn("stream_name", F.lit(name)), staging, None, attempts[name],
-                    INDEX, None, capture.json_columns, -(-numbered.total // capture.chunk_size),
-                )
-            return table_progress(chunked, name, first, cursor, last_by, not cut).first(), None
-        finally:
-            numbered.release()
+            if not seen["rows_emitted"]:
+                return progress(seen, first + 1), (attempts[name], name, first), None
+            digest = "-".join(str(seen[f"digest_{part}"]) for part in ("rows", "low", "high"))
+            return progress(seen, first + 1), None, {attempts[name]: digest}
+        source = given[name] if isinstance(given[name], str) and rows is df and not order else None
+        seen = _stage_chunks(
+            rows, order, bool(key), source, name, first, staging, attempts[name], capture, cursor, last_by
+        )
+        return progress(seen, seen["next_sequence"]), None, {attempts[name]: None} if seen["rows_emitted"] else None
 
     done = run_tables(spark, stage, [n for n in names if n in starts], capture.parallelism)
-    progress = local_frame(spark, [p for p, _ in done], PROGRESS)
+    progress = local_frame(spark, [p for p, _, _ in done], PROGRESS)
     if not done:
         return Staged(local_frame(spark, [], MANIFEST), progress, base, run)
-    empty = [e for _, e in done if e]
+    empty = [e for _, e, _ in done if e]
+    digests = {a: d for *_, known in done if known for a, d in known.items()}
     prints = {n: schema_fingerprint(frames[n].schema) for n in starts}
-    written = [attempts[p[0]] for p, _ in done if p[3]]
+    written = [attempts[p[0]] for p, *_ in done if p[3]]
     if written or empty:
-        found = chunk_manifest(spark, staging, written, prints, empty)
+        found = chunk_manifest(spark, staging, written, prints, empty, digests)
         manifest = commit_manifest(found, staging, run)
     else:
         manifest = local_frame(spark, [], MANIFEST)

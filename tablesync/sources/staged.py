@@ -3,7 +3,7 @@
 Layout of a staging area (``file:``, ``hdfs:`` and ``s3a:`` alike)::
 
     <root>/<bucket>[/<prefix>]/pipelines/<pipeline>/attempt=<A>/
-        stream_name=<S>/partition_key=<K>/sequence=<N>/part-*.txt.gz
+        stream_name=<S>/partition_key=<K>/sequence=<N>/digest=<D>/part-*.txt.gz
     <root>/<bucket>[/<prefix>]/manifests/<pipeline>/run=<R>/part-*.parquet
 
 Every table of every run is written to a fresh ``attempt`` folder (two jobs may not share an
@@ -18,7 +18,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +36,10 @@ from tablesync.sources.commits import delete, entries
 
 CHUNK_COLUMNS = ("attempt", "stream_name", "partition_key", "sequence")
 _OWN_SCHEMA = (
-    "value string, attempt string, stream_name string, partition_key string, sequence bigint"
+    "value string, attempt string, stream_name string, partition_key string, sequence bigint, digest string"
 )
+# Stands in the folder's name where a chunk's digest was not known when it was written.
+UNKNOWN = "unknown"
 
 
 @dataclass(frozen=True)
@@ -109,8 +111,8 @@ def write_chunks(
         rows = rows.sortWithinPartitions(*keys, order)
     record = record_column(rows, columns, json_columns, ROW if columns is None else None)
     writer = (
-        rows.select(*keys, record.alias("value"))
-        .write.partitionBy(*keys).mode("append").option("compression", CONTENT_ENCODING)
+        rows.select(*keys, F.lit(UNKNOWN).alias("digest"), record.alias("value"))
+        .write.partitionBy(*keys, "digest").mode("append").option("compression", CONTENT_ENCODING)
     )
     if rows_per_file is not None:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -118,6 +120,66 @@ def write_chunks(
     return attempt
 
 
+ORDER = "_order"
+
+
+def write_digested(
+    rows: DataFrame, staging: Staging, stream: str, attempt: str, chunk_count: int, observed=(), seen: Observation | None = None,
+    json_columns=(),
+) -> None:
+    """Write packed rows (``_row, sequence, _order``) as one gzip file per chunk, with its digest.
+
+    One shuffle puts a chunk's rows in one task. There they become JSON, their digest is added up and
+    names the chunk's folder, so nothing that was staged is read again to describe it. ``observed``
+    aggregates go to ``seen`` from the same tasks.
+    """
+    moved = rows.repartition(min(4 * chunk_count, MOST_WRITERS), "sequence")
+    if seen is not None:
+        moved = moved.observe(seen, *observed)
+    lines = moved.select("sequence", ORDER, record_column(moved, None, json_columns, ROW).alias("value"))
+    whole = W.partitionBy("sequence")
+    h = F.xxhash64("value")
+    digest = F.concat_ws(
+        "-", F.count("*").over(whole).cast("string"),
+        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(whole).cast("string"),
+        F.sum(F.shiftrightunsigned(h, 32)).over(whole).cast("string"),
+    )
+    keys = ["stream_name", "partition_key", "sequence", "digest"]
+    named = lines.withColumns({"digest": digest, "stream_name": F.lit(stream), "partition_key": F.lit(DEFAULT_PARTITION)})
+    (
+        named.sortWithinPartitions(*keys, ORDER).select(*keys, "value")
+        .write.partitionBy(*keys).mode("append").option("compression", CONTENT_ENCODING).text(staging.attempt(attempt))
+    )
+
+
+def digest_columns(value: Column) -> list[Column]:
+    """Aggregates whose values joined by hyphens are a chunk's digest."""
+    h = F.xxhash64(value)
+    return [
+        F.count("*").alias("digest_rows"), F.coalesce(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)).alias("digest_low"),
+        F.coalesce(F.sum(F.shiftrightunsigned(h, 32)), F.lit(0)).alias("digest_high"),
+    ]
+
+
+_OWN_PATH = r"/attempt=([^/]+)/stream_name=([^/]+)/partition_key=([^/]+)/sequence=(\d+)/digest=([^/]+)/[^/]+$"
+
+
+def listed_chunks(spark: SparkSession, staging: Staging, attempts: list[str]) -> DataFrame:
+    """Chunks of the attempts from the listing alone: names, digest, files and bytes."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz")
+        .load([staging.attempt(a) for a in attempts]).select("path", F.col("length"))
+    )
+    part = lambda i: F.url_decode(F.replace(F.regexp_extract("path", _OWN_PATH, i), F.lit("+"), F.lit("%2B")))
+    named = files.select(
+        part(1).alias("attempt"), part(2).alias("stream_name"), part(3).alias("partition_key"),
+        part(4).cast("bigint").alias("sequence"), part(5).alias("content_hash"), "length",
+    )
+    return named.groupBy(*CHUNK_COLUMNS, "content_hash").agg(
+        F.sum("length").alias("bytes_written"), F.count("*").alias("file_count"), F.max("length").alias("max_file_bytes"),
+    )
+
+
 def one_file_per_task(spark: SparkSession) -> SparkSession:
     """A sibling session whose file scans never pack two files into one task.
 
@@ -182,14 +244,23 @@ EMPTY_HASH = "0-0-0"
 
 def chunk_manifest(
     spark: SparkSession, staging: Staging, attempts: list[str], fingerprints=None,
-    empty_chunks=(),
+    empty_chunks=(), digests: dict[str, str | None] | None = None,
 ) -> DataFrame:
-    """Manifest rows of a run's attempts, counted from the files that were really written.
+    """Manifest rows of a run's attempts, from the files that were really written.
 
     ``fingerprints`` maps streams to schema fingerprints; ``empty_chunks`` lists the
-    ``(attempt, stream, sequence)`` of tables that staged one empty chunk.
+    ``(attempt, stream, sequence)`` of tables that staged one empty chunk. ``digests`` names the
+    attempts written with their digests, in the folders' names (None) or, for one chunk, given here.
+    Only other attempts are read to be counted.
     """
-    found = summarize_lines(_lines(spark, staging, attempts), *CHUNK_COLUMNS)
+    digests = digests or {}
+    found = summarize_lines(_lines(spark, staging, [a for a in attempts if a not in digests]), *CHUNK_COLUMNS)
+    if digests:
+        given = local_frame(spark, [(a, d) for a, d in digests.items()], "attempt string, _given string")
+        listed = listed_chunks(spark, staging, list(digests)).join(F.broadcast(given), "attempt")
+        listed = listed.withColumn("content_hash", F.coalesce("_given", "content_hash")).drop("_given")
+        rows = F.split("content_hash", "-")[0].cast("bigint")
+        found = found.unionByName(listed.withColumn("row_count", rows).select(*found.columns))
     empty = [(a, s, DEFAULT_PARTITION, n, 0, 0, EMPTY_HASH, 0, 0) for a, s, n in empty_chunks]
     if empty:
         columns = (
