@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.functions.codec import encode_rows, project_typed
 from tablesync.functions.names import chunk_key
@@ -18,6 +19,7 @@ from tablesync.session import local_frame, scratch_path
 from tablesync.sources import capture
 from tablesync.sources.commits import entries, rename
 from tablesync.sources.delta_table import DeltaTable
+from tablesync.sources.evolving_table import EvolvingTable
 from tablesync.sources.ledger import LedgerConflict, load_version, save_ledger, update_ledger
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import Staging, read_staged, remove_loaded
@@ -188,3 +190,27 @@ def foreign_chunks_loaded(spark, sf):
     load_staging(spark, staging, store)
     rows = project_typed(store.read(spark, EVENTS), events.schema)
     return rows.select(F.lit(EVENTS).alias("stream"), *events.columns)
+
+
+@register("""
+SELECT CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_totalprice, o_orderkey, o_totalprice AS price,
+       CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus, o_custkey FROM orders""")
+def evolved_store_read(spark, sf):
+    """Rows appended under three versions of a schema, read as one table; no file is rewritten."""
+    orders = table(spark, sf, "orders")
+    part = lambda i: orders.filter(F.pmod("o_orderkey", F.lit(3)) == i)
+    field = lambda name, dtype: T.StructField(name, dtype)
+    stored = EvolvingTable(scratch_path(spark, "evolving"))
+    stored.change(spark, add=[
+        field("o_orderkey", T.LongType()), field("o_totalprice", T.DoubleType()), field("o_custkey", T.IntegerType()),
+        field("o_orderdate", T.TimestampNTZType()),
+    ])
+    stored.append(part(0).select("o_orderkey", "o_totalprice", "o_custkey", "o_orderdate"))
+    stored.change(spark, rename={"o_totalprice": "price"}, add=[field("o_orderstatus", T.StringType())])
+    stored.append(part(1).select("o_orderkey", F.col("o_totalprice").alias("price"), "o_custkey", "o_orderstatus"))
+    # the name of a renamed column is used again, another column is dropped, a third one widened
+    stored.change(spark, drop=["o_orderdate"], widen={"o_custkey": T.LongType()}, add=[field("o_totalprice", T.StringType())])
+    stored.append(part(2).select(
+        "o_orderkey", F.col("o_totalprice").alias("price"), "o_custkey", "o_orderstatus", F.col("o_orderpriority").alias("o_totalprice")
+    ))
+    return stored.read(spark)

@@ -220,3 +220,28 @@ def test_loaded_chunks_are_removed(spark, tmp_path):
     assert {r.stream_name for r in read_manifest(spark, staging).collect()} == {"public.later"}
     load_staging(spark, staging, store)
     assert store.read(spark, "public.later").count() == 3 and store.read(spark).count() == 13
+
+
+# ------------------------------------------------------------ schema versions
+
+
+def test_schema_versions(spark, tmp_path):
+    from tablesync.sources.evolving_table import EvolvingTable
+
+    table = EvolvingTable(str(tmp_path))
+    assert table.read(spark).columns == [] and table.schema(spark).columns == ()
+    long, text = T.LongType(), T.StringType()
+    table.change(spark, add=[T.StructField("a", T.IntegerType()), T.StructField("b", T.ArrayType(text))])
+    table.append(spark.createDataFrame([(1, ["x"])], "a int, b array<string>"))
+    before = files(tmp_path)
+    table.change(spark, rename={"a": "b", "b": "a"}, widen={"a": long})
+    table.append(spark.createDataFrame([(2**40, None)], "b long, a array<string>"))
+    table.change(spark, drop=["a"], add=[T.StructField("a", text)])
+    assert stored(table.read(spark)) == [(1, None), (2**40, None)] and table.read(spark).columns == ["b", "a"]
+    assert table.read(spark, 2).filter("a is not null").first().a == ["x"]
+    assert set(before) <= set(files(tmp_path)) and table.versions(spark) == [1, 2, 3]
+    for bad in ({"widen": {"b": text}}, {"rename": {"x": "y"}}, {"rename": {"b": "A"}}, {"add": [T.StructField("B", long)]}):
+        with pytest.raises(ValueError):
+            table.change(spark, **bad)
+    with pytest.raises(ValueError, match="other"):
+        table.append(spark.createDataFrame([(1,)], "other int"))
