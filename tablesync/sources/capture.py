@@ -29,14 +29,15 @@ def capture_incremental(df: DataFrame, cursor: str, last=None, overlap=None) ->
     return df.filter(cursor_predicate(cursor, df.schema[cursor].dataType, last, overlap))
 
 
-def capture_bounded(df: DataFrame, key, max_rows: int, top_k: int = TOP_K_ROWS) -> DataFrame:
+def capture_bounded(df: DataFrame, key, max_rows: int, top_k: int | None = None) -> DataFrame:
     """The first ``max_rows`` rows in key order, tied ones by a hash of the row.
 
-    Above ``top_k`` the last row's key and hash are selected by counting and the table is
+    Above ``top_k`` (``TOP_K_ROWS``) the last row's key and hash are selected by counting and the table is
     filtered, not sorted; only copies of that last row are numbered, to take as many as are missing.
     Keys without a lossless text (``cursor_text``) are numbered in order instead.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    top_k = TOP_K_ROWS if top_k is None else top_k
     if max_rows <= top_k:
         return df.orderBy(*sort_columns(keys), row_hash(df)).limit(max_rows)
     if not all(isinstance(df.schema[k].dataType, ORDERED_TYPES) for k in keys):
@@ -61,10 +62,15 @@ def key_position(df: DataFrame, columns, max_rows: int) -> dict[str, str] | None
     if max_rows > TOP_K_ROWS:
         found = selected_position(keys, columns, max_rows)
         return None if found is None else found[0]
+    return _top_k_position(keys, columns, max_rows)
+
+
+def _top_k_position(keys: DataFrame, columns, max_rows: int) -> dict[str, str] | None:
+    """``key_position`` by a top-k, whose rows meet in one task."""
     first = keys.orderBy(*columns).limit(max_rows)
     summary = first.agg(F.max(F.struct(*columns)).alias("k"), F.count("*").alias("n"))
     row = summary.filter(F.col("n") == max_rows).select("k.*")
-    found = row.select(*_position_texts(df, columns)).collect()
+    found = row.select(*_position_texts(keys, columns)).collect()
     return found[0].asDict() if found else None
 
 
@@ -77,7 +83,7 @@ def _position_texts(df: DataFrame, columns) -> list[Column]:
 PIVOTS = 100
 
 
-def selected_position(df: DataFrame, columns, n: int, top_k: int = TOP_K_ROWS) -> tuple[dict[str, str], int] | None:
+def selected_position(df: DataFrame, columns, n: int, top_k: int | None = None) -> tuple[dict[str, str], int] | None:
     """The key of the ``n``-th row in key order and the number of rows with smaller keys.
 
     Nothing is sorted or shuffled. Each round draws some keys from a bracket of keys that holds the
@@ -85,6 +91,7 @@ def selected_position(df: DataFrame, columns, n: int, top_k: int = TOP_K_ROWS) -
     of them, or the answer if the wanted row is tied with one. Brackets are filters, so they reach the
     scan; the last one, of at most ``top_k`` rows, is answered by a top-k.
     """
+    top_k = TOP_K_ROWS if top_k is None else top_k
     keys = df.select(*[F.col(f"`{c}`") for c in columns])
     low = high = None  # positions: the wanted key is above the one and below the other
     below, left = 0, keys.count()
@@ -98,7 +105,7 @@ def selected_position(df: DataFrame, columns, n: int, top_k: int = TOP_K_ROWS) -
             bracket = before_key(bracket, high)
         wanted = n - below
         if min(wanted, left) <= top_k:
-            position = key_position(bracket, columns, wanted)
+            position = _top_k_position(bracket, columns, wanted)
             lits = F.struct(*_key_literals(keys, position))
             return position, below + bracket.filter(F.struct(*columns) < lits).count()
         drawn = bracket.orderBy(F.rand(17)).limit(PIVOTS).distinct().orderBy(*sort_columns(columns))

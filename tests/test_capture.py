@@ -93,7 +93,7 @@ def test_capped_by_two_columns_above_the_top_k_limit(spark, monkeypatch):
     assert ids(capture.capture_capped(df, ["a", "b"], 14)[0], "b") == small
     assert ids(capture.capture_bounded(df, ["a", "b"], 14), "b") == bounded
     assert len(small) == len(bounded) == 14
-    text = df.filter(F.col("a") == 0).agg(capture.last_position(df, ["a", "b"])).first()[0]
+    text = df.filter(F.col("a") == 0).agg(capture.last_position(df.schema, ["a", "b"])).first()[0]
     assert set(r.a for r in capture.after_key(df, capture.position_from_text(text)).collect()) == {1, 2}
 
 
