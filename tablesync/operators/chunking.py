@@ -142,7 +142,7 @@ def first_keys(df: DataFrame, order_by, chunk_size: int, unique: bool) -> tuple[
     """
     named = key_struct(df, order_by, unique)
     keys = df.select(named.alias("_key"))
-    numbered = number_rows(keys, ["_key"], unique=True, packed=True)
+    numbered = number_rows(keys, ["_key"], unique, packed=True)  # copies of a row are spread by scan position
     try:
         if numbered.total > MOST_BOUNDS * chunk_size:
             return None

@@ -141,11 +141,11 @@ def test_one_key_and_one_row_holding_a_third_of_all(spark):
     ordered = numbered.df.agg(F.max(F.when(F.col("k") == 7, F.col("_row_index")))).first()[0]
     assert ordered == 2999
     # The copies of one row were sorted by several tasks.
-    written = spark.read.parquet(numbered.path).filter("k = 7")
+    written = spark.read.parquet(numbered.path).filter("_row.k = 7")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         again = chunking.number_rows(rows, ["k"])
-        written = spark.read.parquet(again.path).filter("k = 7")
+        written = spark.read.parquet(again.path).filter("_row.k = 7")
         assert written.select(F.shiftright("_row_id", 33)).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
