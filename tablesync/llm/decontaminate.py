@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import stored, text_column
+from tablesync.operators.chunking import fresh_names
 from tablesync.session import broadcast_if_small
 
 
@@ -85,7 +86,8 @@ def found_pairs(docs: DataFrame, items: DataFrame, rule: Containment) -> DataFra
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rule: Containment = Containment()) -> DataFrame:
     """The documents that contain no item, with all their columns, decided row by row: a row goes by its id, null or not, and its text."""
-    bad = found_pairs(docs, items, rule).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_text_key")).distinct()
+    of, key = fresh_names(docs, "_bad", "_text_key")
+    bad = found_pairs(docs, items, rule).select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
     bad = stored(bad, "contaminated")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(text_column(docs)) == F.col("_text_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text_column(docs)) == F.col(key))
     return docs.join(broadcast_if_small(bad), same, "left_anti")

@@ -40,6 +40,7 @@ from xxhash import xxh3_64_intdigest
 from tablesync.llm.common import (
     byte_texts, connected_components, give_back, mix, sequence_hashes, signed, stored, word_hashes,
 )
+from tablesync.operators.chunking import fresh_names
 from tablesync.session import broadcast_if_small
 
 PART_BITS = np.uint64(0xFFFF)
@@ -335,6 +336,7 @@ def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     with it.
     """
     other = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("first_text"))
-    gone = classified(docs, t).filter(F.col("doc_id").isNotNull() & other).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key")).distinct()
-    same = (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_text_key"))
+    of, key = fresh_names(docs, "_gone", "_text_key")
+    gone = classified(docs, t).filter(F.col("doc_id").isNotNull() & other).select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
+    same = (docs["doc_id"].cast("long") == F.col(of)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key))
     return docs.join(gone, same, "left_anti")

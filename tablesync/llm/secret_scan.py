@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import stored, text_column
+from tablesync.operators.chunking import fresh_names
 from tablesync.session import broadcast_if_small
 
 # Kinds in order, pattern, the group whose length counts, and its least length. Runs
@@ -164,18 +165,18 @@ def mask(docs: DataFrame, rule: Ownership = Ownership(), mark: str = "[SECRET]")
 
     Only texts with a live finding are joined with their spans; overlapping spans become one mark.
     """
-    key = F.xxhash64(text_column(docs))
+    key, (key_name, live_name) = F.xxhash64(text_column(docs)), fresh_names(docs, "_key", "_live")
     found = scanned(docs).filter(F.size("found") > 0)
-    live = judged(found, rule).filter(F.size("live") > 0).select(F.col("text_key").alias("_key"), F.col("live").alias("_live"))
+    live = judged(found, rule).filter(F.size("live") > 0).select(F.col("text_key").alias(key_name), F.col("live").alias(live_name))
     live = broadcast_if_small(stored(live, "live-spans"), 50_000)
-    joined = docs.join(live, key == live["_key"], "left")
+    joined = docs.join(live, key == live[key_name], "left")
     step = F.aggregate(
-        F.col("_live"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        F.col(live_name), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             F.concat(acc["out"], F.substring(docs["text"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"),
             s["end"].alias("at"),
         )).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
     )
     masked = F.concat(step["out"], F.substring(docs["text"], (step["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    text = F.when(F.col("_live").isNull(), docs["text"]).otherwise(masked)
+    text = F.when(F.col(live_name).isNull(), docs["text"]).otherwise(masked)
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
