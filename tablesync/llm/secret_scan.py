@@ -26,6 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import stored, text_column
@@ -59,6 +60,34 @@ class Ownership:
 
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+BLOCK = 64  # entries whose running sum is built by appending to an array
+TEXT_BLOCK = 512  # code points
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sums_before(steps: Column, levels: int = 3) -> Column:
+    """For each entry of a non-empty array the sum of the entries before it.
+
+    Appending to one array copies it each time, so entries are summed in blocks, and the sums of the
+    blocks likewise: the work of a text with a hundred thousand matches still grows with their number.
+    """
+    def appended(values):
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(values, zero, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    if levels == 1:
+        return appended(steps)["out"]
+    firsts = F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK))
+
+    def joined(blocks):
+        offsets = sums_before(F.transform(blocks, lambda b: b["at"]), levels - 1)
+        return F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(b["out"], lambda x: x + o)))
+
+    return let(F.transform(firsts, lambda i: appended(F.slice(steps, i, BLOCK))), joined)
 
 
 def placed(kind: int) -> Column:
@@ -69,15 +98,12 @@ def placed(kind: int) -> Column:
     valid = lambda v: F.length(v) >= KINDS[kind][3]
     if KINDS[kind][0] in MIXED:
         valid = lambda v: (F.length(v) >= KINDS[kind][3]) & v.rlike("[a-z]") & v.rlike("[A-Z0-9]")
-    pairs = F.zip_with(gaps, F.arrays_zip(found.alias("f"), part.alias("p")), lambda g, m: F.struct(g.alias("gap"), F.length(m["f"]).alias("size"), m["p"].alias("value")))
-
-    def add(acc, m):
-        start = acc["at"] + m["gap"]
-        row = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["size"]).alias("end"), m["value"].alias("value"))
-        return F.struct((start + m["size"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
-    rows = F.aggregate(F.slice(pairs, F.lit(1), F.size(found)), zero, add, lambda acc: acc["out"])
+    gaps = F.slice(gaps, F.lit(1), F.size(found))
+    steps = F.zip_with(gaps, found, lambda g, f: (g + F.length(f)).cast("long"))
+    starts = F.zip_with(let(steps, lambda s: sums_before(s)), gaps, lambda at, g: at + g)
+    matches = F.zip_with(found, part, lambda f, v: F.struct(F.length(f).alias("size"), v.alias("value")))
+    rows = F.zip_with(starts, matches, lambda at, m: F.struct(
+        at.alias("start"), F.lit(kind).alias("kind"), (at + m["size"]).alias("end"), m["value"].alias("value")))
     return F.when(F.size(found) > 0, F.filter(rows, lambda r: valid(r["value"]))).otherwise(F.array().cast(SPANS))
 
 
@@ -92,7 +118,8 @@ def listed(spans: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, owner, repository, a key of the text, and all candidates in order.
 
-    Matches are stored before they are placed: an expression used twice would search the text twice.
+    Matches are stored before they are placed, and stored again with their places: an expression used
+    twice would search the text, or place the matches, twice.
     """
     owner = F.coalesce(docs["source"].cast("string"), F.lit(""))
     texts = docs.select(
@@ -108,7 +135,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
     rows = stored(cut, "secret-matches")
     found = F.array_sort(F.concat(*[placed(k) for k in range(len(KINDS))]))
-    return rows.select("doc_id", "owner", "repository", "text_key", found.alias("found"))
+    return stored(rows.select("doc_id", "owner", "repository", "text_key", found.alias("found")), "secret-spans")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -125,21 +152,35 @@ def ownership(found: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_rows"))
 
 
-def judged(found: DataFrame, rule: Ownership) -> DataFrame:
-    """Per text: its findings, and those of them whose value looks live, both in order.
+def verdicts(found: DataFrame, rule: Ownership) -> DataFrame:
+    """One row per text and finding: its span, the owners of its value and whether it looks live.
 
     Texts that are copies of each other have the same candidates and are judged once.
     """
     each = found.select("text_key", F.explode("found").alias("s")).distinct().withColumn("hash", F.xxhash64("s.value"))
     known = each.join(ownership(found), "hash").withColumn("live", F.col("n_owners") < rule.example_owners)
-    finding = known.filter((F.col("s.kind") < len(BASE)) | F.col("live"))
-    return finding.groupBy("text_key").agg(
+    return known.filter((F.col("s.kind") < len(BASE)) | F.col("live"))
+
+
+def judged(found: DataFrame, rule: Ownership) -> DataFrame:
+    """Per text: its findings, and those of them whose value looks live, both in order."""
+    return verdicts(found, rule).groupBy("text_key").agg(
         F.array_sort(F.collect_list("s")).alias("spans"),
         F.array_sort(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"),
         F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
     )
 
 
+def kept_pieces(found: DataFrame, rule: Ownership) -> DataFrame:
+    """Per text with live findings: the pieces ``(start, end)`` before each group of overlapping spans, and
+    where the last group ends."""
+    live = verdicts(found, rule).filter("live").select("text_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    earlier = W.partitionBy("text_key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    cut = live.withColumn("_reach", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("long")))
+    piece = F.when(F.col("start") >= F.col("_reach"), F.struct(F.col("_reach").alias("start"), F.col("start").alias("end")))
+    return cut.groupBy("text_key").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.max("end").alias("rest"))
+
+
 def scan(docs: DataFrame, rule: Ownership = Ownership()) -> DataFrame:
     """One row per document: base counts and digest, all spans, live-looking and example findings."""
     found = scanned(docs)
@@ -160,23 +201,27 @@ def scan(docs: DataFrame, rule: Ownership = Ownership()) -> DataFrame:
     )
 
 
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text cut into blocks; only the blocks they touch are read."""
+    first = F.floor(start / TEXT_BLOCK)
+    some = F.slice(blocks, (first + 1).cast("int"), (F.floor(end / TEXT_BLOCK) - first + 1).cast("int"))
+    return F.substring(F.array_join(some, ""), (start - first * TEXT_BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+
 def mask(docs: DataFrame, rule: Ownership = Ownership(), mark: str = "[SECRET]") -> DataFrame:
     """The documents with live-looking values replaced, all columns kept.
 
-    Only texts with a live finding are joined with their spans; overlapping spans become one mark.
+    Only texts with a live finding are joined with their pieces; overlapping spans become one mark. The
+    pieces are read from blocks of the text and joined once, so many findings in one text cost
+    no more each than few.
     """
-    key, (key_name, live_name) = F.xxhash64(text_column(docs)), fresh_names(docs, "_key", "_live")
+    key, (key_name, pieces_name, rest_name) = F.xxhash64(text_column(docs)), fresh_names(docs, "_key", "_pieces", "_rest")
     found = scanned(docs).filter(F.size("found") > 0)
-    live = judged(found, rule).filter(F.size("live") > 0).select(F.col("text_key").alias(key_name), F.col("live").alias(live_name))
+    live = kept_pieces(found, rule).select(*[F.col(a).alias(b) for a, b in (("text_key", key_name), ("pieces", pieces_name), ("rest", rest_name))])
     live = broadcast_if_small(stored(live, "live-spans"), 50_000)
     joined = docs.join(live, key == live[key_name], "left")
-    step = F.aggregate(
-        F.col(live_name), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            F.concat(acc["out"], F.substring(docs["text"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"),
-            s["end"].alias("at"),
-        )).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
-    )
-    masked = F.concat(step["out"], F.substring(docs["text"], (step["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    text = F.when(F.col(live_name).isNull(), docs["text"]).otherwise(masked)
+    blocks = F.regexp_extract_all(docs["text"], F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    kept = let(blocks, lambda b: F.concat(F.transform(F.col(pieces_name), lambda p: between(b, p["start"], p["end"])), F.array(
+        between(b, F.col(rest_name), F.length(docs["text"]).cast("long")))))
+    text = F.when(F.col(pieces_name).isNull(), docs["text"]).otherwise(F.array_join(kept, mark))
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])

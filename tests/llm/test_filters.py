@@ -176,6 +176,25 @@ def test_masking(spark):
     assert secret_scan.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_secrets_of_one_text_by_the_thousand(spark):
+    """Places and masking of 9,000 matches in one text, block borders and characters of four bytes included."""
+    text = "".join(f"😀é{'x' * (i % 7)} {i:024x}{'' if i % 3 else ' token=abc' + str(i) + 'def'}\n" for i in range(9_000))
+    rows = [("1", "a/b", "en", text), ("2", "c/d", "en", "no secret 😀"), ("3", "e/f", "en", "")]
+    docs = spark.createDataFrame([(int(i), s, la, t) for i, s, la, t in rows], "doc_id long, source string, lang string, text string")
+    out = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    want, _ = secrets_brute(text)
+    assert tuple(out[1][1:5]) == tuple(want)
+    spans = sorted(tuple(map(int, s.split(":")[1:])) for s in out[1].live_spans.split(","))
+    pieces, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            pieces.append(text[at:start])
+        at = max(at, end)
+    masked = {r.doc_id: r.text for r in secret_scan.mask(docs).collect()}
+    assert masked == {1: "[SECRET]".join([*pieces, text[at:]]), 2: rows[1][3], 3: ""}
+    assert len(spans) >= 9_000
+
+
 def licenses_brute(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     places = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
