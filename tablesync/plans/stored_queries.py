@@ -24,6 +24,7 @@ from tablesync.sources.ledger import LedgerConflict, load_version, save_ledger,
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import Staging, read_staged, remove_loaded
 from tablesync.streaming.changes import cdc_stream, delta_cdc_table
+from tablesync.streaming.loader import stream_foreign_load
 
 # Orders under names that the library uses for columns of its own.
 CLASHING = {
@@ -171,27 +172,51 @@ def ledger_concurrent(spark, sf):
     )
 
 
-@register("SELECT 'public.events' AS stream, e.* EXCLUDE (props) FROM events e")
-def foreign_chunks_loaded(spark, sf):
-    """Chunks laid out as another tool stages them, loaded once; the second load reads no text."""
-    events = table(spark, sf, "events").drop("props")
-    staging, store = Staging(scratch_path(spark, "staging"), "shop"), RawStore(scratch_path(spark, "raw"))
+def _foreign_chunks(spark, events, staging):
+    """Chunk files of ``events`` as another tool lays them out, put in place when their number is asked for."""
     chunked = capture_chunked(events, ["event_id"], CHUNK, unique=True)
     lines = encode_rows(chunked, events.columns, keep=[SEQUENCE])
     written = scratch_path(spark, "foreign")
     few = lines.repartition(SEQUENCE).withColumnRenamed("record", "value")
     few.write.partitionBy(SEQUENCE).option("compression", "gzip").text(written)
     target = f"{staging.chunks}/streams/{EVENTS}/partitions/default/chunks"
-    for folder, _ in entries(spark, written):
-        if folder.startswith(f"{SEQUENCE}="):
-            part, = [n for n, _ in entries(spark, f"{written}/{folder}") if n.endswith(".gz")]
-            rename(spark, f"{written}/{folder}/{part}", f"{target}/{int(folder.split('=')[1]):020d}.jsonl.gz")
+
+    def place(wanted):
+        for folder, _ in entries(spark, written):
+            number = int(folder.split("=")[1]) if folder.startswith(f"{SEQUENCE}=") else -1
+            if number >= 0 and wanted(number):
+                part, = [n for n, _ in entries(spark, f"{written}/{folder}") if n.endswith(".gz")]
+                rename(spark, f"{written}/{folder}/{part}", f"{target}/{number:020d}.jsonl.gz")
+
+    return place
+
+
+@register("SELECT 'public.events' AS stream, e.* EXCLUDE (props) FROM events e")
+def foreign_chunks_loaded(spark, sf):
+    """Chunks laid out as another tool stages them, loaded once; the second load reads no text."""
+    events = table(spark, sf, "events").drop("props")
+    staging, store = Staging(scratch_path(spark, "staging"), "shop"), RawStore(scratch_path(spark, "raw"))
+    _foreign_chunks(spark, events, staging)(lambda number: True)
     load_staging(spark, staging, store)
     load_staging(spark, staging, store)
     rows = project_typed(store.read(spark, EVENTS), events.schema)
     return rows.select(F.lit(EVENTS).alias("stream"), *events.columns)
 
 
+@register(ORACLE["foreign_chunks_loaded"])
+def stream_foreign_chunks(spark, sf):
+    """The same chunks loaded by a stream that stops, and goes on when the rest has arrived."""
+    events = table(spark, sf, "events").drop("props")
+    staging, store = Staging(scratch_path(spark, "staging"), "shop"), RawStore(scratch_path(spark, "raw"))
+    checkpoint_path, place = scratch_path(spark, "stream"), _foreign_chunks(spark, events, staging)
+    for parity in (0, 1):
+        place(lambda number: number % 2 == parity)
+        query = stream_foreign_load(spark, staging, store, checkpoint_path)
+        query.awaitTermination()
+    rows = project_typed(store.read(spark, EVENTS), events.schema)
+    return rows.select(F.lit(EVENTS).alias("stream"), *events.columns)
+
+
 @register("""
 SELECT CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_totalprice, o_orderkey, o_totalprice AS price,
        CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus, o_custkey FROM orders""")

@@ -503,9 +503,15 @@ def list_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | No
 
 
 def _foreign_lines(spark, paths: list[str]) -> DataFrame:
-    files = spark.read.text(paths).withColumns(
-        {"_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size")}
-    )
+    return foreign_columns(spark.read.text(paths))
+
+
+def foreign_columns(lines: DataFrame) -> DataFrame:
+    """Lines of text files of the other layout with their chunk and file; of other files none."""
+    files = lines.withColumns({
+        "_file": F.col("_metadata.file_path"), "_bytes": F.col("_metadata.file_size"),
+        "_modified": F.unix_millis("_metadata.file_modification_time"),
+    })
     return files.filter(F.col("_file").rlike(_FOREIGN)).withColumns(_foreign_columns(F.col("_file")))
 
 
@@ -529,17 +535,18 @@ def adopt_foreign_chunks(spark: SparkSession, staging: Staging) -> DataFrame | N
     counted = summarize_lines(_foreign_lines(spark, paths), *keys)
     found = fresh.select(*keys, "bytes_written", "created_at_unix_ms").join(counted.drop("bytes_written"), keys, "left")
     found = found.withColumns(
-        {
-            "row_count": F.coalesce("row_count", F.lit(0)),
-            "content_hash": F.coalesce("content_hash", F.lit(EMPTY_HASH)),
-            "file_count": F.lit(1), "max_file_bytes": F.col("bytes_written"),
-        }
+        {"row_count": F.coalesce("row_count", F.lit(0)), "content_hash": F.coalesce("content_hash", F.lit(EMPTY_HASH))}
     )
-    modified = F.col("_modified")
-    described = describe_chunks(found.withColumnRenamed("created_at_unix_ms", "_modified"), staging)
+    return select_as(known, MANIFEST).unionByName(keep_adopted(found, staging))
+
+
+def keep_adopted(found: DataFrame, staging: Staging) -> DataFrame:
+    """Store counted chunks of the other layout as manifest rows, and return them stored."""
+    rows = found.withColumns({"file_count": F.lit(1), "max_file_bytes": F.col("bytes_written")})
+    described = describe_chunks(rows.withColumnRenamed("created_at_unix_ms", "_modified"), staging)
     folder = f"{staging.adopted}/run={new_id()}"
-    select_as(described.withColumn("created_at_unix_ms", modified), MANIFEST).write.parquet(folder)
-    return select_as(known, MANIFEST).unionByName(spark.read.schema(MANIFEST).parquet(folder))
+    select_as(described.withColumn("created_at_unix_ms", F.col("_modified")), MANIFEST).write.parquet(folder)
+    return found.sparkSession.read.schema(MANIFEST).parquet(folder)
 
 
 def read_foreign_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> DataFrame:

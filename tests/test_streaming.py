@@ -6,7 +6,9 @@ from tablesync.operators.cdc import cdc_apply
 from tablesync.sources.raw_store import RawStore
 from tablesync.sources.staged import Staging
 from tablesync.streaming.changes import apply_changes, backfill, cdc_stream, cdc_table
-from tablesync.streaming.loader import stream_load
+from tablesync.plans.jobs import load_staging
+from tablesync.streaming import loader
+from tablesync.streaming.loader import stream_foreign_load, stream_load
 from tests_helpers import stage_rows
 
 
@@ -96,3 +98,49 @@ def test_deleted_keys_are_hidden(spark, tmp_path, snapshot):
     apply_changes(table, changes(spark, [("U", 1, 1, "late")]))
     assert visible(table, spark) == [(2, "b"), (3, "c")]
     assert table.read(spark, raw=True).filter(F.col("_deleted")).count() == 1
+
+
+def test_foreign_chunks_arrive_as_a_stream(spark, tmp_path, monkeypatch):
+    """Chunks of another tool: blank lines, an empty file, a restart, lost progress, a rewritten key, a later batch load."""
+    from test_staging import foreign
+
+    staging, store = Staging(str(tmp_path / "s"), "shop", prefix="x"), RawStore(str(tmp_path / "raw"))
+    digested = []
+    original = loader.summarize_lines
+    monkeypatch.setattr(loader, "summarize_lines", lambda rows, *keys: digested.append(1) or original(rows, *keys))
+
+    def go(progress="p1", **options):
+        stream_foreign_load(spark, staging, store, str(tmp_path / progress), **options).awaitTermination()
+        return sorted((r._object_key[-10:-9], r._row_number, r._data) for r in store.read(spark).collect())
+
+    foreign(staging, "public.u", 0, '{"id":1}\n\n  {"id":2}\r\n{"id":3}')
+    foreign(staging, "public.empty", 0, "")
+    foreign(staging, "public.u", "notes.txt", "ignored")
+    first = [("0", 1, '{"id":1}'), ("0", 2, '{"id":2}'), ("0", 3, '{"id":3}')]
+    assert go() == first and len(digested) == 1
+    assert go() == first and len(digested) == 1  # nothing new, nothing read
+    foreign(staging, "public.u", 1, '{"id":4}\n')
+    foreign(staging, "public.v", 2, '{"id":5}\n')
+    both = [*first, ("1", 1, '{"id":4}'), ("2", 1, '{"id":5}')]
+    assert go(max_files_per_batch=1) == both and len(digested) == 3
+    assert go("p2") == both  # the stream's own progress is lost
+    report = load_staging(spark, staging, store).collect()
+    assert report and all(r.skipped for r in report if r.rows_written or r.skipped)
+    assert go() == both
+
+
+def test_foreign_stream_refuses_other_content_and_bad_lines(spark, tmp_path):
+    from test_staging import foreign
+
+    staging, store = Staging(str(tmp_path / "s"), "shop"), RawStore(str(tmp_path / "raw"))
+    foreign(staging, "public.u", 0, '{"id":1}\n')
+    stream_foreign_load(spark, staging, store, str(tmp_path / "p1")).awaitTermination()
+    foreign(staging, "public.u", 0, '{"id":2}\n')
+    with pytest.raises(Exception, match="content"):
+        stream_foreign_load(spark, staging, store, str(tmp_path / "p2")).awaitTermination()
+    stream_foreign_load(spark, staging, store, str(tmp_path / "p2"), replace=True).awaitTermination()
+    assert [r._data for r in store.read(spark).collect()] == ['{"id":2}']
+    foreign(staging, "public.u", 1, '{"id":3}]\n')
+    with pytest.raises(Exception, match="invalid staged JSON"):
+        stream_foreign_load(spark, staging, store, str(tmp_path / "p2")).awaitTermination()
+    assert store.read(spark).count() == 1
