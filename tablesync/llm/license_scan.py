@@ -98,11 +98,35 @@ FAMILIES = (
 # The parts of Creative Commons names.
 CC = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s"), ("by-nc", "attribution non ?commercial"),
       ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s"))
+# Sentences of license texts and notices that tell which license it is.
+SENTENCES = (
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "neither the names? of (?:[^ ]+ ){1,20}may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("cc0", "to the extent possible under law (?:[^ ]+ ){1,20}waived all copyright and related or neighboring rights"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
 # Statements that are no license of their own.
 STATEMENTS = (
     ("public-domain", 20, 0.6, "public domain", r"(?:released into|dedicated to|in|placed in) the public domain"),
     ("all-rights-reserved", 10, 0.5, "all rights reserved", r"all rights reserved"),
-    ("copyright", 5, 0.2, "copyright", r"copyright (?:c )?(?:\d{4}(?: \d{4})* )?(?:by )?"),
+    ("copyright", 5, 0.2, "copyright", r"copyright(?: c)?(?: \d{4}(?: \d{4})*)?(?: by)?"),
     ("proprietary", 25, 0.7, "proprietary", r"(?:proprietary and confidential|proprietary licen[cs]e|proprietary software)"),
     ("no-redistribution", 25, 0.7, "redistribut", r"redistribution (?:is )?(?:prohibited|not permitted|not allowed)"),
     ("no-commercial-use", 25, 0.6, "commercial", r"(?:non commercial use only|not for commercial use|no commercial use)"),
@@ -111,6 +135,17 @@ STATEMENTS = (
 )
 
 
+TAG = "spdx licen[cs]e identifier"
+
+
+def versioned(family: str, version: str) -> tuple[str, str]:
+    """The label of a family's version, and the pattern of its number."""
+    major, _, minor = version.partition(" ")
+    if minor == "0":
+        return f"{family}-{major}", f"{major}(?: 0)?"
+    return f"{family}-{version.replace(' ', '.' if minor.isdigit() else '-')}", version
+
+
 def rules() -> list[Rule]:
     """All signatures, highest priority first."""
     out: list[Rule] = []
@@ -125,26 +160,33 @@ def rules() -> list[Rule]:
         for name in f.names:
             keyword = re.split(r"[\[(\\?]", name)[0].strip() or f.spdx
             for version in f.versions:
-                major, _, minor = version.partition(" ")
-                tail = rf"(?: version| v)? ?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}" if minor else "")
-                label = f"{f.label}-{major}" if minor == "0" else f"{f.label}-{version.replace(' ', '.' if minor.isdigit() else '-')}"
+                label, number = versioned(f.label, version)
+                tail = rf"(?: ?version| ?v)? ?{number}"
                 add(label, 70, 0.9, keyword, rf"{name}{tail}")
                 add(label, 80, 0.95, keyword, rf"{licensed}{name}{tail}")
                 add(f"{label}-or-later", 85, 0.95, keyword, rf"{name}{tail} or (?:at your option )?(?:any )?later(?: version)?")
             add(f.label, 60, 0.85, keyword, licensed + name)
             add(f.label, 50, 0.7, keyword, name)
-        add(f.label, 95, 1.0, "spdx", rf"spdx licen[cs]e identifier {f.spdx}(?: {NUMBER})?(?: only| or later)?")
+        add(f.label, 95, 1.0, "spdx", rf"{TAG} {f.spdx}(?: {NUMBER})?(?: only| or later)?")
+        for version in f.versions:
+            label, number = versioned(f.label, version)
+            add(label, 97, 1.0, "spdx", rf"{TAG} {f.spdx} {number}(?: only)?")
+            add(f"{label}-or-later", 98, 1.0, "spdx", rf"{TAG} {f.spdx} {number} or later")
     for code, words in CC:
         short = "cc " + code.replace("-", " ")
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"cc-{code}-{version.replace(' ', '.')}"
             add(label, 75 + len(code), 0.9, "cc by", rf"{short} {version}")
             add(label, 75 + len(code), 0.95, "creative commons", rf"creative commons {words}(?: (?:international|unported))?(?: public)?(?: licen[cs]e)? {version}")
+            add(label, 97, 1.0, "creativecommons", rf"creativecommons org licenses {code.replace('-', ' ')} {version}")
+            add(label, 97, 1.0, "spdx", rf"{TAG} {short} {version}")
         add(f"cc-{code}", 55 + len(code), 0.75, "cc by", short)
         add(f"cc-{code}", 55 + len(code), 0.8, "creative commons", rf"creative commons {words}")
         add(f"cc-{code}", 95, 1.0, "creativecommons", rf"creativecommons org licenses {code.replace('-', ' ')}")
+    for label, sentence in SENTENCES:
+        add(label, 92, 1.0, " ".join(re.split(r"[(?]", sentence)[0].split(" ")[:-1][:4]), sentence)
     for label, priority, strength, keyword, pattern in STATEMENTS:
-        add(label, priority, strength, keyword, pattern.rstrip(" "))
+        add(label, priority, strength, keyword, pattern)
     return sorted(out, key=lambda r: -r.priority)
 
 
