@@ -343,7 +343,7 @@ def next_level(docs: DataFrame, path: str, sizes: list[list[int]], total: int, s
         values = word + np.repeat(base, np.diff(np.append(begins, len(local)))) if len(local) else word
         out = {f"words.{k}": v for k, v in EliasFano.arrays(values, int(values[-1]) + 1 if len(values) else 1).items()}
         out |= {f"pointers.{k}": v for k, v in EliasFano.arrays(pointers, len(word) + 1).items()}
-        out["count"] = n.astype(np.uint32)
+        out["count"] = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
         out["log"], out["log_book"] = quantised(log)
         out["weight"], out["weight_book"] = quantised(weight)
         write_arrays(f"{path}/level{level}-{shard}", out)
@@ -362,9 +362,9 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[str, list[list[int]]
     rows = readable(docs)
     first, total = first_level(rows, path, shards, s)
     sizes = [first]
-    if sum(first) >= 1 << 32:
-        raise ValueError("more than 2**32 words")
     for _ in range(2, s.order + 1):
+        if sum(sizes[-1]) >= 1 << 32:  # an entry's place takes half of a 64-bit key in the next level
+            raise ValueError(f"more than 2**32 n-grams of {len(sizes)} words below a longer one")
         sizes.append(next_level(rows, path, sizes, total, shards, s))
     return path, sizes, total, shards
 
