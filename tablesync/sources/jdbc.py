@@ -111,7 +111,7 @@ def discover_primary_key(spark, url, tables, properties=None) -> DataFrame:
 
 def sink_options(url: str, table: str, batch_size: int, properties=None) -> dict[str, str]:
     if batch_size <= 0:
-        raise ValueError("write batch size must be greater than zero")
+        raise ValueError(f"cannot send {batch_size} rows at a time")
     return {"url": url, "dbtable": table, "batchsize": str(batch_size), **(properties or {})}
 
 

@@ -53,7 +53,7 @@ class RawStore:
 
     def __post_init__(self):
         if self.batch_size is not None and self.batch_size <= 0:
-            raise ValueError("write batch size must be greater than zero")
+            raise ValueError("a file needs room for one row at least: batch_size is below 1")
 
     def _part(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{self.schema}/{name}"

@@ -9,14 +9,14 @@ def one(spark, column):
 
 
 def test_chunk_key(spark):
-    key = one(spark, N.chunk_key("postgres-analytics", "public.orders", 42))
+    key = one(spark, N.chunk_key("shop-eu", "sales.line_items", 310))
     assert key == (
-        "pipelines/postgres-analytics/streams/public.orders/partitions/default/chunks/"
-        "00000000000000000042.jsonl.gz"
+        "pipelines/shop-eu/streams/sales.line_items/partitions/default/chunks/"
+        "00000000000000000310.jsonl.gz"
     )
-    key = one(spark, N.chunk_key("p", "public.orders", 7, prefix="/postgres-analytics//"))
-    assert key.startswith("postgres-analytics/pipelines/p/")
-    assert key.endswith("/00000000000000000007.jsonl.gz")
+    key = one(spark, N.chunk_key("p", "sales.line_items", 9, prefix="/lake/eu//"))
+    assert key.startswith("lake/eu/pipelines/p/")
+    assert key.endswith("/00000000000000000009.jsonl.gz")
 
 
 @pytest.mark.parametrize(
