@@ -18,6 +18,7 @@ from tablesync.operators.chunking import (
     number_rows, pack,
 )
 from tablesync.operators.schema import schema_fingerprint
+from tablesync.operators.sizing import line_bytes, width_ranges, width_sketch
 from tablesync.plans.run_log import RunLog
 from tablesync.session import local_frame, new_id
 from tablesync.sources.capture import (
@@ -36,7 +37,11 @@ UNCHUNKED_FILE_ROWS = 100_000
 
 @dataclass(frozen=True)
 class Capture:
-    """How a pipeline reads its tables. ``keys`` holds each table's unique key columns."""
+    """How a pipeline reads its tables. ``keys`` holds each table's unique key columns.
+
+    Without a chunk size files have at most ``batch_size`` rows, and with ``file_bytes`` at most that many
+    bytes of text (before compression) too, but for a row that alone is wider.
+    """
 
     mode: str = FULL
     chunk_size: int | None = None
@@ -47,6 +52,7 @@ class Capture:
     json_columns: tuple[str, ...] = ()
     parallelism: int = 1
     batch_size: int = UNCHUNKED_FILE_ROWS
+    file_bytes: int | None = None
 
     def check(self, tables) -> None:
         if not tables:
@@ -59,6 +65,8 @@ class Capture:
             raise ValueError("incremental capture needs a cursor column")
         if self.batch_size <= 0 or self.parallelism <= 0:
             raise ValueError("batch size and parallelism must be greater than zero")
+        if self.file_bytes is not None and (self.file_bytes <= 0 or self.chunk_size is not None):
+            raise ValueError("a bound on the bytes of a file must be positive, and chunks have none: their rows are fixed")
 
 
 @dataclass(frozen=True)
@@ -120,12 +128,27 @@ def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -
     seen = Observation(f"rows-{attempt}")
     packed = rows.select(pack(rows))
     record = record_column(packed, None, capture.json_columns, ROW)
-    write_chunks(
-        packed.observe(seen, *progress_columns(packed, cursor, key), *digest_columns(record)).withColumns(
-            {"stream_name": F.lit(name), "sequence": F.lit(sequence).cast("bigint")}
-        ),
-        staging, None, attempt, rows_per_file=capture.batch_size, json_columns=capture.json_columns,
-    )
+    facts = [*progress_columns(packed, cursor, key), *digest_columns(record)]
+    named = {"stream_name": F.lit(name), "sequence": F.lit(sequence).cast("bigint")}
+    if capture.file_bytes is None:
+        write_chunks(
+            packed.observe(seen, *facts).withColumns(named), staging, None, attempt,
+            rows_per_file=capture.batch_size, json_columns=capture.json_columns,
+        )
+        return seen.get
+    width = line_bytes(record)
+    sketch = width_sketch(packed.observe(seen, *facts), width).collect()  # a row per power of two
+    written = []
+    for part in width_ranges(sketch, capture.file_bytes, capture.batch_size):
+        again = Observation(f"rows-{attempt}-{len(written)}")
+        written.append(again)
+        write_chunks(
+            packed.filter(part.holds(width)).observe(again, *digest_columns(record)).withColumns(named), staging, None,
+            attempt, rows_per_file=part.rows_per_file, json_columns=capture.json_columns,
+        )
+    for column in ("digest_rows", "digest_low", "digest_high"):
+        if sum(int(w.get[column]) for w in written) != int(seen.get[column]):
+            raise RuntimeError(f"table {name} changed while it was captured: its rows were measured and then written")
     return seen.get
 
 

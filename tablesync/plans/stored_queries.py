@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tablesync.functions.codec import encode_rows, project_typed
 from tablesync.functions.names import chunk_key
 from tablesync.model import FULL, INCREMENTAL, LEDGER
-from tablesync.operators import checkpoint, reconcile
+from tablesync.operators import checkpoint, reconcile, sizing
 from tablesync.operators.chunking import SEQUENCE, capture_chunked, chunk_row_counts
 from tablesync.plans.jobs import Capture, load_staging, replicate, snapshot_to_staging
 from tablesync.plans.queries import (
@@ -86,6 +86,35 @@ def selected_key_cap(spark, sf):
     return capture.capture_bounded(lineitem, LINE_ORDER, lineitem.count() * 2 // 3, top_k=500)
 
 
+# A bound on the bytes of a staged file that some of the widened documents alone exceed.
+FILE_BYTES = 64 << 10
+# A task leaves at most one file that is not full per width range, which are at most one per power of two.
+MOST_RANGES = 32
+
+
+@register("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN repeat(text, 60) ELSE text END AS text FROM documents)
+SELECT doc_id, length(text) AS n, md5(text) AS digest, CAST(0 AS BIGINT) AS oversized_files, true AS few_files FROM d""")
+def sized_files(spark, sf):
+    """Documents, every fiftieth sixty times as wide, in files of bounded bytes; only single rows exceed the bound."""
+    wider = F.when(F.col("doc_id") % 50 == 0, F.repeat("text", 60)).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", wider.alias("text"))
+    staging = Staging(scratch_path(spark, "staging"), "shop")
+    options = Capture(file_bytes=FILE_BYTES)
+    staged = snapshot_to_staging(spark, {"public.documents": docs}, staging, options, local_frame(spark, [], LEDGER))
+    lines = spark.read.option("recursiveFileLookup", True).text(staging.chunks).withColumn("file", F.col("_metadata.file_path"))
+    files = lines.groupBy("file").agg(F.count("*").alias("n"), F.sum(sizing.line_bytes(F.col("value"))).alias("bytes"))
+    seen = files.agg(
+        F.count_if((F.col("bytes") > FILE_BYTES) & (F.col("n") > 1)).alias("oversized"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"),
+    ).first()
+    few = seen["files"] <= sizing.MOST_FILES * (seen["bytes"] // FILE_BYTES + 1) + MOST_RANGES * docs.rdd.getNumPartitions()
+    back = project_typed(read_staged(spark, staging), docs.schema, "value")
+    return back.select(
+        "doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"),
+        F.lit(seen["oversized"]).alias("oversized_files"), F.lit(few and staged.manifest.count() == 1).alias("few_files"),
+    )
+
+
 # ------------------------------------------------------------ stored tables
 
 
