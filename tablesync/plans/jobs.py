@@ -138,6 +138,8 @@ def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -
         return seen.get
     width = line_bytes(record)
     sketch = width_sketch(packed.observe(seen, *facts), width).collect()  # a row per power of two
+    if not sketch:  # an empty plan is not run, and observes nothing
+        return {"rows_emitted": 0, "max_cursor_value": None, "last_key": None}
     written = []
     for part in width_ranges(sketch, capture.file_bytes, capture.batch_size):
         again = Observation(f"rows-{attempt}-{len(written)}")
