@@ -14,7 +14,7 @@ its evidence with the rate of its path without itself.
 
 Defined cases: a null or empty text has the evidence of no words; null hosts and languages are sites
 of their own; with too few labels of a class the evidence is zero, and so documents of equal sites
-are equal; labels of unknown documents are left out; repeated labels count as good, or as toxic, if
+are equal; labels of unknown documents are left out before the sample is drawn; repeated labels count as good, or as toxic, if
 any says so; rows that repeat count as often.
 """
 
@@ -70,7 +70,7 @@ def dense_signals(texts: list[bytes]) -> np.ndarray:
 
 
 def fit_head(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, f: Fit) -> Head:
-    """Logistic regression on the words that tell the classes apart, by Newton steps on a ridge."""
+    """Logistic regression with a ridge on the words that tell the classes apart, by gradient descent with momentum."""
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if min(n1, n0) < f.least:
         return Head()
@@ -98,11 +98,17 @@ def fit_head(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, f: Fit) -
 
 
 def sampled(docs: DataFrame, labels: DataFrame, f: Fit) -> DataFrame:
-    """Labelled documents to fit on: doc_id, text, quality, toxic."""
+    """Labelled documents to fit on, ``fit_rows`` rows at most: text, quality, toxic.
+
+    Labels count only if their document exists. Of rows that repeat an id the one of the least text is taken.
+    """
     marks = labels.select(labels["doc_id"].cast("long").alias("_id"), *[labels[h].cast("int").alias(h) for h in HEADS])
     marks = marks.filter("_id is not null and quality is not null and toxic is not null").groupBy("_id").agg(*[F.max(h).alias(h) for h in HEADS])
-    chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(f.fit_rows)
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("_doc"), docs["text"].cast("string").alias("text"))
+    known = marks.join(rows.select("_doc").distinct(), F.col("_id") == F.col("_doc"), "left_semi")
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(f.fit_rows)
+    found = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return found.groupBy("_id", *HEADS).agg(F.min("text").alias("text")).select("text", *HEADS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, f: Fit = Fit()) -> list[Head]:

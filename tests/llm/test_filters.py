@@ -94,6 +94,81 @@ def test_classifier(spark):
     assert quality_classifier.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def strength_brute(sites):
+    """Beta prior strength from (n, sum, rate it is shrunk toward) of each site."""
+    n, squares = sum(s[0] for s in sites), sum(s[0] ** 2 for s in sites)
+    if len(sites) < 2:
+        return 100.0
+    spread = sum(m * (s / m - t) ** 2 for m, s, t in sites)
+    inside = sum(m * t * (1 - t) for m, _, t in sites) / n
+    between = (spread - inside * len(sites)) / max(n - squares / n, 1e-9)
+    return min(max(inside / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+
+def posteriors_brute(evidence):
+    """Site rate and posterior of each (host, path, evidence) row, in plain loops."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    hosts, paths = {}, {}
+    for host, path, e in evidence:
+        for sites, key in ((hosts, host), (paths, (host, path))):
+            n, s = sites.get(key, (0, 0.0))
+            sites[key] = (n + 1, s + sigmoid(e))
+    overall = (sum(s for _, s in hosts.values()) + 0.5) / (len(evidence) + 1)
+    k = strength_brute([(n, s, overall) for n, s in hosts.values()])
+    rates = {h: (s + k * overall) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength_brute([(n, s, rates[key[0]]) for key, (n, s) in paths.items()])
+    out = []
+    for host, path, e in evidence:
+        n, s = paths[host, path]
+        site = min(max((s - sigmoid(e) + k * rates[host]) / (n - 1 + k), 1e-6), 1 - 1e-6)
+        out.append((site, sigmoid(e + math.log(site) - math.log(1 - site))))
+    return out
+
+
+def test_posteriors_by_brute_force(spark):
+    words = [f"word{i}" for i in range(300)]
+    texts = [(i, " ".join([words[(i * 7 + j * 3) % 300] for j in range(40)] + ["junk!!"] * (9 if i % 4 == 0 else 0) + ["idiot"] * (i % 9 == 0))) for i in range(700)]
+    rows = [(i, t, ("en", "fr", None)[i % 3], None if i % 31 == 0 else f"host{i % 4 if i % 5 else i % 12}") for i, t in texts]
+    rows += [(9001, None, "en", "host1"), (9002, "", "de", "rare"), (None, "no id", "en", "host2"), (5, texts[5][1], "fr", "host5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame(
+        [(i, int(i % 4 != 0), int(i % 9 == 0)) for i, _ in texts[::2]] + [(20_000 + i, 0, 1) for i in range(500)], "doc_id long, quality int, toxic int"
+    )
+    fitted = quality_classifier.Fit()
+    heads = quality_classifier.fit(docs, labels, fitted)
+    assert all(len(h.buckets) for h in heads)
+    want = []
+    for i, t, lang, source in rows:
+        buckets = set(quality_classifier.word_buckets((t or "").encode()).tolist())
+        dense = quality_classifier.dense_signals([(t or "").encode()])[0]
+        scores = [
+            sum(w for b, w in zip(h.buckets.tolist(), h.weights.tolist(), strict=True) if b in buckets) + sum(a * b for a, b in zip(dense, h.dense, strict=True)) + h.constant
+            for h in heads
+        ]
+        want.append((i, source, lang, *scores))
+    parts = [posteriors_brute([(r[1], r[2], r[3 + h]) for r in want]) for h in range(2)]
+    found = {}
+    for r in quality_classifier.classify(docs, labels, fitted).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, found.values())) == len(rows)
+    for row, quality, toxic in zip(want, *parts, strict=True):
+        expected = (row[3], row[4], quality[0], toxic[0], quality[1], toxic[1])
+        names = ("quality_evidence", "toxic_evidence", "quality_site", "toxic_site", "p_quality", "p_toxic")
+        near = [r for r in found[row[0]] if all(r[n] == pytest.approx(x, rel=1e-5, abs=1e-7) for n, x in zip(names, expected, strict=True))]
+        assert near, (row, expected, found[row[0]])
+        assert near[0].kept == (quality[1] > 0.5 - 1e-9 and toxic[1] < 0.5 + 1e-9)
+
+
+def test_sample_of_labels(spark):
+    """Unknown ids use up no part of the sample, and repeated ids give one row each."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(7, "again")] * 30 + [(8, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in range(1000, 3000)] + [(7, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = quality_classifier.sampled(docs, labels, quality_classifier.Fit(fit_rows=60)).collect()
+    assert len(rows) == 40 and {r.text for r in rows} == {f"text {i}" for i in range(40) if i != 7} | {"again"}
+    assert [(r.quality, r.toxic) for r in rows if r.text == "again"] == [(1, 1)]
+    assert quality_classifier.sampled(docs, labels, quality_classifier.Fit(fit_rows=10)).count() == 10
+
+
 def test_sparse_sites_shrink(spark):
     sites = spark.createDataFrame([("a", 1000, 0.9, 0.8), ("b", 1000, 0.7, 0.8), ("c", 2, 0.5, 0.8)], "path string, n long, rate double, toward double")
     k = quality_classifier.strength(sites, "rate", "toward")
