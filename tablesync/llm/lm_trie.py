@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from tablesync.llm.common import text_column, word_hashes
+from tablesync.llm.common import shuffles_dropped, text_column, word_hashes
 from tablesync.llm.elias_fano import EliasFano, map_arrays, write_arrays
 from tablesync.session import scratch_path
 
@@ -268,7 +268,9 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def built(rows: DataFrame, build, shards: int) -> tuple[list[int], int]:
     """Entries of each shard, and the sum of their counts."""
     sizes, total = [0] * shards, 0
-    for s, n, t in rows.groupBy("shard").applyInArrow(build, BUILT).collect():
+    with shuffles_dropped(rows.sparkSession):  # a level's blocks go before the next level is counted
+        found = rows.groupBy("shard").applyInArrow(build, BUILT).collect()
+    for s, n, t in found:
         sizes[s] = n
         total += t
     return sizes, total
