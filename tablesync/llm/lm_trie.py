@@ -249,14 +249,25 @@ def blocks(owner: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarr
         if z > a:
             steps = np.diff(context[a:z], prepend=context.dtype.type(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(owner[a])], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (steps, word[a:z], n[a:z])]],
+                [pa.array([int(owner[a])], pa.int32()), *[pa.array([planes(x)], pa.binary()) for x in (steps, word[a:z], n[a:z])]],
                 ["shard", "context", "word", "n"],
             )
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on: bytes that are mostly zero lie together, and
+    what Spark compresses a shuffle with makes nothing of them."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words and counts of all blocks, added up and sorted."""
-    column = lambda name, t: [np.frombuffer(x, t) for x in table.column(name).to_pylist()]
+    column = lambda name, t: [from_planes(x, t) for x in table.column(name).to_pylist()]
     context = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in column("context", np.uint64)])
     word, n = np.concatenate(column("word", np.uint32)), np.concatenate(column("n", np.uint32)).astype(np.int64)
     order = np.lexsort((word, context))

@@ -162,3 +162,11 @@ def test_ngrams_seen_once_count(spark):
 
 def test_empty_table(spark):
     assert lm_trie.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_planes():
+    for kind in (np.uint32, np.uint64):
+        for x in (np.zeros(0, kind), np.arange(1000, dtype=kind) * kind(65537), np.array([np.iinfo(kind).max, 0, 1], kind)):
+            back = lm_trie.from_planes(lm_trie.planes(x[::1].copy()), kind)
+            assert back.dtype == kind and np.array_equal(back, x)
+    assert np.array_equal(lm_trie.from_planes(lm_trie.planes(np.arange(20, dtype=np.uint32)[5:9]), np.uint32), np.arange(5, 9))
