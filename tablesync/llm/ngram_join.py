@@ -328,6 +328,10 @@ def classified(docs: DataFrame, t: Threshold) -> DataFrame:
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.col("text_key").alias("first_text")))
 
 
+# Rows to drop, of 16 bytes each, that are broadcast; more of them meet the documents by a shuffle.
+GONE_ROWS = 2_000_000
+
+
 def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """One document of each component, that of the smallest id and then text hash, with all its columns.
 
@@ -338,5 +342,6 @@ def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     other = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("first_text"))
     of, key = fresh_names(docs, "_gone", "_text_key")
     gone = classified(docs, t).filter(F.col("doc_id").isNotNull() & other).select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
+    gone = broadcast_if_small(stored(gone, "ngram-gone"), GONE_ROWS)
     same = (docs["doc_id"].cast("long") == F.col(of)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key))
     return docs.join(gone, same, "left_anti")
