@@ -9,12 +9,13 @@ sketch toggles one bit per shingle, so that the Hamming distance of two sketches
 of the symmetric difference of the sets. The sketch is cut into ``D_k + 1`` parts: differing in at
 most ``D_k`` bits, linked documents agree in a whole part (pigeonhole). Documents are joined on
 (band, part, bits of the part), and the pairs found are verified on the shingles themselves. A part
-has 2**16 bits and is kept as the exclusive or of codes of its set bits. Parts without a set bit
-say little; a few spare parts make it safe to leave them out, except for a document with more empty
-parts than spare ones.
+has 2**32 bits, so that parts of a single set bit do not agree by chance, and is kept as the exclusive
+or of codes of its set bits. Parts without a set bit say little; a few spare parts make it safe to
+leave them out, except for a document with more empty parts than spare ones.
 
 No pair is written for every two members of a bucket. Sets that are equal are one vertex. A bucket
-becomes a group of vertices named after its smallest member; groups of one name are verified
+becomes a group of vertices named after its smallest member, or after the smallest of the names its
+members have in all their groups, where all of that name fit one task. Groups of one name are verified
 together in one task (or several, beyond a stated number of shingles, and blockwise beyond a stated
 number of members), which compares only vertices that it has not connected yet and returns a
 spanning forest of the links. Connected components follow from the forests.
@@ -43,7 +44,7 @@ from tablesync.llm.common import (
 from tablesync.operators.chunking import fresh_names
 from tablesync.session import broadcast_if_small
 
-PART_BITS = np.uint64(0xFFFF)
+PART_BITS = np.uint64(0xFFFFFFFF)
 NULL_ID = -(1 << 63)
 BLOCK = 2048  # members of a bucket compared in one block; larger buckets are pairs of blocks
 UNIT_SHINGLES = 1_000_000  # shingles verified in one task, about
@@ -265,26 +266,47 @@ def forest(sizes: np.ndarray, sets: list[np.ndarray], members: list[np.ndarray],
     return out
 
 
+def weights(grouped: DataFrame, holders: DataFrame) -> DataFrame:
+    """Shingles of all vertices of each name."""
+    return grouped.select("name", "vertex").distinct().join(holders.select("vertex", "n"), "vertex").groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def gathered(grouped: DataFrame, holders: DataFrame) -> DataFrame:
+    """Distinct groups, those that overlap under one name as far as a unit holds them.
+
+    A vertex is in many groups of different smallest members, and its text is sent once for each
+    name. A group takes the smallest name that any of its members has, unless the groups of that
+    name have more than UNIT_SHINGLES together: they keep their own.
+    """
+    least = grouped.groupBy("vertex").agg(F.min("name").alias("least"))
+    near = grouped.select("part", "vertex").join(least, "vertex").groupBy("part").agg(F.min("least").alias("near"))
+    moved = stored(grouped.distinct().join(near, "part"), "ngram-near")
+    fits = weights(moved.select(F.col("near").alias("name"), "vertex"), holders).filter(F.col("n") <= UNIT_SHINGLES)
+    return moved.join(fits.select(F.col("name").alias("fit")), F.col("near") == F.col("fit"), "left").select(
+        F.coalesce("fit", "name").alias("name"), "part", "vertex")
+
+
 def links(docs: DataFrame, grouped: DataFrame, described: DataFrame, t: Threshold) -> DataFrame:
     """Verified links (a, b) between vertices that connect all linked vertices."""
     spark = docs.sparkSession
-    members = grouped.select("name", "vertex").distinct()
     place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "text_key")
     holders = described.filter("vertex is not null").groupBy("vertex").agg(F.min(place).alias("place"), F.max("n_shingles").alias("n"))
-    names = stored(members.join(holders, "vertex").groupBy("name").agg(F.sum("n").alias("n")), "ngram-names")
+    grouped = stored(gathered(grouped, holders), "ngram-gathered")
+    names = stored(weights(grouped, holders), "ngram-names")
     total = names.agg(F.sum("n")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / UNIT_SHINGLES))
     part = F.pmod("part", F.ceil(F.col("n") / UNIT_SHINGLES))
     units = stored(
-        grouped.distinct().join(names, "name")
+        grouped.join(names, "name")
         .select(F.pmod(F.xxhash64("name", part), F.lit(bins)).cast("int").alias("unit"), "part", "vertex").distinct(),
         "ngram-units",
     )
-    wanted = units.select("vertex").distinct().join(holders, "vertex").select("vertex", "place._id", "place.text_key")
+    homes = units.groupBy("vertex").agg(F.collect_set("unit").alias("units"))  # so a text is shuffled to its units alone
+    wanted = homes.join(holders, "vertex").select("vertex", "units", "place._id", "place.text_key")
     text = docs["text"].cast("string")
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = texts.join(broadcast_if_small(wanted), ["_id", "text_key"]).select("vertex", "text")
-    sent = units.select("unit", "vertex").distinct().join(found, "vertex").select("unit", "vertex", "text")
+    found = texts.join(broadcast_if_small(wanted), ["_id", "text_key"])
+    sent = found.select(F.explode("units").alias("unit"), "vertex", "text")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         vertex, first = np.unique(left.column("vertex").to_numpy(), return_index=True)

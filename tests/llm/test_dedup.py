@@ -131,6 +131,25 @@ def test_sketch_parts_agree_for_every_linked_pair():
                 assert set(ngram_join.bucket_keys(a, t, edges)) & set(ngram_join.bucket_keys(b, t, edges)), n
 
 
+def test_parts_of_unlike_sets_do_not_agree_by_chance():
+    """Parts of one set bit of 2**16 did, in some hundred of a few thousand sets and in ever more with more sets."""
+    rng = np.random.default_rng(6)
+    cut = np.stack([ngram_join.parts(rng.integers(0, 1 << 62, 60).astype(np.uint64), 20, 1) for _ in range(3000)])
+    for column in cut.T:
+        full = column[column != 0]
+        assert len(np.unique(full)) == len(full)
+
+
+def test_overlapping_groups_share_a_name_where_a_unit_holds_them(spark, monkeypatch):
+    groups = [(1, 10, 1), (1, 10, 2), (2, 11, 2), (2, 11, 3), (2, 11, 2), (7, 12, 7), (7, 12, 8)]
+    grouped = spark.createDataFrame(groups, "name long, part long, vertex long")
+    holders = spark.createDataFrame([(v, 40) for v in (1, 2, 3, 7, 8)], "vertex long, n long")
+    for limit, name in ((1000, 1), (100, 2)):  # 120 shingles under name 1, if they are put together
+        monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", limit)
+        out = sorted(tuple(r) for r in ngram_join.gathered(grouped, holders).collect())
+        assert out == sorted([(1, 10, 1), (1, 10, 2), (name, 11, 2), (name, 11, 3), (7, 12, 7), (7, 12, 8)])
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(5, text), (3, text + " more"), (8, "something else entirely and long enough"), (None, text), (9, None)]
