@@ -12,6 +12,8 @@ ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 # place of the j-th set bit of a byte
 PLACE = np.array([([k for k in range(8) if i >> k & 1] + [8] * 8)[:8] for i in range(256)], np.uint8)
 
+EACH = 0x0101010101010101  # one in each byte of a word
+
 
 class EliasFano:
     """n sorted values below ``universe``: low bytes as they are, high parts in unary.
@@ -49,12 +51,17 @@ class EliasFano:
 
     def _select(self, block: np.ndarray, rest: np.ndarray, flip: int) -> np.ndarray:
         """Place of the set (flip 255: unset) bit number ``rest`` of each block."""
-        byte = self.bits[block] ^ np.uint8(flip)
-        ones = np.cumsum(ONES[byte], axis=1, dtype=np.int64)
-        which = (ones <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(block))
-        rest = rest - np.where(which > 0, ones[row, which - 1], 0)
-        return 64 * block + 8 * which + PLACE[byte[row, which], rest]
+        u = np.uint64
+        word = self.bits.view("<u8")[block, 0] ^ u(flip * EACH)
+        ones = word - ((word >> u(1)) & u(0x55 * EACH))
+        ones = (ones & u(0x33 * EACH)) + ((ones >> u(2)) & u(0x33 * EACH))
+        ones = ((ones + (ones >> u(4))) & u(0x0F * EACH)) * u(EACH)  # byte k: bits up to byte k, at most 64
+        rest = rest.astype(np.uint64)
+        full = ((rest * u(EACH)) | u(0x80 * EACH)) - ones & u(0x80 * EACH)  # a flag for each byte that lies before
+        which = np.bitwise_count(full).astype(np.uint64) * u(8)
+        rest = rest - (((ones << u(8)) >> which) & u(255))
+        byte = (word >> which) & u(255)
+        return 64 * block + which.astype(np.int64) + PLACE[byte.astype(np.int64), rest.astype(np.int64)]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""

@@ -270,7 +270,8 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = lambda name, t: [from_planes(x, t) for x in table.column(name).to_pylist()]
     context = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in column("context", np.uint64)])
     word, n = np.concatenate(column("word", np.uint32)), np.concatenate(column("n", np.uint32)).astype(np.int64)
-    order = np.lexsort((word, context))
+    # level 1 has hashes and no words; contexts of longer n-grams are places below 2**32
+    order = np.argsort((context << np.uint64(32)) | word if word.any() else context)
     context, word, n = context[order], word[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
     return context[first], word[first], np.add.reduceat(n, first)

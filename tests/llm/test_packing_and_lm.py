@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -170,3 +171,26 @@ def test_planes():
             back = lm_trie.from_planes(lm_trie.planes(x[::1].copy()), kind)
             assert back.dtype == kind and np.array_equal(back, x)
     assert np.array_equal(lm_trie.from_planes(lm_trie.planes(np.arange(20, dtype=np.uint32)[5:9]), np.uint32), np.arange(5, 9))
+
+
+def test_select_finds_every_set_and_unset_bit_of_a_word():
+    rng = np.random.default_rng(8)
+    bits = np.concatenate([rng.integers(0, 256, (60, 8)), np.full((1, 8), 255), np.eye(8, dtype=int) * 128]).astype(np.uint8)
+    coded = EliasFano(0, 0, bits[:, :0], bits, np.zeros(len(bits), np.uint32))
+    flags = np.unpackbits(bits, axis=1, bitorder="little")
+    for flip, wanted in ((0, 1), (255, 0)):
+        block, place = np.nonzero(flags == wanted)
+        rest = np.concatenate([np.arange(n) for n in (flags == wanted).sum(axis=1)])
+        assert np.array_equal(coded._select(block, rest, flip), 64 * block + place)
+
+
+def test_merged_blocks_are_sorted_by_context_and_word():
+    rng = np.random.default_rng(9)
+    for context in (rng.integers(0, 1 << 32, 500, np.uint64), rng.integers(0, 40, 500).astype(np.uint64)):
+        word = rng.integers(0, 3, 500).astype(np.uint32)
+        key = np.lexsort((word, context))
+        halves = [key[::2], key[1::2]]
+        rows = [b for k in halves for b in lm_trie.blocks(np.zeros(len(k), np.int64), context[k], word[k], np.ones(len(k), np.uint32))]
+        got = lm_trie.merged(pa.Table.from_batches(rows))
+        pairs, n = np.unique(np.stack([context, word.astype(np.uint64)]), axis=1, return_counts=True)
+        assert all(np.array_equal(x, y) for x, y in zip(got, (pairs[0], pairs[1], n), strict=True))
