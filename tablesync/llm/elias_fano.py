@@ -16,25 +16,24 @@ EACH = 0x0101010101010101  # one in each byte of a word
 
 
 class EliasFano:
-    """n sorted values below ``universe``: low bytes as they are, high parts in unary.
+    """n sorted values below ``universe``: low parts in whole bytes, high parts in unary.
 
-    The low part is a whole number of bytes, the least that leaves no more high parts than values.
-    A directory counts the set bits before every 64 bits.
+    The low part has the least number of bits that leaves no more high parts than values, so few
+    values share a high part. A directory counts the set bits before every 64 bits.
     """
 
     def __init__(self, n: int, shift: int, low: np.ndarray, bits: np.ndarray, before: np.ndarray):
         self.n, self.shift, self.low, self.bits, self.before = n, shift, low, bits, before
+        self.words = bits.view("<u8")[:, 0]
 
     @staticmethod
     def arrays(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         n = len(values)
         shift = 0
-        while n and shift < 56 and (universe >> shift) > n:
-            shift += 8
-        values = values.astype(np.uint64)
-        low = np.empty((n, shift // 8), np.uint8)
-        for b in range(shift // 8):
-            low[:, b] = (values >> np.uint64(8 * b)) & np.uint64(255)
+        while n and shift < 63 and (universe >> shift) > n:
+            shift += 1
+        values = values.astype("<u8")
+        low = np.ascontiguousarray((values & np.uint64((1 << shift) - 1)).view(np.uint8).reshape(n, 8)[:, : -(-shift // 8)])
         high = (values >> np.uint64(shift)).astype(np.int64)
         size = n + (universe >> shift) + 2
         size += -size % 64
@@ -52,7 +51,7 @@ class EliasFano:
     def _select(self, block: np.ndarray, rest: np.ndarray, flip: int) -> np.ndarray:
         """Place of the set (flip 255: unset) bit number ``rest`` of each block."""
         u = np.uint64
-        word = self.bits.view("<u8")[block, 0] ^ u(flip * EACH)
+        word = self.words[block] ^ u(flip * EACH)
         ones = word - ((word >> u(1)) & u(0x55 * EACH))
         ones = (ones & u(0x33 * EACH)) + ((ones >> u(2)) & u(0x33 * EACH))
         ones = ((ones + (ones >> u(4))) & u(0x0F * EACH)) * u(EACH)  # byte k: bits up to byte k, at most 64
@@ -70,10 +69,25 @@ class EliasFano:
         return (high.astype(np.uint64) << np.uint64(self.shift)) | self.low_of(i)
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for b in range(self.shift // 8):
-            out |= self.low[i, b].astype(np.uint64) << np.uint64(8 * b)
-        return out
+        out, width = np.zeros((len(i), 8), np.uint8), self.low.shape[1]
+        if width:
+            out[:, :width] = np.take(self.low, i, axis=0)
+        return out.view("<u8")[:, 0]
+
+    def all(self) -> np.ndarray:
+        """The values at all positions."""
+        high = np.flatnonzero(np.unpackbits(self.bits.ravel(), bitorder="little")) - np.arange(self.n)
+        return (high.astype(np.uint64) << np.uint64(self.shift)) | self.low_of(np.arange(self.n))
+
+    def run(self, high: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """How many values have each high part; ``begin`` values lie below it."""
+        u, at = np.uint64, high + begin  # the first bit behind the zero that ends the part before
+        word, inside = self.words[at >> 6], (at & 63).astype(np.uint64)
+        zeros = ~word >> inside
+        ones = np.bitwise_count(~zeros & (zeros - u(1))).astype(np.int64)  # below the first zero; 64 without one
+        over = np.flatnonzero(zeros == 0)
+        ones[over] = self.below(high[over] + 1) - begin[over]
+        return ones
 
     def below(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part below ``high``."""
@@ -87,25 +101,26 @@ class EliasFano:
         return out
 
     def find(self, values: np.ndarray, start: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
-        """Position of each value within [start, end), or -1: a successor search among equal high parts."""
+        """Position of each value within [start, end), or -1; of a value that repeats, any of its positions."""
         if not self.n or not len(values):
             return np.full(len(values), -1)
-        high = (values >> np.uint64(self.shift)).astype(np.int64)
-        lo = np.maximum(self.below(high), start)
-        hi = np.minimum(self.below(high + 1), self.n if end is None else end)
-        want = values & np.uint64((1 << self.shift) - 1)
-        limit = hi.copy()
-        active = np.flatnonzero(lo < hi)
-        while len(active):
-            mid = (lo[active] + hi[active]) // 2
-            less = self.low_of(mid) < want[active]
-            lo[active[less]] = mid[less] + 1
-            hi[active[~less]] = mid[~less]
-            active = active[lo[active] < hi[active]]
-        found = np.flatnonzero(lo < limit)
+        # what lies above the universe is looked for in the last high part, which no value has
+        high = np.minimum((values >> np.uint64(self.shift)).astype(np.int64), 64 * len(self.words) - self.n - 1)
+        begin = self.below(high)
+        lo = np.maximum(begin, start)
+        hi = np.minimum(begin + self.run(high, begin), self.n if end is None else end)
         out = np.full(len(values), -1)
-        equal = found[self.low_of(lo[found]) == want[found]]
-        out[equal] = lo[equal]
+        at = np.flatnonzero(lo < hi)
+        lo, hi, want = lo[at], hi[at], (values & np.uint64((1 << self.shift) - 1))[at]
+        while len(at):
+            mid = (lo + hi) >> 1
+            low = self.low_of(mid)
+            same = low == want
+            out[at[same]] = mid[same]
+            less = low < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            left = np.flatnonzero((lo < hi) & ~same)
+            at, lo, hi, want = at[left], lo[left], hi[left], want[left]
         return out
 
 

@@ -9,12 +9,13 @@ monotone; it and the contexts' pointers are Elias-Fano coded. Probabilities and
 one byte each, an index into the 256 values of a codebook. A query finds a context's range through
 the pointers and searches the successor of the word within it.
 
-Levels are counted one after the other, each in one pass over the documents: tasks count a few
-million words at a time, and send sorted counts to shards of the level (ranges of contexts), which
-add them up, prune, and write their file to the shared folder. An n-gram is only counted when its
-beginning and its end, one word shorter, are in the level below, which no n-gram that is kept
-lacks. Counts and vocabulary cover all training documents; nothing but one row per shard reaches the
-driver. Scoring tasks memory-map the files, so ``spark.checkpoint.dir`` must lie on a file system
+Two passes over the documents count: one the words, the other each pair of words with the word after
+it. Tasks count a few million words at a time, and send sorted counts to shards (ranges of hashes, then
+of first words), which add them up, prune, and write files to the shared folder. A pair's count is the
+sum of its triples' counts, one of them for the pairs that end a text, which no word follows; so both
+levels come from one shuffle, and a triple that is kept never lacks its pairs. Probabilities of triples
+need pairs of other shards; they are worked out when all pairs are written. Counts and vocabulary cover
+all training documents; nothing but one row per shard reaches the driver. Scoring tasks memory-map the files, so ``spark.checkpoint.dir`` must lie on a file system
 that executors mount.
 
 The unigram model adds one to each count, unknown words included; a longer context's kept n-grams
@@ -31,14 +32,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from xxhash import xxh3_64_intdigest
+from pyspark.sql import DataFrame, SparkSession
 
 from tablesync.llm.common import shuffles_dropped, text_column, word_hashes
 from tablesync.llm.elias_fano import EliasFano, map_arrays, write_arrays
 from tablesync.session import scratch_path
 
-END = np.uint64(xxh3_64_intdigest(b"\n"))  # no word contains a line feed
+NONE = np.uint64(0xFFFFFFFF)  # in place of a word's rank: no word follows
 COUNT_WORDS = 2_000_000  # words counted together in a task
 SCORE_WORDS = 800_000  # words scored together in a task
 
@@ -52,16 +52,25 @@ class Settings:
     held_out: int = 2
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, and where each text begins (one more at the end)."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.full(int(starts[-1]), END)
-    inner = np.ones(len(out), bool)
-    inner[starts[1:] - 1] = False
-    out[inner] = word_hashes([w for ws in words for w in ws])
-    return out, starts
+LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\v\f\r", bytes(range(97, 123)) + b" " * 5)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the different tokens, each token's place among them, and where each text begins (one more at the end)."""
+    data = b" \n".join([*(t.translate(LOWER) for t in texts), b""])
+    flat = np.frombuffer(data, np.uint8)
+    ends = np.concatenate([[0], np.flatnonzero((flat == 32) | (flat == 10)) + 1])
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    different, of = pieces.dictionary, pieces.indices.to_numpy()
+    words = b"".join(different.to_numpy(zero_copy_only=False)).replace(b"\n", b"\n ").split(b" ")[:-1]  # without what separates them
+    if b"" in words:  # nothing between two separators
+        of = of[of != words.index(b"")]
+    hashes = word_hashes(words)
+    starts = np.concatenate([[0], np.flatnonzero(of == words.index(b"\n")) + 1]) if texts else np.zeros(1, np.int64)
+    order = np.argsort(hashes)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return hashes[order], place[of], starts
 
 
 def is_held_out(doc_id: int | None, s: Settings) -> bool:
@@ -102,8 +111,9 @@ class Model:
     def shard(self, level: int, s: int) -> dict:
         if (level, s) not in self.files:
             a = map_arrays(f"{self.path}/level{level}-{s}")
-            names = ("words",) if level == 1 else ("words", "pointers")
-            self.files[level, s] = a | {n: EliasFano.of(a, n) for n in names}
+            if level > 1:
+                a |= {"pointers": EliasFano.of(a, "pointers")} | map_arrays(f"{self.path}/log{level}-{s}")
+            self.files[level, s] = a | {"words": EliasFano.of(a, "words")}
         return self.files[level, s]
 
     def context_bounds(self, level: int) -> np.ndarray:
@@ -129,22 +139,23 @@ class Model:
         return out
 
     def column(self, level: int, name: str, entry: np.ndarray) -> np.ndarray:
-        """An array of a level's entries (or contexts, for back-off weights) by global position."""
+        """An array of a level's entries (or contexts, for back-off weights) by global position, in rising order."""
         bounds = self.context_bounds(level) if name == "weight" else self.bounds[level - 1]
-        order = np.argsort(entry, kind="stable")
-        owner = np.searchsorted(bounds, entry[order], side="right") - 1
+        owner = np.searchsorted(bounds, entry, side="right") - 1
         out = np.zeros(len(entry), np.float64 if name in ("log", "weight") else np.int64)
         for s, part in self.parts(owner):
-            local = entry[order[part]] - bounds[s]
+            if self.bounds[level - 1][s + 1] == self.bounds[level - 1][s]:  # no file, and contexts of weight 1
+                continue
+            local = entry[part] - bounds[s]
             a = self.shard(level, s)
             if name in ("log", "weight"):
-                out[order[part]] = a[f"{name}_book"][a[name][local]] if len(a[name]) else 0.0
+                out[part] = a[f"{name}_book"][a[name][local]] if len(a[name]) else 0.0
             elif name == "word":
-                context = a["pointers"].access(np.arange(a["pointers"].n)).astype(np.int64)
+                context = a["pointers"].all().astype(np.int64)
                 at = np.searchsorted(context, local, side="right") - 1
-                out[order[part]] = (a["words"].access(local) - base_of(a["words"], context[at])).astype(np.int64)
+                out[part] = (a["words"].access(local) - base_of(a["words"], context[at])).astype(np.int64)
             else:
-                out[order[part]] = a[name][local]
+                out[part] = a[name][local]
         return out
 
     def find(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -169,7 +180,7 @@ class Model:
         return out
 
     def unigram(self, rank: np.ndarray) -> np.ndarray:
-        """log10 of the add-one probability by rank, -1 for an unknown word."""
+        """log10 of the add-one probability by rank, in rising order but for -1, an unknown word."""
         count = np.zeros(len(rank), np.int64)
         known = rank >= 0
         count[known] = self.column(1, "count", rank[known])
@@ -203,24 +214,35 @@ def model_of(path: str, sizes: list[list[int]], total: int, shards: int) -> Mode
 # ------------------------------------------------------------ positions of a batch's tokens in the levels
 
 
-def entries(model: Model, codes: np.ndarray, starts: np.ndarray, levels: int) -> list[np.ndarray]:
-    """For levels 1 to ``levels``, the entry of the n-gram that ends at each token, or -1."""
-    unique, of = np.unique(codes, return_inverse=True)
-    out = [model.ranks(unique)[of]]
+def entries(model: Model, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For levels 1 to ``levels``, the different entries, rising but for -1, and each token's place among them:
+    the entry of the n-gram that ends there. Beyond level 1 the last one is -1, for tokens too near to a text's beginning."""
+    ranks = model.ranks(hashes)
+    out = [(ranks, codes)]
     n = len(codes)
+    word = ranks[codes]
     place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
     for k in range(2, levels + 1):
+        found, of = out[-1]
         context = np.full(n, -1)
-        context[1:] = out[-1][:-1]
-        here = np.flatnonzero((place >= k - 1) & (context >= 0) & (out[0] >= 0))
-        pair, at = np.unique((context[here].astype(np.uint64) << np.uint64(32)) | out[0][here].astype(np.uint64), return_inverse=True)
+        context[1:] = found[of[:-1]]
+        here = np.flatnonzero((place >= k - 1) & (context >= 0) & (word >= 0))
+        pair, at = np.unique((context[here].astype(np.uint64) << np.uint64(32)) | word[here].astype(np.uint64), return_inverse=True)
         found = model.find(k, (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        entry = np.full(n, -1)
-        entry[here] = found[at]
-        out.append(entry)
+        of = np.full(n, len(pair))
+        of[here] = at
+        out.append((np.append(found, -1), of))
     return out
 
 
+def by_entry(model: Model, level: int, name: str, entry: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column for each token, 0 without an entry, and whether there is one."""
+    has = entry >= 0
+    value = np.zeros(len(entry))
+    value[has] = model.column(level, name, entry[has])
+    return value[of], has[of]
+
+
 def grouped_texts(batches, words: int):
     """(doc_ids, texts) with about ``words`` words together."""
     ids, texts, size = [], [], 0
@@ -239,7 +261,7 @@ def grouped_texts(batches, words: int):
 # ------------------------------------------------------------ counting and building
 
 BLOCK = "shard int, context binary, word binary, n binary"
-BUILT = "shard int, entries long, total long"
+BUILT = "shard int, entries long, more long"
 
 
 def blocks(owner: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray):
@@ -270,100 +292,166 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = lambda name, t: [from_planes(x, t) for x in table.column(name).to_pylist()]
     context = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in column("context", np.uint64)])
     word, n = np.concatenate(column("word", np.uint32)), np.concatenate(column("n", np.uint32)).astype(np.int64)
-    # level 1 has hashes and no words; contexts of longer n-grams are places below 2**32
-    order = np.argsort((context << np.uint64(32)) | word if word.any() else context)
-    context, word, n = context[order], word[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-    return context[first], word[first], np.add.reduceat(n, first)
+    if not word.any():  # level 1 has hashes and no words
+        key = context
+    elif context.max() < 1 << 32:
+        key = (context << np.uint64(32)) | word
+    else:
+        of = np.unique(context, return_inverse=True)[1]
+        key = (of.astype(np.uint64) << np.uint64(32)) | word
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    at = order[first]
+    return context[at], word[at], np.add.reduceat(n[order], first)
+
+
+def built(rows: DataFrame, build, shards: int) -> tuple[list[int], list[int]]:
+    """Entries of each shard, and the other number it tells."""
+    sizes, more = [0] * shards, [0] * shards
+    with shuffles_dropped(rows.sparkSession):  # blocks go before the next step
+        found = rows.groupBy("shard").applyInArrow(build, BUILT).collect()
+    for s, n, m in found:
+        sizes[s], more[s] = n, m
+    return sizes, more
 
 
-def built(rows: DataFrame, build, shards: int) -> tuple[list[int], int]:
-    """Entries of each shard, and the sum of their counts."""
-    sizes, total = [0] * shards, 0
-    with shuffles_dropped(rows.sparkSession):  # a level's blocks go before the next level is counted
-        found = rows.groupBy("shard").applyInArrow(build, BUILT).collect()
-    for s, n, t in found:
-        sizes[s] = n
-        total += t
-    return sizes, total
+def told(shard: int, entries: int, more: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([entries]), pa.array([more])], ["shard", "entries", "more"])
+
+
+def least(n: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as hold them."""
+    return n.astype(np.min_scalar_type(n.max(initial=0)))
 
 
 def first_level(docs: DataFrame, path: str, shards: int, s: Settings) -> tuple[list[int], int]:
+    """Entries of each shard of the words' level, and the number of training tokens."""
+
     def count(batches):
         for ids, texts in grouped_texts(batches, COUNT_WORDS):
-            codes, _ = tokens([t for d, t in zip(ids, texts, strict=True) if not is_held_out(d, s)])
-            words, n = np.unique(codes, return_counts=True)
+            words, codes, _ = tokens([t for d, t in zip(ids, texts, strict=True) if not is_held_out(d, s)])
+            n = np.bincount(codes, minlength=len(words))
+            words, n = words[n > 0], n[n > 0]
             yield from blocks(shard_of_hash(words, shards), words, np.zeros(len(words), np.uint32), n.astype(np.uint32))
 
     def build(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         words, _, n = merged(table)
         coded = {f"words.{k}": v for k, v in EliasFano.arrays(words, (1 << 64) - 1).items()}
-        write_arrays(f"{path}/level1-{shard}", coded | {"count": n})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "entries": [len(words)], "total": [int(n.sum())]})
+        write_arrays(f"{path}/level1-{shard}", coded | {"count": least(n)})
+        return pa.Table.from_batches([told(shard, len(words), int(n.sum()))])
 
-    return built(docs.mapInArrow(count, BLOCK), build, shards)
+    sizes, counts = built(docs.mapInArrow(count, BLOCK), build, shards)
+    return sizes, sum(counts)
 
 
-def next_level(docs: DataFrame, path: str, sizes: list[list[int]], total: int, shards: int, s: Settings) -> list[int]:
-    level = len(sizes) + 1
+def longer_levels(docs: DataFrame, path: str, first: list[int], total: int, shards: int, s: Settings) -> tuple[list[int], list[int]]:
+    """Entries of each shard of the pairs' level and of the triples' one, of which the probabilities are still missing."""
 
     def count(batches):
-        model = model_of(path, sizes, total, shards)
-        bounds = model.context_bounds(level)
+        model = model_of(path, [first], total, shards)
+        bounds = model.context_bounds(2)
         for ids, texts in grouped_texts(batches, COUNT_WORDS):
-            codes, starts = tokens([t for d, t in zip(ids, texts, strict=True) if not is_held_out(d, s)])
-            at = entries(model, codes, starts, level - 1)
-            context = np.full(len(codes), -1)
-            context[1:] = at[-1][:-1]
-            place = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
-            here = np.flatnonzero((place >= level - 1) & (context >= 0) & (at[-1] >= 0))
-            pair, n = np.unique((context[here].astype(np.uint64) << np.uint64(32)) | at[0][here].astype(np.uint64), return_counts=True)
-            context = pair >> np.uint64(32)
-            owner = np.searchsorted(bounds, context.astype(np.int64), side="right") - 1
-            yield from blocks(owner, context, (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), n.astype(np.uint32))
+            words, codes, starts = tokens([t for d, t in zip(ids, texts, strict=True) if not is_held_out(d, s)])
+            rank = model.ranks(words)[codes].astype(np.uint64)
+            after = np.full(len(rank), NONE)
+            if s.order > 2:
+                after[:-1] = rank[1:]
+                after[starts[1:] - 1] = NONE
+            inner = np.ones(len(rank), bool)
+            inner[starts[:-1]] = False
+            here = np.flatnonzero(inner)
+            pair, of = np.unique((rank[here - 1] << np.uint64(32)) | rank[here], return_inverse=True)
+            key, n = np.unique((of.astype(np.uint64) << np.uint64(32)) | after[here], return_counts=True)
+            context = pair[(key >> np.uint64(32)).astype(np.int64)]
+            owner = np.searchsorted(bounds, (context >> np.uint64(32)).astype(np.int64), side="right") - 1
+            yield from blocks(owner, context, (key & NONE).astype(np.uint32), n.astype(np.uint32))
 
     def build(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        model = model_of(path, sizes, total, shards)
-        bounds = model.context_bounds(level)
-        context, word, n = merged(table)
-        kept = n >= s.min_count
-        context, word, n = context[kept].astype(np.int64), word[kept].astype(np.int64), n[kept]
-        local = context - bounds[shard]
-        contexts = int(bounds[shard + 1] - bounds[shard])
-        pointers = np.searchsorted(local, np.arange(contexts + 1), side="left")
-
-        used, of = np.unique(context, return_inverse=True)
-        whole = model.column(level - 1, "count", used)
-        share = (n - s.discount) / whole[of]
-        left = 1 - np.bincount(of, share, len(used))
-        if level == 2:
-            lower = model.unigram(word)[0]
-        else:
-            shorter = model.column(level - 1, "word", used)[of]
-            order = np.argsort(shorter, kind="stable")
-            found = np.full(len(word), -1)
-            found[order] = model.find(level - 1, shorter[order], word[order])
-            lower = np.where(found >= 0, model.column(level - 1, "log", np.maximum(found, 0)),
-                             model.column(level - 1, "weight", shorter) + model.unigram(word)[0])
-        log = np.log10(share + left[of] * 10**lower)
-        weight = np.zeros(contexts)
-        weight[used - bounds[shard]] = np.log10(np.maximum(left, 1e-12))
-
-        begins = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]])) if len(local) else np.zeros(0, np.int64)
-        last = np.append(begins[1:], len(local)) - 1 if len(local) else begins
-        base = np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]) if len(local) else np.zeros(0, np.int64)
-        values = word + np.repeat(base, np.diff(np.append(begins, len(local)))) if len(local) else word
-        out = {f"words.{k}": v for k, v in EliasFano.arrays(values, int(values[-1]) + 1 if len(values) else 1).items()}
-        out |= {f"pointers.{k}": v for k, v in EliasFano.arrays(pointers, len(word) + 1).items()}
-        out["count"] = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-        out["log"], out["log_book"] = quantised(log)
-        out["weight"], out["weight_book"] = quantised(weight)
-        write_arrays(f"{path}/level{level}-{shard}", out)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "entries": [len(word)], "total": [int(n.sum())]})
-
-    return built(docs.mapInArrow(count, BLOCK), build, shards)[0]
+        model = model_of(path, [first], total, shards)
+        begin, end = (int(x) for x in model.context_bounds(2)[shard : shard + 2])
+        pair, after, n = merged(table)
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        pairs, times = pair[new], np.add.reduceat(n, np.flatnonzero(new))
+        kept = times >= s.min_count
+        place = (np.cumsum(kept) - 1)[np.cumsum(new) - 1]  # of each triple's pair among those that are kept
+        pairs, times = pairs[kept], times[kept]
+        context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & NONE).astype(np.int64)
+        write_arrays(f"{path}/level2-{shard}", trie(context - begin, end - begin, word, times))
+        write_arrays(f"{path}/log2-{shard}", logs(model, 2, begin, end, context, word, times, s))
+        triple = (after != NONE) & (n >= s.min_count)
+        if s.order > 2:
+            write_arrays(f"{path}/level3-{shard}", trie(place[triple], len(pairs), after[triple].astype(np.int64), n[triple]))
+        return pa.Table.from_batches([told(shard, len(pairs), int(triple.sum()))])
+
+    return built(docs.mapInArrow(count, BLOCK), build, shards)
+
+
+def triples_weighed(spark: SparkSession, path: str, sizes: list[list[int]], triples: list[int], total: int, shards: int, s: Settings) -> None:
+    """Writes the probabilities and weights of each shard of triples."""
+
+    def weigh(batches):
+        for shard in (x for b in batches for x in b.column("id").to_pylist()):
+            if not triples[shard]:
+                continue
+            model = model_of(path, sizes, total, shards)
+            begin, end = (int(x) for x in model.context_bounds(3)[shard : shard + 2])
+            a = map_arrays(f"{path}/level3-{shard}")
+            values, pointers = (EliasFano.of(a, name).all().astype(np.int64) for name in ("words", "pointers"))
+            base = np.where(pointers[:-1] > 0, values[pointers[:-1] - 1] + 1, 0)
+            times = np.diff(pointers)
+            write_arrays(f"{path}/log3-{shard}", logs(model, 3, begin, end, np.repeat(np.arange(begin, end), times),
+                                                      values - np.repeat(base, times), a["count"].astype(np.int64), s))
+            yield told(shard, len(values), 0)
+
+    spark.range(0, shards, 1, shards).mapInArrow(weigh, BUILT).collect()
+
+
+def trie(local: np.ndarray, contexts: int, word: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's n-grams, sorted by context (its place in the shard) and word."""
+    pointers = np.searchsorted(local, np.arange(contexts + 1), side="left")
+    begins = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]])) if len(local) else np.zeros(0, np.int64)
+    last = np.append(begins[1:], len(local)) - 1 if len(local) else begins
+    base = np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]) if len(local) else np.zeros(0, np.int64)
+    values = word + np.repeat(base, np.diff(np.append(begins, len(local)))) if len(local) else word
+    out = {f"words.{k}": v for k, v in EliasFano.arrays(values, int(values[-1]) + 1 if len(values) else 1).items()}
+    out |= {f"pointers.{k}": v for k, v in EliasFano.arrays(pointers, len(word) + 1).items()}
+    return out | {"count": least(n)}
+
+
+def logs(model: Model, level: int, begin: int, end: int, context: np.ndarray, word: np.ndarray, n: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
+    """Probabilities of a shard's n-grams, and back-off weights of its contexts, ``begin`` to ``end``; the level below is in the model."""
+    used, of = np.unique(context, return_inverse=True)
+    whole = model.column(level - 1, "count", used)
+    share = (n - s.discount) / whole[of]
+    left = 1 - np.bincount(of, share, len(used))
+    if level == 2:
+        last, which = np.unique(word, return_inverse=True)
+        lower = model.unigram(last)[0][which]
+    else:
+        shorter = model.column(level - 1, "word", used)[of]
+        pair, which = np.unique((shorter.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
+        lower = shorter_log(model, level - 1, (pair >> np.uint64(32)).astype(np.int64), (pair & NONE).astype(np.int64))[which]
+    log = np.log10(share + left[of] * 10**lower)
+    weight = np.zeros(end - begin)
+    weight[used - begin] = np.log10(np.maximum(left, 1e-12))
+    out = {}
+    out["log"], out["log_book"] = quantised(log)
+    out["weight"], out["weight_book"] = quantised(weight)
+    return out
+
+
+def shorter_log(model: Model, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log10 probability of words after contexts of level 2, in rising order of both: stored, or by the unigram model."""
+    found = model.find(level, context, word)
+    out, has, none = np.zeros(len(word)), np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+    out[has] = model.column(level, "log", found[has])
+    if len(none):
+        last, of = np.unique(word[none], return_inverse=True)
+        out[none] = model.column(level, "weight", context[none]) + model.unigram(last)[0][of]
+    return out
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[str, list[list[int]], int, int]:
@@ -376,13 +464,22 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[str, list[list[int]]
     rows = readable(docs)
     first, total = first_level(rows, path, shards, s)
     sizes = [first]
-    for _ in range(2, s.order + 1):
-        if sum(sizes[-1]) >= 1 << 32:  # an entry's place takes half of a 64-bit key in the next level
-            raise ValueError(f"more than 2**32 n-grams of {len(sizes)} words below a longer one")
-        sizes.append(next_level(rows, path, sizes, total, shards, s))
+    if s.order > 1:
+        refused(first, 1)
+        second, third = longer_levels(rows, path, first, total, shards, s)
+        sizes.append(second)
+        if s.order > 2:
+            refused(second, 2)
+            triples_weighed(spark, path, sizes, third, total, shards, s)
+            sizes = [*sizes, third]
     return path, sizes, total, shards
 
 
+def refused(sizes: list[int], words: int) -> None:
+    if sum(sizes) >= 1 << 32:  # an entry's place takes half of a 64-bit key in the next level
+        raise ValueError(f"more than 2**32 n-grams of {words} words below a longer one")
+
+
 def readable(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
@@ -393,26 +490,23 @@ def scored(docs: DataFrame, fitted: tuple[str, list[list[int]], int, int], s: Se
     def run(batches):
         model = model_of(*fitted)
         for ids, texts in grouped_texts(batches, SCORE_WORDS):
-            codes, starts = tokens(texts)
-            at = entries(model, codes, starts, s.order)
-            unique, of = np.unique(at[0], return_inverse=True)
-            base, counts = model.unigram(unique)
-            log = base[of]
+            words, codes, starts = tokens(texts)
+            at = entries(model, words, codes, starts, s.order)
+            base, counts = model.unigram(at[0][0])
+            base, known = base[codes], (counts > 0)[codes]
+            log = base.copy()
             for k in range(2, s.order + 1):
-                context = np.full(len(codes), -1)
-                context[1:] = at[k - 2][:-1]
-                context[starts[:-1]] = -1
-                has = np.flatnonzero(context >= 0)
-                used, which = np.unique(context[has], return_inverse=True)
-                log[has] += model.column(k, "weight", used)[which]
-                hit = np.flatnonzero(at[k - 1] >= 0)
-                used, which = np.unique(at[k - 1][hit], return_inverse=True)
-                log[hit] = model.column(k, "log", used)[which]
+                # a context's place in level k - 1 is its entry there, and its weight is stored with level k
+                weight, _ = by_entry(model, k, "weight", *at[k - 2])
+                weight[starts[1:] - 1] = 0  # what ends a text is no context of the next
+                log[1:] += weight[:-1]
+                stored, has = by_entry(model, k, "log", *at[k - 1])
+                log = np.where(has, stored, log)
             sums = lambda x: np.add.reduceat(x, starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([is_held_out(d, s) for d in ids]), pa.array(np.diff(starts)),
-                 pa.array(sums((counts[of] > 0).astype(np.int64))), pa.array(np.full(len(ids), model.total, np.int64)),
-                 pa.array(sums(base[of])), pa.array(sums(log))],
+                 pa.array(sums(known.astype(np.int64))), pa.array(np.full(len(ids), model.total, np.int64)),
+                 pa.array(sums(base)), pa.array(sums(log))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

@@ -194,3 +194,87 @@ def test_merged_blocks_are_sorted_by_context_and_word():
         got = lm_trie.merged(pa.Table.from_batches(rows))
         pairs, n = np.unique(np.stack([context, word.astype(np.uint64)]), axis=1, return_counts=True)
         assert all(np.array_equal(x, y) for x, y in zip(got, (pairs[0], pairs[1], n), strict=True))
+
+
+def test_tokens_hash_each_different_word_once(monkeypatch):
+    hashed = []
+    hashes_of = lm_trie.word_hashes
+    monkeypatch.setattr(lm_trie, "word_hashes", lambda words: hashed.extend(words) or hashes_of(words))
+    texts = [(t or "").encode() for _, t in ODD] + ["Ab aB\x0bAB\x0c\r ab \x1c\x00 É é".encode(), b"tail \n", b"\n lead", b"a\nb  c"]
+    for some in (texts, texts[:1], [b""], []):
+        hashed.clear()
+        hashes, codes, starts = lm_trie.tokens(some)
+        want = [t.lower().split() + [b"\n"] for t in some]
+        assert hashes[codes].tolist() == hashes_of([w for ws in want for w in ws]).tolist()
+        assert starts.tolist() == np.cumsum([0] + [len(ws) for ws in want]).tolist()
+        assert (np.diff(hashes) > 0).all() and len(hashed) == len(set(hashed))
+
+
+@pytest.mark.parametrize("universe, n", [(1 << 40, 3000), (10**9, 200_000), (1000, 900)])
+def test_few_values_share_a_high_part_and_none_lies_above(universe, n):
+    """A search ends after few steps, also where the universe is no multiple of bytes, and finds nothing beyond it."""
+    rng = np.random.default_rng(n)
+    values = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
+    coded = EliasFano.of({f"x.{k}": v for k, v in EliasFano.arrays(values, int(values[-1]) + 1).items()}, "x")
+    assert np.unique(values >> np.uint64(coded.shift), return_counts=True)[1].max() <= 64
+    assert np.array_equal(coded.all(), values)
+    queries = np.concatenate([values, values + np.uint64(1), values[-1] + np.array([1, 70, 1 << 20, 1 << 62], np.uint64)])
+    at = np.searchsorted(values, queries)
+    there = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == queries)
+    assert np.array_equal(coded.find(queries), np.where(there, at, -1))
+    half = len(values) // 2
+    assert np.array_equal(coded.find(queries, 0, half), np.where(there & (at < half), at, -1))
+
+
+def test_more_shards_than_words(spark):
+    """Shards without a file: what ends a text is in the vocabulary and no context."""
+    s = lm_trie.Settings()
+    train = [i for i in range(40) if not lm_trie.is_held_out(i, s)][:2]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = {r.doc_id: r.score for r in lm_trie.score(frame(spark, [(train[0], "a"), (train[1], "")])).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # a: (1 + 1) / (3 + 2 + 1); end after a: 0.25 / 1 + 0.75 * (2 + 1) / 6
+    assert out[train[0]] == pytest.approx(math.log10(2 / 6) + math.log10(0.25 + 0.75 * 0.5), abs=0.01)
+    assert out[train[1]] == pytest.approx(math.log10(0.5))
+
+
+@pytest.mark.parametrize("order, min_count", [(1, 1), (2, 1), (2, 2), (3, 2)])
+def test_orders_and_pruning_in_two_counting_passes(spark, monkeypatch, order, min_count):
+    passes = []
+    built = lm_trie.built
+    monkeypatch.setattr(lm_trie, "built", lambda *a: passes.append(1) or built(*a))
+    s = lm_trie.Settings(order=order, min_count=min_count)
+    rows = documents(60, seed=order + min_count, alphabet=25) + ODD
+    out = collections.defaultdict(list)
+    path, sizes, total, shards = fitted = lm_trie.fit(frame(spark, rows), s)
+    assert len(passes) == min(order, 2)
+    for r in lm_trie.scored(frame(spark, rows), fitted, s).collect():
+        out[r.doc_id].append(r)
+    texts = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
+    train = [w for i, w in texts if not lm_trie.is_held_out(i, s)]
+    grams = [collections.Counter(tuple(w[i : i + k]) for w in train for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    kept = [grams[0]] + [{g: c for g, c in x.items() if c >= min_count} for x in grams[1:order]]
+    assert [sum(x) for x in sizes] == [len(x) for x in kept]
+    for k, level in enumerate(kept, 1):
+        stored = [map_arrays(f"{path}/level{k}-{i}")["count"] for i, n in enumerate(sizes[k - 1]) if n]
+        assert sorted(np.concatenate(stored).tolist()) == sorted(level.values())
+    left = collections.defaultdict(lambda: 1.0)
+    for k in range(1, order):
+        for g, c in kept[k].items():
+            left[g[:-1]] -= (c - s.discount) / grams[k - 1][g[:-1]]
+
+    def probability(word, context):
+        if not context:
+            return (grams[0].get((word,), 0) + 1) / (total + len(grams[0]) + 1)
+        lower = probability(word, context[1:])
+        if context not in kept[len(context) - 1]:
+            return lower
+        c = kept[len(context)].get((*context, word), s.discount)
+        return (c - s.discount) / grams[len(context) - 1][context] + left[context] * lower
+
+    for i, w in texts:
+        score = sum(math.log10(probability(w[j], tuple(w[max(0, j - order + 1) : j]))) for j in range(len(w)))
+        assert any(r.n_tokens == len(w) and r.train_tokens == total and r.score == pytest.approx(score, rel=0.03, abs=0.05) for r in out[i]), i
