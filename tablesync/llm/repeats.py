@@ -10,8 +10,10 @@ grouped by anchor:
    task saw before are settled there and sent once, so a passage in a third of all documents reaches
    its anchor's group as a row per task.
 2. ``resolve`` groups by anchor. Equal segments settle each other. An anchor whose segments differ
-   may still share windows; its segments become requests.
-3. ``pieces`` reads the requested segments from the texts. An anchor with very many different
+   may still share windows; its segments become requests. A short gram recurs by chance the more the larger
+   the corpus is, so a rule that is not mutual cuts these segments in halves first (see ``contexts``), and only
+   halves whose context recurs are requested, in a group of their own.
+3. ``pieces`` reads the requested segments from the texts. A group with very many different
    segments is split: its segments are cut into single windows, routed by the window's own hash.
 
 Covered ranges travel along as rows with tag 0. Documents are identified by (doc_id, hash of the
@@ -37,6 +39,7 @@ NULL_ID = -(1 << 63)
 ROW = "key long, segment long, doc_id long, text_key long, low long, span int, at int, tag int"
 NAMES = ("key", "segment", "doc_id", "text_key", "low", "span", "at", "tag")
 TYPES = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+CONTEXT = "context"  # of rules that are not mutual: one more column on the way to ``resolve``
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,11 @@ class Windows:
     mutual: bool  # True: any other occurrence covers; False: only earlier ones do
     hot: int = 4_000  # different segments of an anchor handled in one group
 
+    @property
+    def half(self) -> int:
+        """Windows that start fewer units than this before their anchor are in the first half of a segment."""
+        return (self.length - self.gram + 2) // 2
+
 
 # ------------------------------------------------------------ hashing
 
@@ -92,7 +100,7 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(codes: np.ndarray, rule: Windows, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (anchor hash, segment hash, first window, windows - 1, anchor - first window)."""
+    """Arrays (anchor hash, segment hash, first window, windows - 1, anchor - first window, contexts)."""
     places = rule.length - rule.gram + 1
     for base in range(0, max(len(codes) - rule.length + 1, 0), step):
         part = codes[base : base + step + rule.length - 1]
@@ -104,7 +112,38 @@ def segments(codes: np.ndarray, rule: Windows, step: int = 1 << 19) -> Iterator[
         high = np.append(low[1:], len(anchor)) - 1
         at = anchor[low] - low
         content = mix(h(low, high + rule.length) + mix((at * 4096 + (high - low)).astype(np.uint64)))
-        yield grams[anchor[low]], content, low + base, high - low, at
+        around = np.zeros(len(low), np.uint64) if rule.mutual else contexts(h, anchor[low], at, high - low, rule)
+        yield grams[anchor[low]], content, low + base, high - low, at, around
+
+
+def contexts(h: Hashed, anchor: np.ndarray, at: np.ndarray, span: np.ndarray, rule: Windows) -> np.ndarray:
+    """What all windows of either half of a segment contain, as two hashes of 32 bits; 0 for a half without windows.
+
+    Windows that start 0 to ``half - 1`` units before the anchor all hold the same units from the anchor on,
+    those that start farther before it the same units around it. Equal windows start equally far before
+    their anchor, so they agree in their half and in its context.
+    """
+    near, far = at - span < rule.half, at >= rule.half
+    first = h(np.where(near, anchor, 0), np.where(near, anchor + rule.length - rule.half + 1, 0))
+    second = h(np.where(far, anchor - rule.half, 0), np.where(far, anchor + rule.gram, 0))
+    return (mix(first) & np.uint64(0xFFFFFFFF00000000)) | (mix(second) >> np.uint64(32))
+
+
+def halves(rows: list[np.ndarray], rule: Windows) -> list[np.ndarray]:
+    """Both halves of each segment as segments whose key is the context."""
+    key, segment, doc_id, text_key, low, span, at, tag, around = rows
+    out = []
+    for far in (False, True):
+        some = at >= rule.half if far else at - span < rule.half
+        hashed = around[some].view(np.uint64)
+        hashed = hashed & np.uint64(0xFFFFFFFF) if far else hashed >> np.uint64(32)
+        inner = mix(hashed + np.uint64(int(far) << 32))
+        last = at[some] - span[some]  # units the last window starts before the anchor
+        start = at[some] if far else np.minimum(at[some], rule.half - 1)
+        end = np.maximum(last, rule.half) if far else last
+        out.append([signed(mix(key[some].view(np.uint64) ^ inner)), segment[some], doc_id[some], text_key[some],
+                    low[some] + at[some] - start, (start - end).astype(np.int32), start.astype(np.int32), tag[some]])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 # ------------------------------------------------------------ settling
@@ -134,9 +173,9 @@ def covered_rows(doc_id, text_key, low, end) -> list[np.ndarray]:
 
 def settle(rows: list[np.ndarray], rule: Windows) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """Compares equal segments: rows of the first of each, their group starts by key, covered rows."""
-    key, segment, doc_id, text_key, low, span, at, tag = rows
+    key, segment, doc_id, text_key, low = rows[:5]
     order = np.lexsort((low, text_key, doc_id, segment, key))
-    key, segment, doc_id, text_key, low, span, at, tag = (c[order] for c in (key, segment, doc_id, text_key, low, span, at, tag))
+    key, segment, doc_id, text_key, low, span, at, tag, *more = (c[order] for c in rows)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])
     first = np.flatnonzero(new)
@@ -154,7 +193,7 @@ def settle(rows: list[np.ndarray], rule: Windows) -> tuple[list[np.ndarray], np.
         lead = first[group]
         covers = ~new & ((doc_id != doc_id[lead]) | (text_key != text_key[lead]) | (low != low[lead]))
     covered = covered_rows(doc_id[covers], text_key[covers], low[covers], low[covers] + span[covers] + rule.length)
-    kept = [c[first] for c in (key, segment, doc_id, text_key, low, span, at, tag)]
+    kept = [c[first] for c in (key, segment, doc_id, text_key, low, span, at, tag, *more)]
     starts = np.flatnonzero(np.concatenate([[True], kept[0][1:] != kept[0][:-1]])) if len(first) else np.zeros(0, np.int64)
     return kept, starts, covered
 
@@ -169,22 +208,24 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, codes_of: Callable[[bytes], np.ndarray], rule: Windows) -> DataFrame:
     """One row per segment, equal segments of a task settled and sent once."""
+    names, types = (NAMES, TYPES) if rule.mutual else ((*NAMES, CONTEXT), (*TYPES, np.int64))
 
     def run(batches):
         held, n = [], 0
 
         def flush():
-            rows = [np.concatenate(c).astype(t, copy=False) for c, t in zip(zip(*held, strict=True), TYPES, strict=True)]
+            rows = [np.concatenate(c).astype(t, copy=False) for c, t in zip(zip(*held, strict=True), types, strict=True)]
             kept, _, covered = settle(rows, rule)
-            yield from batches_of(kept)
-            yield from batches_of(covered)
+            yield from batches_of(kept, names)
+            yield from batches_of(covered if rule.mutual else [*covered, np.zeros(len(covered[0]), np.int64)], names)
 
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             for doc_id, text_key, text in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), texts, strict=True):
-                for anchor, content, low, span, at in segments(codes_of(text.as_py()), rule):
+                for anchor, content, low, span, at, around in segments(codes_of(text.as_py()), rule):
                     m = len(low)
-                    held.append((signed(anchor), signed(content), np.full(m, doc_id), np.full(m, text_key), low, span, at, np.full(m, OPEN, np.int32)))
+                    row = (signed(anchor), signed(content), np.full(m, doc_id), np.full(m, text_key), low, span, at, np.full(m, OPEN, np.int32))
+                    held.append(row if rule.mutual else (*row, signed(around)))
                     n += m
                 if n >= CHUNK:
                     yield from flush()
@@ -192,30 +233,37 @@ def occurrences(docs: DataFrame, codes_of: Callable[[bytes], np.ndarray], rule:
         if held:
             yield from flush()
 
-    return identified(docs).filter(F.octet_length("text") >= rule.length).mapInArrow(run, ROW)
+    return identified(docs).filter(F.octet_length("text") >= rule.length).mapInArrow(run, ROW if rule.mutual else f"{ROW}, {CONTEXT} long")
 
 
-def gathered(batches) -> list[np.ndarray]:
+def gathered(batches, more: tuple[str, ...] = ()) -> list[np.ndarray]:
     """All rows of a task, which Spark bounds by the number of partitions."""
-    parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in NAMES] for b in batches]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(TYPES)]
+    parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in (*NAMES, *more)] for b in batches]
+    types = (*TYPES, *[np.int64 for _ in more])
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(types)]
 
 
 def resolve(rows: DataFrame, rule: Windows) -> DataFrame:
     """Covered ranges, and requests for the segments of anchors that have different ones."""
 
     def run(batches):
-        table = gathered(batches)
+        table = gathered(batches, () if rule.mutual else (CONTEXT,))
         done = table[7] == COVERED
-        yield from batches_of([c[done] for c in table])
+        yield from batches_of([c[done] for c in table[: len(NAMES)]])
         kept, starts, covered = settle([c[~done] for c in table], rule)
         yield from batches_of(covered)
         if not len(starts):
             return
         sizes = np.diff(np.append(starts, len(kept[0])))
         wanted = sizes > 1
-        if rule.mutual:
-            wanted &= np.add.reduceat((kept[7] & SETTLED == 0).astype(np.int64), starts) > 0
+        if not rule.mutual:
+            several = np.repeat(wanted, sizes)
+            kept = halves([c[several] for c in kept], rule)
+            _, group, many = np.unique(kept[0], return_inverse=True, return_counts=True)
+            kept[7] = kept[7] + np.where(many[group] > rule.hot, HOT, 0).astype(np.int32)
+            yield from batches_of([c[many[group] > 1] for c in kept])
+            return
+        wanted &= np.add.reduceat((kept[7] & SETTLED == 0).astype(np.int64), starts) > 0
         chosen = np.repeat(wanted, sizes)
         kept[7] = kept[7] + np.where(np.repeat(sizes > rule.hot, sizes), HOT, 0).astype(np.int32)
         yield from batches_of([c[chosen] for c in kept])

@@ -6,11 +6,11 @@ count, and matches never cross documents.
 
 Sorting every suffix of the corpus would shuffle many times its size. Equal strings have equal
 anchors at equal places (see ``repeats``), so the suffixes that start at anchors are enough, and of
-these only the ones whose anchor recurs with different surroundings. Spark samples splitters and
-range-partitions these suffixes by their leading tokens (the anchor's bytes); equal leading tokens
-never straddle a boundary, so what has to be compared across buckets is only a leading token too
-frequent for one bucket, and its suffixes are cut into single strings that are routed by their whole
-content. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time, keeping the
+these only the ones whose anchor recurs with different surroundings of which more than half a string's
+bytes agree. Spark samples splitters and range-partitions these suffixes by their leading tokens (the
+anchor's bytes) and those surroundings; equal ones never straddle a boundary, so what has to be compared
+across buckets is only surroundings too frequent for one bucket, and their suffixes are cut into single
+strings that are routed by their whole content. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time, keeping the
 common prefix of neighbours. Two strings that start ``o`` bytes before their anchors are equal when
 the suffixes share ``length - o`` bytes, which is a run in the sorted order, and the ``o`` bytes
 before the anchors agree.

@@ -60,6 +60,26 @@ def test_suffixes(spark, monkeypatch, hot, alphabet):
     assert sortable(suffix_dedup.removed(frame(spark, rows, clashing=True), 30).collect()) == suffixes_brute(rows, 30)
 
 
+def test_grams_that_recur_by_chance_ask_for_no_suffixes(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: bytes(rng.integers(97, 123, 40).astype(np.uint8)).decode()
+    rows = [(i, " ".join(f"{word()} a phrase of thirty-odd bytes here {word()}" for _ in range(5))) for i in range(60)]
+    shared = " ".join(word() for _ in range(4))
+    rows += [(60 + i, f"{word()}{shared}{word()}") for i in range(2)]
+    rule = repeats.Windows(100, 16, False, hot=4)
+    found = repeats.resolve(repeats.occurrences(repeats.identified(frame(spark, rows)), suffix_dedup.codes_of, rule), rule)
+    assert {r.doc_id for r in found.filter(f"tag <> {repeats.COVERED}").collect()} <= {60, 61}
+    assert sortable(suffix_dedup.removed(frame(spark, rows)).collect()) == suffixes_brute(rows, 100)
+
+
+def test_suffixes_of_very_common_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "rule_of", lambda n: repeats.Windows(n, min(16, n), False, 3))
+    line = "a line that very many documents have between other lines of theirs"
+    rows = [(i, f"{'x' * (i % 5)}{i % 4} before {i % 6}. {line} {i % 3} after that {i % 7}{'y' * (i % 9)}" + " more" * (i % 5)) for i in range(60)]
+    assert sortable(suffix_dedup.removed(frame(spark, rows), 30).collect()) == suffixes_brute(rows, 30)
+    assert sortable(suffix_dedup.removed(frame(spark, rows), 90).collect()) == suffixes_brute(rows, 90)
+
+
 def test_passage_in_many_documents_is_removed_everywhere(spark):
     passage = " ".join(f"p{i}" for i in range(55))
     rows = [(i, f"a{i} b{i} {passage} c{i} d{i}") for i in range(40)]
