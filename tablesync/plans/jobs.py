@@ -146,7 +146,7 @@ def _stage_whole(rows, name, sequence, staging, attempt, capture, cursor, key) -
         written.append(again)
         write_chunks(
             packed.filter(part.holds(width)).observe(again, *digest_columns(record)).withColumns(named), staging, None,
-            attempt, rows_per_file=part.rows_per_file, json_columns=capture.json_columns,
+            attempt, rows_per_file=part.rows_per_file, json_columns=capture.json_columns, part=len(written),
         )
     for column in ("digest_rows", "digest_low", "digest_high"):
         if sum(int(w.get[column]) for w in written) != int(seen.get[column]):

@@ -22,7 +22,7 @@ from tablesync.sources.delta_table import DeltaTable
 from tablesync.sources.evolving_table import EvolvingTable
 from tablesync.sources.ledger import LedgerConflict, load_version, save_ledger, update_ledger
 from tablesync.sources.raw_store import RawStore
-from tablesync.sources.staged import Staging, read_staged, remove_loaded
+from tablesync.sources.staged import Staging, file_texts, read_staged, remove_loaded
 from tablesync.streaming.changes import cdc_stream, delta_cdc_table
 from tablesync.streaming.loader import stream_foreign_load
 
@@ -102,9 +102,7 @@ def sized_files(spark, sf):
     staging = Staging(scratch_path(spark, "staging"), "shop")
     options = Capture(file_bytes=FILE_BYTES)
     staged = snapshot_to_staging(spark, {"public.documents": docs}, staging, options, local_frame(spark, [], LEDGER))
-    lines = spark.read.option("recursiveFileLookup", True).text(staging.chunks).withColumn("file", F.col("_metadata.file_path"))
-    files = lines.groupBy("file").agg(F.count("*").alias("n"), F.sum(sizing.line_bytes(F.col("value"))).alias("bytes"))
-    seen = files.agg(
+    seen = file_texts(spark, staging).agg(
         F.count_if((F.col("bytes") > FILE_BYTES) & (F.col("n") > 1)).alias("oversized"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"),
     ).first()
     few = seen["files"] <= sizing.MOST_FILES * (seen["bytes"] // FILE_BYTES + 1) + MOST_RANGES * docs.rdd.getNumPartitions()

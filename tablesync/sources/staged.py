@@ -28,18 +28,22 @@ from tablesync.functions.names import chunk_key
 from tablesync.model import (
     CONTENT_ENCODING, CONTENT_TYPE, DEFAULT_PARTITION, MANIFEST, select_as,
 )
-from tablesync.operators.chunking import ROW
+from tablesync.operators.chunking import ROW, file_offsets
+from tablesync.operators.sizing import line_bytes
 from tablesync.session import (
-    broadcast_if_small, join_by_file, local_frame, new_id, now_ms, path_exists, read_or_none,
+    broadcast_if_small, join_by_file, local_frame, new_id, now_ms, path_exists, read_or_none, scratch_path,
 )
 from tablesync.sources.commits import delete, entries
 
 CHUNK_COLUMNS = ("attempt", "stream_name", "partition_key", "sequence")
-_OWN_SCHEMA = (
-    "value string, attempt string, stream_name string, partition_key string, sequence bigint, digest string"
-)
-# Stands in the folder's name where a chunk's digest was not known when it was written.
+_LINE_KEYS = "attempt string, stream_name string, partition_key string, sequence bigint"
+_OWN_SCHEMA = f"value string, {_LINE_KEYS}, digest string"
+# Stands in the folder's name where a chunk's digest was not known when it was written; a chunk of very many
+# files has more such folders, with numbers behind it.
 UNKNOWN = "unknown"
+# Files of one such folder, and folders of one scan: Spark's driver holds a kilobyte or two per file and task of a scan.
+FOLDER_FILES, SCAN_FOLDERS = 256, 64
+SCAN_FILES = FOLDER_FILES * SCAN_FOLDERS
 
 
 @dataclass(frozen=True)
@@ -86,7 +90,7 @@ MOST_WRITERS = 20_000
 def write_chunks(
     chunked: DataFrame, staging: Staging, columns=None, attempt: str | None = None,
     order: str = "_row_index", rows_per_file: int | None = None, json_columns=(),
-    chunk_count: int | None = None,
+    chunk_count: int | None = None, part: int | None = None,
 ) -> str:
     """Write ``(stream_name, sequence, <order>, <columns>)`` as one gzip file per chunk.
 
@@ -99,6 +103,9 @@ def write_chunks(
 
     ``chunk_count`` is how many chunks there are, if known: few chunks get more partitions than
     they need, so that hardly two of them meet in one task.
+
+    A numbered ``part`` of a whole table is written to folders of ``FOLDER_FILES`` files, so that no
+    scan and no listing has to take all of them at once.
     """
     attempt = attempt or new_id()
     rows = chunked
@@ -110,8 +117,14 @@ def write_chunks(
         rows = rows.repartition(*keys) if chunk_count is None else rows.repartition(min(4 * chunk_count, MOST_WRITERS), *keys)
         rows = rows.sortWithinPartitions(*keys, order)
     record = record_column(rows, columns, json_columns, ROW if columns is None else None)
+    folder = F.lit(UNKNOWN)
+    if part is not None:
+        row = F.expr("monotonically_increasing_id() & 8589934591")
+        folder = F.format_string(
+            f"{UNKNOWN}-{part:03d}-%09d-%09d", F.spark_partition_id(), F.floor(row / (rows_per_file * FOLDER_FILES)).cast("bigint")
+        )
     writer = (
-        rows.select(*keys, F.lit(UNKNOWN).alias("digest"), record.alias("value"))
+        rows.select(*keys, folder.alias("digest"), record.alias("value"))
         .write.partitionBy(*keys, "digest").mode("append").option("compression", CONTENT_ENCODING)
     )
     if rows_per_file is not None:
@@ -164,16 +177,47 @@ def digest_columns(value: Column) -> list[Column]:
 _OWN_PATH = r"/attempt=([^/]+)/stream_name=([^/]+)/partition_key=([^/]+)/sequence=(\d+)/digest=([^/]+)/[^/]+$"
 
 
-def listed_chunks(spark: SparkSession, staging: Staging, attempts: list[str]) -> DataFrame:
-    """Chunks of the attempts from the listing alone: names, digest, files and bytes."""
+def leaf_folders(spark: SparkSession, staging: Staging, attempt: str) -> list[str]:
+    """Folders with the files of an attempt, in the order of their paths."""
+    found = [staging.attempt(attempt)]
+    for level in ("stream_name=", "partition_key=", "sequence=", "digest="):
+        found = [f"{f}/{name}" for f in found for name, _ in sorted(entries(spark, f)) if name.startswith(level)]
+    return found
+
+
+def scan_groups(spark: SparkSession, staging: Staging, attempts: list[str]) -> list[list[str]]:
+    """The attempts' folders in groups of ``SCAN_FOLDERS``, one scan each."""
+    folders = [f for a in attempts for f in leaf_folders(spark, staging, a)]
+    return [folders[i : i + SCAN_FOLDERS] for i in range(0, len(folders), SCAN_FOLDERS)]
+
+
+def listed_chunks(spark: SparkSession, staging: Staging, attempts: list[str], whole: list[str] = ()) -> DataFrame:
+    """Chunks of the attempts from the listing alone: names, digest, files and bytes.
+
+    The ``whole`` ones, of one chunk each, are listed group by group if there are many files.
+    """
+    paths = [staging.attempt(a) for a in attempts if a not in whole]
+    groups = scan_groups(spark, staging, list(whole))
+    if len(groups) <= 1:
+        return _listed(spark, [*paths, *[f for g in groups for f in g]])
+    sibling = packed_files(spark)
+    found = [tuple(r) for g in groups for r in _listed(sibling, g).collect()]  # one row per attempt and group
+    columns = "attempt string, stream_name string, partition_key string, sequence bigint, content_hash string, bytes_written bigint, file_count bigint, max_file_bytes bigint"
+    summed = local_frame(spark, found, columns).groupBy(*CHUNK_COLUMNS, "content_hash").agg(
+        F.sum("bytes_written").alias("bytes_written"), F.sum("file_count").alias("file_count"), F.max("max_file_bytes").alias("max_file_bytes")
+    )
+    return _listed(spark, paths).unionByName(summed) if paths else summed
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz")
-        .load([staging.attempt(a) for a in attempts]).select("path", F.col("length"))
+        .load(paths).select("path", F.col("length"))
     )
     part = lambda i: F.url_decode(F.replace(F.regexp_extract("path", _OWN_PATH, i), F.lit("+"), F.lit("%2B")))
     named = files.select(
         part(1).alias("attempt"), part(2).alias("stream_name"), part(3).alias("partition_key"),
-        part(4).cast("bigint").alias("sequence"), part(5).alias("content_hash"), "length",
+        part(4).cast("bigint").alias("sequence"), F.when(part(5).startswith(UNKNOWN), UNKNOWN).otherwise(part(5)).alias("content_hash"), "length",
     )
     return named.groupBy(*CHUNK_COLUMNS, "content_hash").agg(
         F.sum("length").alias("bytes_written"), F.count("*").alias("file_count"), F.max("length").alias("max_file_bytes"),
@@ -186,10 +230,7 @@ def one_file_per_task(spark: SparkSession) -> SparkSession:
     Gzip files are not split either, so in such a scan a task is exactly one file. The caller's
     settings hold in it as well.
     """
-    sibling = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if spark.conf.isModifiable(key):
-            sibling.conf.set(key, value)
+    sibling = _sibling(spark)
     sibling.conf.unset("spark.sql.files.maxPartitionNum")  # it would pack files again
     sibling.conf.set("spark.sql.files.openCostInBytes", str(1 << 60))
     # Rows come file by file, so a task that writes them out by table needs no sort.
@@ -197,8 +238,26 @@ def one_file_per_task(spark: SparkSession) -> SparkSession:
     return sibling
 
 
+def packed_files(spark: SparkSession) -> SparkSession:
+    """A sibling session whose file scans pack small files by the hundred into one task."""
+    sibling = _sibling(spark)
+    sibling.conf.set("spark.sql.files.openCostInBytes", str(32 << 10))
+    return sibling
+
+
+def _sibling(spark: SparkSession) -> SparkSession:
+    sibling = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            sibling.conf.set(key, value)
+    return sibling
+
+
 def _attempt_lines(spark, staging, attempts) -> DataFrame:
-    paths = [staging.attempt(a) for a in attempts]
+    return _path_lines(spark, staging, [staging.attempt(a) for a in attempts])
+
+
+def _path_lines(spark, staging, paths) -> DataFrame:
     return (
         spark.read.format("text").schema(_OWN_SCHEMA)
         .option("basePath", staging.chunks).load(paths)
@@ -257,7 +316,7 @@ def chunk_manifest(
     found = summarize_lines(_lines(spark, staging, [a for a in attempts if a not in digests]), *CHUNK_COLUMNS)
     if digests:
         given = local_frame(spark, [(a, d) for a, d in digests.items()], "attempt string, _given string")
-        listed = listed_chunks(spark, staging, list(digests)).join(F.broadcast(given), "attempt")
+        listed = listed_chunks(spark, staging, list(digests), [a for a, d in digests.items() if d]).join(F.broadcast(given), "attempt")
         listed = listed.withColumn("content_hash", F.coalesce("_given", "content_hash")).drop("_given")
         rows = F.split("content_hash", "-")[0].cast("bigint")
         found = found.unionByName(listed.withColumn("row_count", rows).select(*found.columns))
@@ -359,6 +418,13 @@ def check_manifest_bucket(manifest: DataFrame, bucket: str) -> int:
 # ---------------------------------------------------------------- reading
 
 
+def _numbered_in_file(rows: DataFrame, keys) -> DataFrame:
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(
+        *keys, "_file", (position + F.lit(1)).alias("_row_number"), strip(F.col("value")).alias("value")
+    )
+
+
 def number_lines(lines: DataFrame, keys, multi_file: bool = False) -> DataFrame:
     """Add ``_row_number``: the 1-based position among the non-blank lines of a chunk.
 
@@ -367,10 +433,7 @@ def number_lines(lines: DataFrame, keys, multi_file: bool = False) -> DataFrame:
     of their earlier files, one small row per file.
     """
     rows = lines.filter(not_blank(F.col("value")))
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = rows.select(
-        *keys, "_file", (position + F.lit(1)).alias("_row_number"), strip(F.col("value")).alias("value")
-    )
+    numbered = _numbered_in_file(rows, keys)
     if not multi_file:
         return numbered.drop("_file")
     before = W.partitionBy(*keys).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
@@ -381,6 +444,40 @@ def number_lines(lines: DataFrame, keys, multi_file: bool = False) -> DataFrame:
     )
 
 
+def copied_lines(spark: SparkSession, staging: Staging, attempt: str, size: int) -> DataFrame:
+    """``number_lines`` for a chunk of more files than one scan should have.
+
+    The files are read group by group into the scratch folder, with each line's position in its file;
+    the lines of earlier files are then added up from there. The result is a frame of few files.
+    """
+    path = scratch_path(spark, "lines")
+    sibling = one_file_per_task(spark)
+    groups = scan_groups(spark, staging, [attempt])
+    tasks = reading_tasks(spark, size // max(len(groups), 1))
+    for group in groups:
+        lines = _path_lines(sibling, staging, group)
+        rows = _numbered_in_file(lines.filter(not_blank(F.col("value"))), CHUNK_COLUMNS)
+        rows.coalesce(tasks).write.mode("append").parquet(path)
+    schema = _LINE_KEYS + ", _file string, _row_number bigint, value string"
+    copied = read_or_none(spark, path, schema)
+    starts, _ = file_offsets(copied.groupBy("_file").agg(F.count("*").alias("_n")))
+    return join_by_file(copied, starts).select(*CHUNK_COLUMNS, (F.col("_row_number") + F.col("_offset")).alias("_row_number"), "value")
+
+
+def file_texts(spark: SparkSession, staging: Staging) -> DataFrame:
+    """Lines (``n``) and bytes of text (``bytes``) of each staged ``file``, read group by group."""
+    path = scratch_path(spark, "texts")
+    sibling = packed_files(spark)
+    attempts = sorted(a.split("=", 1)[1] for a, _ in entries(spark, staging.chunks) if a.startswith("attempt="))
+    for group in scan_groups(spark, staging, attempts):
+        lines = sibling.read.text(group).withColumn("file", F.col("_metadata.file_path"))
+        files = lines.groupBy("file").agg(F.count("*").alias("n"), F.sum(line_bytes(F.col("value"))).alias("bytes"))
+        files.write.mode("append").parquet(path)
+    schema = "file string, n bigint, bytes bigint"
+    found = read_or_none(spark, path, schema)
+    return local_frame(spark, [], schema) if found is None else found
+
+
 # Compressed bytes one task reads; some ten times as much as text.
 TASK_BYTES = 32 << 20
 
@@ -411,8 +508,12 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
         .filter("n > 0 and files > 0").collect()  # an empty chunk has no file
     )
     parts = []
+    # a table staged as one chunk of very many files, which is wanted whole or not at all
+    large = [a for a in attempts if a["n"] == a["total"] == 1 and a["files"] > SCAN_FILES]
+    for a in large:
+        parts.append(copied_lines(spark, staging, a["attempt"], a["bytes"] or 0))
     for partly in (False, True):
-        group = [a for a in attempts if (a["n"] < a["total"]) == partly]
+        group = [a for a in attempts if (a["n"] < a["total"]) == partly and a not in large]
         if not group:
             continue
         lines = _lines(one_file_per_task(spark), staging, [a["attempt"] for a in group])

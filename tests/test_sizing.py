@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tablesync.model import LEDGER
 from tablesync.operators.sizing import MOST_FILES, line_bytes, width_ranges, width_sketch
-from tablesync.plans.jobs import Capture, snapshot_to_staging
+from tablesync.functions.codec import project_typed
+from tablesync.plans.jobs import Capture, load_staging, snapshot_to_staging
+from tablesync.sources import staged
+from tablesync.sources.raw_store import RawStore
 from tablesync.session import local_frame
 from tablesync.sources.staged import Staging, read_staged
 
@@ -76,6 +79,27 @@ def test_no_file_above_the_bound(spark, tmp_path):
     assert numbers == list(range(1, 503))
 
 
+def test_no_scan_takes_very_many_files(spark, tmp_path, monkeypatch):
+    for name, value in (("FOLDER_FILES", 3), ("SCAN_FOLDERS", 4), ("SCAN_FILES", 12)):
+        monkeypatch.setattr(staged, name, value)
+    text = F.when(F.col("id") % 40 == 3, F.repeat(F.lit("x"), 900)).when(F.col("id") % 50 == 4, F.lit("a\nb")).otherwise(F.lit("y"))
+    rows = spark.range(600, numPartitions=5).select("id", text.alias("t"))
+    staging = Staging(str(tmp_path), "shop")
+    done = snapshot_to_staging(spark, {"public.t": rows}, staging, Capture(file_bytes=500), local_frame(spark, [], LEDGER))
+    (chunk,) = done.manifest.collect()
+    folders = [[n for n in names if n.endswith(".gz") and not n.startswith(".")] for _, _, names in os.walk(staging.chunks)]
+    files = sum(map(len, folders))
+    assert max(map(len, folders)) == 3 and chunk.file_count == files > 12 and chunk.row_count == 600
+    assert chunk.bytes_written == sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(staging.chunks) for n in names if n.endswith(".gz") and not n.startswith("."))
+    back = read_staged(spark, staging)
+    assert len(back.inputFiles()) < files
+    assert sorted(tuple(r) for r in project_typed(back, rows.schema, "value").collect()) == sorted(tuple(r) for r in rows.collect())
+    assert sorted(r[0] for r in back.select("_row_number").collect()) == list(range(1, 601))
+    texts = staged.file_texts(spark, staging).collect()
+    assert len(texts) == files and sum(r.n for r in texts) == 600 and all(r.bytes <= 500 or r.n == 1 for r in texts)
+    assert load_staging(spark, staging, RawStore(str(tmp_path / "raw"))).first().rows_written == 600
+
+
 def test_sized_options(spark, tmp_path):
     for bad in (Capture(file_bytes=0), Capture(file_bytes=10, chunk_size=5)):
         with pytest.raises(ValueError, match="bytes of a file"):
