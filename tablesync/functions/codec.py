@@ -86,13 +86,18 @@ def decode_lines(lines: DataFrame, schema: T.StructType | None = None, column: s
 
 
 def _from_json(value: Column, schema: T.StructType) -> Column:
-    """Typed value of one JSON line; text after it is an error, as it is for ``checked_json``.
+    """Typed value of one JSON line; text after it is an error, as it is for ``checked_json``."""
+    return _whole_line(value, _marked(value, schema), schema)
 
-    The line is a field before a mark of our own, so the mark is lost if anything follows the value.
-    """
+
+def _marked(value: Column, schema: T.StructType) -> Column:
+    """The line as a field before a mark of our own, so the mark is lost if anything follows the value."""
     shape = T.StructType([T.StructField("line", schema), T.StructField("mark", T.StringType())])
     text = F.concat(F.lit('{"line":'), value, F.lit(f',"mark":{json.dumps(_SENTINEL)}}}'))
-    parsed = F.from_json(text, shape, {**JSON_OPTIONS, "allowSingleQuotes": "false", "mode": "FAILFAST"})
+    return F.from_json(text, shape, {**JSON_OPTIONS, "allowSingleQuotes": "false", "mode": "FAILFAST"})
+
+
+def _whole_line(value: Column, parsed: Column, schema: T.StructType) -> Column:
     whole = parsed.getField("mark").eqNullSafe(F.lit(_SENTINEL))
     line = parsed.getField("line")
     return F.when(value.isNotNull() & ~whole, _refused(value).cast(schema)).otherwise(line)
@@ -100,8 +105,11 @@ def _from_json(value: Column, schema: T.StructType) -> Column:
 
 def project_typed(raw: DataFrame, schema: T.StructType, column: str = "_data", keep=()):
     """Typed columns back out of a raw table's JSON column, behind the ``keep`` columns."""
-    typed = _from_json(F.col(column), _nullable(schema)).alias("_typed")
-    parsed = raw.select(F.struct(*keep).alias("_kept"), typed) if keep else raw.select(typed)
+    # a projection of its own, so that a line is parsed once and not for the mark and for the value
+    kept = [F.struct(*keep).alias("_kept")] if keep else []
+    marked = raw.select(*kept, F.col(column).alias("_text"), _marked(F.col(column), _nullable(schema)).alias("_parsed"))
+    typed = _whole_line(F.col("_text"), F.col("_parsed"), _nullable(schema)).alias("_typed")
+    parsed = marked.select("_kept", typed) if keep else marked.select(typed)
     kept = [F.col("_kept").getField(k).alias(k) for k in keep]
     return parsed.select(*kept, *[F.col("_typed").getField(c).alias(c) for c in schema.names])
 

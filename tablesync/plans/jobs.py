@@ -177,7 +177,7 @@ def _stage_chunks(rows, order, unique, source, name, first, staging, attempt, ca
             return {"next_sequence": first, "rows_emitted": 0, "max_cursor_value": None, "last_key": None}
         seen = Observation(f"rows-{attempt}")
         facts = [(F.max(SEQUENCE) + 1).alias("next_sequence"), *progress_columns(chunked, cursor, key)]
-        write_digested(chunked, staging, name, attempt, count, facts, seen, capture.json_columns)
+        write_digested(chunked, staging, name, attempt, count, facts, seen, capture.json_columns, size)
         return seen.get
     finally:
         if scratch is not None:

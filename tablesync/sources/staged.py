@@ -85,6 +85,10 @@ class Staging:
 
 # Tasks that write a table's chunks; beyond that, each writes several, one after the other.
 MOST_WRITERS = 20_000
+# Rows a task writes at least, where chunks have fewer.
+WRITER_ROWS = 50_000
+# JSON lines in key order take half the time of zlib's own level, and a fifth more bytes.
+GZIP = {"compression": CONTENT_ENCODING, "zlib.compress.level": "THREE"}
 
 
 def write_chunks(
@@ -125,7 +129,7 @@ def write_chunks(
         )
     writer = (
         rows.select(*keys, folder.alias("digest"), record.alias("value"))
-        .write.partitionBy(*keys, "digest").mode("append").option("compression", CONTENT_ENCODING)
+        .write.partitionBy(*keys, "digest").mode("append").options(**GZIP)
     )
     if rows_per_file is not None:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -136,9 +140,15 @@ def write_chunks(
 ORDER = "_order"
 
 
+def writers(spark: SparkSession, chunk_count: int, chunk_rows: int) -> int:
+    """Tasks that write chunks of so many rows: small chunks share a task, large ones hardly ever do."""
+    enough = max(-(-chunk_count * chunk_rows // WRITER_ROWS), 4 * spark.sparkContext.defaultParallelism)
+    return min(4 * chunk_count, enough, MOST_WRITERS) if chunk_rows < WRITER_ROWS else min(4 * chunk_count, MOST_WRITERS)
+
+
 def write_digested(
     rows: DataFrame, staging: Staging, stream: str, attempt: str, chunk_count: int, observed=(), seen: Observation | None = None,
-    json_columns=(),
+    json_columns=(), chunk_rows: int = WRITER_ROWS,
 ) -> None:
     """Write packed rows (``_row, sequence, _order``) as one gzip file per chunk, with its digest.
 
@@ -146,7 +156,7 @@ def write_digested(
     names the chunk's folder, so nothing that was staged is read again to describe it. ``observed``
     aggregates go to ``seen`` from the same tasks.
     """
-    moved = rows.repartition(min(4 * chunk_count, MOST_WRITERS), "sequence")
+    moved = rows.repartition(writers(rows.sparkSession, chunk_count, chunk_rows), "sequence")
     if seen is not None:
         moved = moved.observe(seen, *observed)
     lines = moved.select("sequence", ORDER, record_column(moved, None, json_columns, ROW).alias("value"))
@@ -161,7 +171,7 @@ def write_digested(
     named = lines.withColumns({"digest": digest, "stream_name": F.lit(stream), "partition_key": F.lit(DEFAULT_PARTITION)})
     (
         named.sortWithinPartitions(*keys, ORDER).select(*keys, "value")
-        .write.partitionBy(*keys).mode("append").option("compression", CONTENT_ENCODING).text(staging.attempt(attempt))
+        .write.partitionBy(*keys).mode("append").options(**GZIP).text(staging.attempt(attempt))
     )
 
 
@@ -198,15 +208,15 @@ def listed_chunks(spark: SparkSession, staging: Staging, attempts: list[str], wh
     """
     paths = [staging.attempt(a) for a in attempts if a not in whole]
     groups = scan_groups(spark, staging, list(whole))
-    if len(groups) <= 1:
-        return _listed(spark, [*paths, *[f for g in groups for f in g]])
     sibling = packed_files(spark)
+    if len(groups) <= 1:
+        return _listed(sibling, [*paths, *[f for g in groups for f in g]])
     found = [tuple(r) for g in groups for r in _listed(sibling, g).collect()]  # one row per attempt and group
     columns = "attempt string, stream_name string, partition_key string, sequence bigint, content_hash string, bytes_written bigint, file_count bigint, max_file_bytes bigint"
     summed = local_frame(spark, found, columns).groupBy(*CHUNK_COLUMNS, "content_hash").agg(
         F.sum("bytes_written").alias("bytes_written"), F.sum("file_count").alias("file_count"), F.max("max_file_bytes").alias("max_file_bytes")
     )
-    return _listed(spark, paths).unionByName(summed) if paths else summed
+    return _listed(sibling, paths).unionByName(summed) if paths else summed
 
 
 def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -250,6 +260,8 @@ def _sibling(spark: SparkSession) -> SparkSession:
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             sibling.conf.set(key, value)
+    # tasks that list folders; Spark would take one per folder
+    sibling.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
     return sibling
 
 
@@ -425,19 +437,23 @@ def _numbered_in_file(rows: DataFrame, keys) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame, keys, multi_file: bool = False) -> DataFrame:
+def number_lines(lines: DataFrame, keys, multi_file: bool = False, tasks: int | None = None) -> DataFrame:
     """Add ``_row_number``: the 1-based position among the non-blank lines of a chunk.
 
     ``lines`` comes from ``one_file_per_task``, so a line's position in its task is its position
     in its file and nothing is shuffled or sorted. Chunks of several files add the line counts
-    of their earlier files, one small row per file.
+    of their earlier files, one small row per file, which are counted at once, in ``tasks`` tasks.
     """
     rows = lines.filter(not_blank(F.col("value")))
     numbered = _numbered_in_file(rows, keys)
     if not multi_file:
         return numbered.drop("_file")
     before = W.partitionBy(*keys).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, "_file").agg(F.count("*").alias("_n"))
+    spark, path = lines.sparkSession, scratch_path(lines.sparkSession, "sizes")
+    counted = rows if tasks is None else rows.coalesce(tasks)
+    counted.groupBy(*keys, "_file").agg(F.count("*").alias("_n")).write.parquet(path)
+    named = [f for f in lines.schema if f.name in (*keys, "_file")]
+    sizes = read_or_none(spark, path, T.StructType([*named, T.StructField("_n", T.LongType())]))
     starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return join_by_file(numbered, starts).select(
         *keys, (F.col("_row_number") + F.col("_start")).alias("_row_number"), "value"
@@ -518,12 +534,12 @@ def read_chunks(spark: SparkSession, staging: Staging, chunks: DataFrame) -> Dat
             continue
         lines = _lines(one_file_per_task(spark), staging, [a["attempt"] for a in group])
         multi = max(a["files"] or 0 for a in group) > 1
-        numbered = number_lines(lines, CHUNK_COLUMNS, multi)
+        tasks = reading_tasks(spark, sum(a["bytes"] or 0 for a in group))
+        numbered = number_lines(lines, CHUNK_COLUMNS, multi, tasks if tasks < sum(a["all_files"] for a in group) else None)
         if partly:
             numbered = numbered.join(
                 broadcast_if_small(chunks.select(*CHUNK_COLUMNS)), list(CHUNK_COLUMNS), "left_semi"
             )
-        tasks = reading_tasks(spark, sum(a["bytes"] or 0 for a in group))
         # Small files share a task, one after the other; nothing is shuffled.
         parts.append(numbered.coalesce(tasks) if tasks < sum(a["all_files"] for a in group) else numbered)
     if not parts:

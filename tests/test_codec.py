@@ -61,3 +61,11 @@ def test_digest_ignores_order_but_not_copies(spark):
     assert digest(["a", "b"]) != digest(["a", "b", "b"])
     assert digest(["a", "a"]) != digest(["b", "b"])
     assert digest([]) == "0-0-0"
+
+
+def test_a_line_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"a":1,"b":"x"}', 1), (None, 2)], "_data string, k long")
+    typed = codec.project_typed(rows, T.StructType.fromDDL("a long, b string"), keep=["k"])
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert sorted(tuple(r) for r in typed.collect()) == [(1, 1, "x"), (2, None, None)]

@@ -144,3 +144,22 @@ def test_line_numbers_need_no_shuffle(spark, tmp_path):
     manifest = stage(spark, staging, spark.range(50), ["id"], 10)
     plan = staged.read_chunks(spark, staging, manifest)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_small_chunks_share_tasks(spark, tmp_path):
+    parallel = 4 * spark.sparkContext.defaultParallelism
+    assert staged.writers(spark, 10_800, 5_000) == max(1_080, parallel)
+    assert staged.writers(spark, 3, 5_000) == 12 and staged.writers(spark, 40_000, 1_000_000) == staged.MOST_WRITERS
+    assert staged.writers(spark, 54, 1_000_000) == 216
+    rows = spark.range(3000).select(F.struct("id").alias("_row"), F.floor(F.col("id") / 10).alias("sequence"), F.struct("id").alias(staged.ORDER))
+    staging = staged.Staging(str(tmp_path), "shop")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("writes", "")
+    staged.write_digested(rows, staging, "public.t", "a", 300, chunk_rows=10)
+    stages = [i for j in jobs.getJobIdsForGroup("writes") for i in jobs.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(jobs.getStageInfo(i).numTasks for i in stages if jobs.getStageInfo(i)) <= parallel
+    found = staged.listed_chunks(spark, staging, ["a"]).collect()
+    assert sorted(r.sequence for r in found) == list(range(300)) and all(r.content_hash.startswith("10-") for r in found)
+    read = spark.read.text(f"{staging.attempt('a')}/*/*/sequence=7/*")
+    assert [r[0] for r in read.collect()] == [f'{{"id":{i}}}' for i in range(70, 80)]
