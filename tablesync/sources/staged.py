@@ -260,6 +260,8 @@ def _sibling(spark: SparkSession) -> SparkSession:
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             sibling.conf.set(key, value)
+    # each scan lists other files, so listings are not worth keeping
+    sibling.conf.set("spark.sql.hive.filesourcePartitionFileCacheSize", "0")
     # tasks that list folders; Spark would take one per folder
     sibling.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
     return sibling
